@@ -125,17 +125,15 @@ class Fill:
         return seq + sample, offset
 
 
-def block_transition(pdf: pd.DataFrame, order: str, length: int) -> pd.DataFrame:
+def block_transition(pdf: pd.DataFrame, shard: str, order: str, length: int) -> pd.DataFrame:
     """One row per block: its effect on every starting level."""
     sizes = pdf.sort_values(order)["n_tokens"].to_numpy()
     level, closed = Fill(sizes, length).transition()
-    first = pdf.iloc[:1]
-    return pd.DataFrame(
-        {"shard": first["shard"], "_block": first["_block"], "_level": [level], "_closed": [closed]}
-    )
+    first = pdf.iloc[0]
+    return pd.DataFrame({shard: [first[shard]], "_block": [first["_block"]], "_level": [level], "_closed": [closed]})
 
 
-def chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def chain_blocks(pdf: pd.DataFrame, shard: str) -> pd.DataFrame:
     """Starting level and sample number of each block of a shard, in block order."""
     pdf = pdf.sort_values("_block", ignore_index=True)
     levels, seqs = [], []
@@ -144,20 +142,12 @@ def chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         levels.append(level)
         seqs.append(seq)
         level, seq = int(after[level]), seq + int(closed[level])
-    return pd.DataFrame({"shard": pdf["shard"], "_block": pdf["_block"], "_from": levels, "_seq": seqs})
+    return pdf[[shard, "_block"]].assign(_from=levels, _seq=seqs)
 
 
-def place_documents(pdf: pd.DataFrame, order: str, length: int) -> pd.DataFrame:
+def place_documents(pdf: pd.DataFrame, shard: str, order: str, length: int) -> pd.DataFrame:
     """Sample, offset and kept length of each document of a block."""
     pdf = pdf.sort_values(order, ignore_index=True)
     sizes = pdf["n_tokens"].to_numpy()
     seq, offset = Fill(sizes, length).replay(int(pdf["_from"].iloc[0]), int(pdf["_seq"].iloc[0]))
-    return pd.DataFrame(
-        {
-            "shard": pdf["shard"],
-            order: pdf[order],
-            "seq": seq,
-            "lo": offset,
-            "kept": np.minimum(sizes, length - offset),
-        }
-    )
+    return pdf[[shard, order]].assign(seq=seq, lo=offset, kept=np.minimum(sizes, length - offset))

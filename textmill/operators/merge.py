@@ -35,7 +35,10 @@ def part_offsets(df: DataFrame, part_col: str) -> DataFrame:
 
 
 def merge_samples(df: DataFrame, part_col: str = "shard", seq_col: str = "seq", name: str = "sample") -> DataFrame:
-    """Renumber packed samples over all shards; ``seq`` runs 0, 1, 2... in each shard."""
+    """Renumber packed samples over all shards; ``seq`` runs 0, 1, 2... in each shard.
+
+    Give written samples: they are counted by shard first, which then reads one column.
+    """
     offsets = part_offsets(df, part_col).select(part_col, "item_offset")
     return df.join(offsets, part_col).select((F.col("item_offset") + F.col(seq_col)).alias(name), *df.columns)
 

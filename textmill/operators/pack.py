@@ -28,42 +28,42 @@ def pack(
     out unless ``keep_tail``.  With ``wrap=False`` a document cut by a sample's end is not
     continued.  ``order_col`` is a long, unique within the shard.
 
-    Give a written table of tokens (see :func:`textmill.staging.stage`): the lengths are read
-    before the tokens, and a tokeniser should not run twice.
+    Give a written table of tokens (see :func:`textmill.staging.stage`) with ``n_tokens``: the
+    lengths are read before the tokens, and a tokeniser should not run twice.
     """
     if length < 1:
         raise ValueError("samples need a positive length")
-    docs = df.select(
-        F.col(shard_col).alias("shard"),
-        F.col(order_col).alias("pos"),
-        F.col(tokens_col).alias("tokens"),
-        F.size(tokens_col).cast("long").alias("n_tokens"),
-    ).where(F.col("n_tokens") > 0)
-    samples = _pack_wrapped(docs, length) if wrap else _pack_unwrapped(docs, length)
+    docs = df.where(F.col(tokens_col).isNotNull())
+    if "n_tokens" not in df.columns:
+        docs = docs.withColumn("n_tokens", F.size(tokens_col).cast("long"))
+    docs = docs.where(F.col("n_tokens") > 0).select(shard_col, order_col, tokens_col, "n_tokens")
+    cut = _pack_wrapped if wrap else _pack_unwrapped
+    samples = cut(docs, length, shard_col, order_col, tokens_col).withColumnRenamed(shard_col, "shard")
     return samples if keep_tail else samples.where(F.col("n_tokens") == length)
 
 
-def _pack_wrapped(docs: DataFrame, length: int) -> DataFrame:
-    """Samples inside a block are built where the block is; only those across are shuffled."""
-    blocked, table = with_blocks(docs, "n_tokens", "pos", ["shard"])
-    keys = ["shard", "_block"]
-    start, end = F.col("start"), F.col("start") + F.col("n_tokens")
+def _pack_wrapped(docs: DataFrame, length: int, shard: str, order: str, tokens: str) -> DataFrame:
+    """Samples inside a block are built where the block is; only those across are shuffled.
+
+    Both kinds come from the same exchange of the documents, which Spark runs once as long as
+    the two plans are equal below it: so no column is renamed before.
+    """
+    blocked, table = with_blocks(docs, "n_tokens", order, [shard])
+    keys = [shard, "_block"]
+    start, end = F.col("_start"), F.col("_start") + F.col("n_tokens")
+    first, beyond = F.col("seq") * length, (F.col("seq") + 1) * length
     pieces = (
-        blocked.join(table, keys)
-        .withColumn("start", F.col("_offset") + before("n_tokens", keys, ["pos"]))
+        blocked.withColumn("_local", before("n_tokens", keys, [order]))
+        .join(table, keys)
+        .withColumn("_start", F.col("_offset") + F.col("_local"))
         .withColumn("seq", F.explode(F.sequence(int_div(start, length), int_div(end - 1, length))))
-        .withColumn("from", F.greatest(start, F.col("seq") * length))
-        .withColumn("to", F.least(end, (F.col("seq") + 1) * length))
-    )
-    inside = (F.col("seq") * length >= F.col("_offset")) & (
-        (F.col("seq") + 1) * length <= F.col("_offset") + F.col("_sum")
     )
-    part = F.slice(
-        "tokens", (F.col("from") - start + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")
-    )
-    cut = [(F.col("from") - F.col("seq") * length).alias("lo"), part.alias("part")]
+    inside = (first >= F.col("_offset")) & (beyond <= F.col("_offset") + F.col("_sum"))
+    lo, hi = F.greatest(start, first), F.least(end, beyond)
+    part = F.slice(tokens, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
+    cut = [(lo - first).alias("lo"), part.alias("part")]
     whole = pieces.where(inside).select(*keys, "seq", *cut).groupBy(*keys, "seq").agg(*_joined())
-    across = pieces.where(~inside).select("shard", "seq", *cut).groupBy("shard", "seq").agg(*_joined())
+    across = pieces.where(~inside).select(shard, "seq", *cut).groupBy(shard, "seq").agg(*_joined())
     return whole.drop("_block").unionByName(across)
 
 
@@ -73,39 +73,41 @@ def _joined() -> list[Column]:
     return [F.sum(F.size("part")).cast("int").alias("n_tokens"), F.flatten(ordered).alias("tokens")]
 
 
-def place_unwrapped(docs: DataFrame, length: int) -> DataFrame:
+def place_unwrapped(docs: DataFrame, length: int, shard: str = "shard", order: str = "pos") -> DataFrame:
     """Where each document goes if none may run across a sample's end.
 
     Which sample a document falls into depends on all documents before it.  Each block's
     effect on every possible fill level is worked out by itself, the blocks' effects are
     chained per shard (a small table), and then each block is replayed from its known start.
-    Only ``(shard, pos, n_tokens)`` reaches Python.
+    Only ``(shard, order, n_tokens)`` reaches Python.
     """
-    blocked, _ = with_blocks(docs.select("shard", "pos", "n_tokens"), "n_tokens", "pos", ["shard"], FOLD_BLOCKS)
-    blocked = blocked.select("shard", "_block", "pos", "n_tokens")
-    fields = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
-    head = f"shard {fields['shard']}, _block long"
-    effects = blocked.groupBy("shard", "_block").applyInPandas(
-        lambda pdf: workers.block_transition(pdf, "pos", length),
+    sizes = docs.select(shard, order, "n_tokens")
+    blocked, _ = with_blocks(sizes, "n_tokens", order, [shard], FOLD_BLOCKS)
+    blocked = blocked.select(shard, "_block", order, "n_tokens")
+    kind = dict(blocked.dtypes)
+    head = f"`{shard}` {kind[shard]}, _block long"
+    effects = blocked.groupBy(shard, "_block").applyInPandas(
+        lambda pdf: workers.block_transition(pdf, shard, order, length),
         f"{head}, _level array<long>, _closed array<long>",
     )
-    starts = effects.groupBy("shard").applyInPandas(workers.chain_blocks, f"{head}, _from long, _seq long")
+    starts = effects.groupBy(shard).applyInPandas(
+        lambda pdf: workers.chain_blocks(pdf, shard), f"{head}, _from long, _seq long"
+    )
     return (
-        blocked.join(starts, ["shard", "_block"])
-        .groupBy("shard", "_block")
+        blocked.join(starts, [shard, "_block"])
+        .groupBy(shard, "_block")
         .applyInPandas(
-            lambda pdf: workers.place_documents(pdf, "pos", length),
-            f"shard {fields['shard']}, pos long, seq long, lo long, kept long",
+            lambda pdf: workers.place_documents(pdf, shard, order, length),
+            f"`{shard}` {kind[shard]}, `{order}` {kind[order]}, seq long, lo long, kept long",
         )
     )
 
 
-def _pack_unwrapped(docs: DataFrame, length: int) -> DataFrame:
-    placed = place_unwrapped(docs, length)
-    pieces = docs.join(placed, ["shard", "pos"]).select(
-        "shard", "seq", "lo", F.slice("tokens", F.lit(1), F.col("kept").cast("int")).alias("part")
-    )
-    return pieces.groupBy("shard", "seq").agg(*_joined())
+def _pack_unwrapped(docs: DataFrame, length: int, shard: str, order: str, tokens: str) -> DataFrame:
+    placed = place_unwrapped(docs, length, shard, order)
+    part = F.slice(tokens, F.lit(1), F.col("kept").cast("int"))
+    pieces = docs.join(placed, [shard, order]).select(shard, "seq", "lo", part.alias("part"))
+    return pieces.groupBy(shard, "seq").agg(*_joined())
 
 
 def text_samples(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,7 +120,8 @@ def pack_report(docs: DataFrame, samples: DataFrame, shard_col: str = "shard") -
     made = samples.groupBy("shard").agg(
         F.count("*").alias("n_samples"), F.sum("n_tokens").cast("long").alias("n_packed")
     )
-    given = docs.groupBy(F.col(shard_col).alias("shard")).agg(F.sum(F.size("tokens")).cast("long").alias("n_tokens"))
+    size = F.col("n_tokens") if "n_tokens" in docs.columns else F.size("tokens")
+    given = docs.groupBy(F.col(shard_col).alias("shard")).agg(F.sum(size).cast("long").alias("n_tokens"))
     kept = F.coalesce(F.col("n_packed"), F.lit(0).cast("long"))
     return given.join(made, "shard", "left").select(
         "shard",

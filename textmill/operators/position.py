@@ -23,7 +23,7 @@ from textmill.session import shuffle_width
 from textmill.staging import stage
 
 # Upper limits of the summary tables that are handled as a whole.
-MAX_SUMMARY_ROWS = 1 << 18
+MAX_SUMMARY_ROWS = 1 << 20
 BLOCK_ROWS = 1024
 BROADCAST_ROWS = 200_000
 
@@ -144,5 +144,5 @@ def with_running_total(
     group = list(group)
     blocked, table = with_blocks(df, value, order, group)
     keys = [*group, "_block"]
-    total = F.col("_offset") + before(value, keys, [order])
-    return blocked.join(table, keys).withColumn(name, total).select(*df.columns, name)
+    local = blocked.withColumn("_local", before(value, keys, [order]))
+    return local.join(table, keys).select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))

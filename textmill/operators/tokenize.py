@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from textmill.functions import workers
 from textmill.functions.tokens import WORD_BREAK, byte_tokens, word_hash_tokens, wrap_document
+from textmill.session import spread_if_small
 
 TOKENS = T.ArrayType(T.IntegerType())
 
@@ -178,7 +179,7 @@ def tokenize(
     ids = wrap_document(tokenizer.column(F.col(text_col)), before, ending)
     kept = [c for c in df.columns if keep_text or c != text_col]
     return (
-        df.where(F.col(text_col).isNotNull())
+        spread_if_small(df.where(F.col(text_col).isNotNull()))
         .select(*kept, ids.alias("tokens"))
         .withColumn("n_tokens", F.size("tokens").cast("long"))
     )

@@ -14,7 +14,7 @@ from textmill.plans.tables import table
 from textmill.plans.tokens import _SHOWN, _WORD_DOCS, WORD_LENGTH, _samples, printed, word_tokens
 from textmill.sinks.write import write_corpus, write_shards
 from textmill.sources.corpus import read_corpus
-from textmill.staging import staging_root
+from textmill.staging import stage, staging_root
 
 TURN_PARTS = 3
 
@@ -46,7 +46,7 @@ def merge_document_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_shards_equals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_samples(printed(pack(word_tokens(spark, sf_dir), WORD_LENGTH)))
+    return merge_samples(stage(printed(pack(word_tokens(spark, sf_dir), WORD_LENGTH)), "samples"))
 
 
 def shards_written_and_merged(spark: SparkSession, sf_dir: str) -> DataFrame:

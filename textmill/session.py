@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_BYTES_PER_CORE = 32 << 20
+
 
 def local_session(cpus: int | str = "*", app: str = "textmill", **conf: str) -> SparkSession:
     """A local session; ``conf`` entries use ``__`` for the dots of a setting name."""
@@ -32,6 +34,20 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly work per row.
+
+    A few megabytes often lie in one Parquet row group, hence in one task.  Whether the input
+    is small is read from the plan's size estimate; a large one has tasks enough and stays
+    where it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+
+
 def small_table(
     spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str], types: Sequence[pa.DataType]
 ) -> DataFrame:

@@ -150,4 +150,4 @@ def place_documents(pdf: pd.DataFrame, shard: str, order: str, length: int) -> p
     pdf = pdf.sort_values(order, ignore_index=True)
     sizes = pdf["n_tokens"].to_numpy()
     seq, offset = Fill(sizes, length).replay(int(pdf["_from"].iloc[0]), int(pdf["_seq"].iloc[0]))
-    return pdf[[shard, order]].assign(seq=seq, lo=offset, kept=np.minimum(sizes, length - offset))
+    return pdf[[shard, order]].assign(seq=seq, _lo=offset, _kept=np.minimum(sizes, length - offset))

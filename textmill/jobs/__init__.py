@@ -1,0 +1 @@
+"""Thin command lines: ``spark-submit -m textmill.jobs.<name>``; they only wire operators."""

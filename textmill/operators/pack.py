@@ -61,7 +61,7 @@ def _pack_wrapped(docs: DataFrame, length: int, shard: str, order: str, tokens:
     inside = (first >= F.col("_offset")) & (beyond <= F.col("_offset") + F.col("_sum"))
     lo, hi = F.greatest(start, first), F.least(end, beyond)
     part = F.slice(tokens, (lo - start + 1).cast("int"), (hi - lo).cast("int"))
-    cut = [(lo - first).alias("lo"), part.alias("part")]
+    cut = [(lo - first).alias("_lo"), part.alias("_part")]
     whole = pieces.where(inside).select(*keys, "seq", *cut).groupBy(*keys, "seq").agg(*_joined())
     across = pieces.where(~inside).select(shard, "seq", *cut).groupBy(shard, "seq").agg(*_joined())
     return whole.drop("_block").unionByName(across)
@@ -69,8 +69,8 @@ def _pack_wrapped(docs: DataFrame, length: int, shard: str, order: str, tokens:
 
 def _joined() -> list[Column]:
     """Pieces of one sample, in order, as one array."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("lo", "part"))), lambda p: p["part"])
-    return [F.sum(F.size("part")).cast("int").alias("n_tokens"), F.flatten(ordered).alias("tokens")]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_lo", "_part"))), lambda p: p["_part"])
+    return [F.sum(F.size("_part")).cast("int").alias("n_tokens"), F.flatten(ordered).alias("tokens")]
 
 
 def place_unwrapped(docs: DataFrame, length: int, shard: str = "shard", order: str = "pos") -> DataFrame:
@@ -98,15 +98,15 @@ def place_unwrapped(docs: DataFrame, length: int, shard: str = "shard", order: s
         .groupBy(shard, "_block")
         .applyInPandas(
             lambda pdf: workers.place_documents(pdf, shard, order, length),
-            f"`{shard}` {kind[shard]}, `{order}` {kind[order]}, seq long, lo long, kept long",
+            f"`{shard}` {kind[shard]}, `{order}` {kind[order]}, seq long, _lo long, _kept long",
         )
     )
 
 
 def _pack_unwrapped(docs: DataFrame, length: int, shard: str, order: str, tokens: str) -> DataFrame:
     placed = place_unwrapped(docs, length, shard, order)
-    part = F.slice(tokens, F.lit(1), F.col("kept").cast("int"))
-    pieces = docs.join(placed, [shard, order]).select(shard, "seq", "lo", part.alias("part"))
+    part = F.slice(tokens, F.lit(1), F.col("_kept").cast("int"))
+    pieces = docs.join(placed, [shard, order]).select(shard, "seq", "_lo", part.alias("_part"))
     return pieces.groupBy(shard, "seq").agg(*_joined())
 
 

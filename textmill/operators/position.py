@@ -48,6 +48,26 @@ def with_scan_position(df: DataFrame, name: str = "pos") -> DataFrame:
     return scanned.join(offsets, "_file").select(*df.columns, (F.col("_offset") + F.col("_row")).alias(name))
 
 
+def with_line_position(df: DataFrame, name: str = "pos") -> DataFrame:
+    """The same for formats without a row index, such as JSON lines.
+
+    Rows of one split are read in file order and get consecutive ids, so a split's smallest id
+    and the counts of the splits before it give the position.  The rows are written once, since
+    ids and counts must come from the same reading.
+    """
+    seen = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_slot"),
+    )
+    rows = stage(seen, "lines")
+    splits = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_slot").alias("_first"))
+    offsets = splits.select("_file", "_split", "_first", before("_n", [], ["_file", "_split"]).alias("_offset"))
+    position = F.col("_offset") + F.col("_slot") - F.col("_first")
+    return rows.join(offsets, ["_file", "_split"]).select(*df.columns, position.alias(name))
+
+
 def with_hash_position(
     df: DataFrame,
     key: str,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.functions.chunks import numbered_name
+from textmill.functions.chunks import even_chunk, numbered_name
 from textmill.sources.files import exists
 
 # The formats a corpus is written in, with each one's default codec.
@@ -40,6 +40,15 @@ def write_shards(df: DataFrame, out: str, shard_col: str = "shard", codec: str |
     spread.write.mode("overwrite").option("compression", codec_name(codec)).partitionBy(shard_col).parquet(out)
 
 
+def in_order(df: DataFrame, pos: str, total: int, n_files: int) -> DataFrame:
+    """Partitions of consecutive positions, sizes differing by at most one row, each sorted.
+
+    ``pos`` is dense (0..total-1), so the ranges are known and no sampling pass is needed.
+    """
+    part = even_chunk(F.col(pos), total, n_files).cast("int")
+    return df.repartitionById(n_files, part).sortWithinPartitions(pos)
+
+
 def refuse_existing(spark: SparkSession, root: str, splits: Sequence[str]) -> None:
     """Fail if the output root already holds one of the splits."""
     present = [s for s in splits if exists(spark, f"{root}/{s}") or exists(spark, f"{root}/split={s}")]

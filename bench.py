@@ -34,7 +34,7 @@ def main() -> None:
         timed(run, spark, sf_dir)
         seconds[name] = round(statistics.median(timed(run, spark, sf_dir) for _ in range(runs)), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
-    drop_staged(spark)
+        drop_staged(spark)
     spark.stop()
     print(
         json.dumps(

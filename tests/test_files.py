@@ -89,10 +89,13 @@ def test_gzip_ingest_and_first_n(spark, tmp_path):
     assert corpus.first_n(out.where("id < 0"), 5, ["id"]).count() == 0
 
 
-def test_first_n_by_several_columns(spark):
+@pytest.mark.parametrize("top", [0, 1000])
+def test_first_n_by_several_columns(spark, monkeypatch, top):
+    monkeypatch.setattr(corpus, "TOP_N_KEYS", top)
     df = spark.range(50).select((F.col("id") % 3).alias("a"), F.col("id").alias("b"))
     got = sorted((r.a, r.b) for r in corpus.first_n(df, 20, ["a", "b"]).collect())
     assert got == sorted((i % 3, i) for i in range(50))[:20]
+    assert corpus.first_n(df, 51, ["a", "b"]).count() == 50
 
 
 def test_line_positions_follow_files_and_splits(spark, seven):

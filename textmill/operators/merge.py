@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.operators.position import before
+from textmill.staging import stage_summary
 
 
 def append_parts(parts: Sequence[DataFrame]) -> DataFrame:
@@ -31,7 +32,8 @@ def part_offsets(df: DataFrame, part_col: str) -> DataFrame:
     One row per sub-dataset; the data is only counted.
     """
     counts = df.groupBy(part_col).agg(F.count("*").alias("n_items"))
-    return counts.select(part_col, "n_items", before("n_items", [], [part_col]).alias("item_offset"))
+    offsets = counts.select(part_col, "n_items", before("n_items", [], [part_col]).alias("item_offset"))
+    return stage_summary(offsets, "parts")
 
 
 def merge_samples(df: DataFrame, part_col: str = "shard", seq_col: str = "seq", name: str = "sample") -> DataFrame:

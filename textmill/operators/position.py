@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from textmill.functions.chunks import int_div
 from textmill.functions.keys import bucket_of
 from textmill.session import shuffle_width
-from textmill.staging import stage
+from textmill.staging import BROADCAST_ROWS, stage, stage_summary
 
 # Upper limits of the summary tables that are handled as a whole.
 MAX_SUMMARY_ROWS = 1 << 20
 BLOCK_ROWS = 1024
-BROADCAST_ROWS = 200_000
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition id above, row index below
 
@@ -40,11 +39,14 @@ def with_scan_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """Position of each row in file order, then row order, of a Parquet scan.
 
     ``df`` must be the scan itself (only there the file metadata is visible).  The counts
-    pass reads no column; the offsets table has one row per input file.
+    pass reads no column.  The offsets table has one row per input file; how many there are is
+    known from the listing, and the table is broadcast unless they are too many.
     """
     scanned = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_n"))
     offsets = counts.select("_file", before("_n", [], ["_file"]).alias("_offset"))
+    if len(df._jdf.inputFiles()) <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return scanned.join(offsets, "_file").select(*df.columns, (F.col("_offset") + F.col("_row")).alias(name))
 
 
@@ -63,7 +65,9 @@ def with_line_position(df: DataFrame, name: str = "pos") -> DataFrame:
     )
     rows = stage(seen, "lines")
     splits = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_slot").alias("_first"))
-    offsets = splits.select("_file", "_split", "_first", before("_n", [], ["_file", "_split"]).alias("_offset"))
+    offsets = stage_summary(
+        splits.select("_file", "_split", "_first", before("_n", [], ["_file", "_split"]).alias("_offset")), "splits"
+    )
     position = F.col("_offset") + F.col("_slot") - F.col("_first")
     return rows.join(offsets, ["_file", "_split"]).select(*df.columns, position.alias(name))
 

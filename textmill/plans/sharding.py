@@ -9,6 +9,7 @@ from textmill.functions.chunks import numbered_name
 from textmill.operators.position import with_scan_position
 from textmill.operators.sharding import assign_shard, file_table
 from textmill.plans.tables import NUMBERED, table
+from textmill.staging import stage_summary
 
 ROW_SHARDS = 7
 FILE_SHARDS = 6
@@ -20,7 +21,7 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_file(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    files = assign_shard(file_table(docs, "source"), FILE_SHARDS, how, pos="file_idx")
+    files = stage_summary(assign_shard(file_table(docs, "source"), FILE_SHARDS, how, pos="file_idx"), "files")
     return docs.join(files, "source").select("doc_id", "source", "file_idx", "shard")
 
 

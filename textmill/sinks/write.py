@@ -30,14 +30,17 @@ def write_corpus(
     df.write.mode(mode).option("compression", codec_name(codec, fmt)).format(fmt).save(out)
 
 
-def write_shards(df: DataFrame, out: str, shard_col: str = "shard", codec: str | None = None) -> None:
+def write_shards(
+    df: DataFrame, out: str, shard_col: str = "shard", codec: str | None = None, compact: bool = True
+) -> None:
     """One sub-directory per shard.
 
-    Rows are rebalanced by shard first, which keeps the number of files low and lets a shard
-    that is much larger than the others be written by several tasks.
+    With ``compact`` the rows are rebalanced by shard first, which keeps the number of files low
+    and lets a shard that is much larger than the others be written by several tasks.  Without
+    it nothing is shuffled and every task writes a file per shard it holds rows of.
     """
-    spread = df.hint("rebalance", F.col(shard_col))
-    spread.write.mode("overwrite").option("compression", codec_name(codec)).partitionBy(shard_col).parquet(out)
+    rows = df.hint("rebalance", F.col(shard_col)) if compact else df
+    rows.write.mode("overwrite").option("compression", codec_name(codec)).partitionBy(shard_col).parquet(out)
 
 
 def in_order(df: DataFrame, pos: str, total: int, n_files: int) -> DataFrame:

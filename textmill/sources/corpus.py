@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.operators.position import with_position
 from textmill.sources.files import is_dir, list_dir
 
+TOP_N_KEYS = 1000
+
 
 def read_corpus(
     spark: SparkSession,
@@ -85,17 +87,24 @@ def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     The place of the last row is found on the order columns alone; the rows are then filtered
     by it, which for a single column is a range predicate that the scan can use.
     """
-    if n < 1:
-        return df.where(F.lit(False))
-    if n > 1_000_000:
-        positions = with_position(df.select(*order), order, name="_pos")
-        return df.join(positions.where(F.col("_pos") < n), list(order), "left_semi")
-    ordered = df.select(*order).orderBy(*order).limit(n)
-    last = ordered.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    last = _nth_key(df.select(*order), n, order) if n > 0 else None
     if last is None:
-        return df.where(F.lit(False))
+        return df if n > 0 else df.where(F.lit(False))
     if len(order) == 1:
         return df.where(F.col(order[0]) <= F.lit(last[0]))
     types = {f.name: f.dataType for f in df.schema.fields}
     bound = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, last)])
     return df.where(F.struct(*order) <= bound)
+
+
+def _nth_key(keys: DataFrame, n: int, order: Sequence[str]) -> Row | None:
+    """Order columns of the ``n``-th row; nothing if there are fewer rows.
+
+    A small ``n`` is a top-n.  For a larger one every task would send ``n`` keys to a single
+    task, so the keys are numbered by range partitions instead.
+    """
+    if n > TOP_N_KEYS:
+        return with_position(keys, order, name="_pos").where(F.col("_pos") == n - 1).select(*order).first()
+    first = keys.orderBy(*order).limit(n)
+    found = first.agg(F.count("*").alias("rows"), F.max(F.struct(*order)).alias("last")).first()
+    return found["last"] if found["rows"] == n else None

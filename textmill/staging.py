@@ -13,9 +13,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
+# Rows of (name, few longs) that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
 
 def staging_root(spark: SparkSession) -> str:
     """Folder for this application's staged tables."""
@@ -36,6 +40,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_summary(df: DataFrame, label: str) -> DataFrame:
+    """Stage a table that sums up the data (counts per file, per part, ...) to join it to the data.
+
+    Its true size is known once it is written: a small one is marked for broadcast, so the
+    data is not shuffled for it; a larger one is left to the optimiser.  Without this the
+    optimiser would guess the size of an aggregate from that of its input.
+    """
+    table = stage(df, label)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the staged tables of this application, once no frame reads them any more."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root(spark))

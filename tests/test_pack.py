@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textmill.functions.workers import Fill
 from textmill.operators import pack as packing
 from textmill.operators import position
 from textmill.operators.pack import pack, pack_report, text_samples
+from textmill.staging import stage
 
 
 def concat_and_cut(docs, length, wrap):
@@ -72,6 +74,29 @@ def test_edges(spark, wrap):
     check(spark, [(0, 9, list(range(length)))], length, wrap)
 
 
+def test_documents_without_tokens(spark):
+    rows = [(0, 0, None), (0, 1, [1, 2]), (0, 2, []), (0, 3, [3, 4])]
+    df = spark.createDataFrame(rows, "shard long, pos long, tokens array<int>")
+    assert [r.tokens for r in pack(df, 4).collect()] == [[1, 2, 3, 4]]
+
+
+def test_lengths_are_read_without_tokens(spark, monkeypatch):
+    rows = [(0, p, [1, 2, 3]) for p in range(9)]
+    df = spark.createDataFrame(rows, "shard long, pos long, tokens array<int>")
+    table = stage(df.withColumn("n_tokens", F.size("tokens").cast("long")), "pack-test")
+    seen = []
+    blocks = position.with_blocks
+
+    def watched(docs, value, *rest):
+        lengths = docs.groupBy("shard").agg(F.sum(value), F.max("pos"))
+        seen.append(lengths._jdf.queryExecution().executedPlan().toString())
+        return blocks(docs, value, *rest)
+
+    monkeypatch.setattr(packing, "with_blocks", watched)
+    assert pack(table, 9).count() == 3 and pack(table, 9, wrap=False).count() == 3
+    assert len(seen) == 2 and not any("tokens:array" in text for text in seen)
+
+
 def test_nothing_to_pack(spark):
     df = spark.createDataFrame([], "shard long, pos long, tokens array<int>")
     assert pack(df, 4).count() == 0

@@ -1 +1 @@
-"""Thin command lines: ``spark-submit -m textmill.jobs.<name>``; they only wire operators."""
+"""Thin command lines, for ``spark-submit textmill/jobs/<name>.py``; they only wire operators."""

@@ -33,9 +33,9 @@ def pack(
     """
     if length < 1:
         raise ValueError("samples need a positive length")
-    docs = df.where(F.col(tokens_col).isNotNull())
+    docs = df
     if "n_tokens" not in df.columns:
-        docs = docs.withColumn("n_tokens", F.size(tokens_col).cast("long"))
+        docs = df.withColumn("n_tokens", F.size(tokens_col).cast("long"))
     docs = docs.where(F.col("n_tokens") > 0).select(shard_col, order_col, tokens_col, "n_tokens")
     cut = _pack_wrapped if wrap else _pack_unwrapped
     samples = cut(docs, length, shard_col, order_col, tokens_col).withColumnRenamed(shard_col, "shard")

@@ -1,4 +1,4 @@
-"""Merging of sub-datasets and round trips through files."""
+"""Merging of sub-datasets."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from textmill.operators.pack import pack
 from textmill.operators.position import with_running_total
 from textmill.plans.tables import table
 from textmill.plans.tokens import _SHOWN, _WORD_DOCS, WORD_LENGTH, _samples, printed, word_tokens
-from textmill.sinks.write import write_corpus, write_shards
+from textmill.sinks.write import write_shards
 from textmill.sources.corpus import read_corpus
 from textmill.staging import stage, staging_root
 
@@ -55,18 +55,11 @@ def shards_written_and_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_samples(printed(read_corpus(spark, out).withColumn("shard", F.col("shard").cast("long"))))
 
 
-def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{staging_root(spark)}/json-{uuid.uuid4().hex}"
-    write_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), out, "json")
-    return read_corpus(spark, out, "json", "doc_id long, text string")
-
-
 QUERIES = {
     "merge_offsets": merge_offsets,
     "merge_document_bounds": merge_document_bounds,
     "merge_shards_equals_whole": merge_shards_equals_whole,
     "shards_written_and_merged": shards_written_and_merged,
-    "json_roundtrip": json_roundtrip,
 }
 
 _MERGED_SAMPLES = f"""
@@ -88,5 +81,4 @@ ORACLES = {
         select dataset, doc_idx, max(merged_idx) + 1 as end_idx from merged group by 1, 2""",
     "merge_shards_equals_whole": _MERGED_SAMPLES,
     "shards_written_and_merged": _MERGED_SAMPLES,
-    "json_roundtrip": "select doc_id, text from documents",
 }

@@ -11,7 +11,7 @@ from textmill.operators.audit import text_audit, token_range_audit, token_report
 from textmill.operators.pack import pack, pack_report, text_samples
 from textmill.operators.position import with_position, with_scan_position
 from textmill.operators.sharding import assign_shard
-from textmill.operators.tokenize import bpe_tokenizer, byte_tokenizer, tokenize, word_hash_tokenizer
+from textmill.operators.tokenize import bpe_tokenizer, byte_tokenizer, separators, tokenize, word_hash_tokenizer
 from textmill.plans.tables import NUMBERED, table
 from textmill.staging import stage
 
@@ -20,6 +20,7 @@ WORD_LENGTH = 512
 BYTE_LENGTH = 2048
 EOD = 256
 BOS, EOS = 1 << 28, (1 << 28) + 1
+BOS_TEXT, EOS_TEXT = "<page>", "\n"
 
 # Ranked byte merges of the small encoder, each a pair of hex-coded symbols.
 MERGES = [
@@ -121,6 +122,15 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed(pack(assign_shard(ordered, SHARDS, pos="conv_id"), WORD_LENGTH))
 
 
+def pack_pages_one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as one stream, framed by the byte ids of a begin and an end text."""
+    tokenizer = byte_tokenizer()
+    before, after = separators(spark, tokenizer, bos_text=BOS_TEXT, eos_text=EOS_TEXT)
+    pages = with_scan_position(table(spark, sf_dir, "pages")).withColumn("shard", F.lit(0).cast("long"))
+    tokens = tokenize(pages.select("shard", "pos", "html"), tokenizer, "html", before, after)
+    return printed(pack(stage(tokens, "page-tokens"), BYTE_LENGTH))
+
+
 def no_concat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_samples(table(spark, sf_dir, "documents"))
 
@@ -153,6 +163,7 @@ QUERIES = {
     "pack_bytes_eod": pack_bytes_eod,
     "pack_stats": pack_stats,
     "pack_conversations": pack_conversations,
+    "pack_pages_one_stream": pack_pages_one_stream,
     "no_concat_text": no_concat_text,
     "token_range_audit": byte_range_audit,
     "text_audit": document_text_audit,
@@ -273,6 +284,12 @@ ORACLES = {
                 case when ends then list_concat({_WORD_IDS}, [cast({EOS} as bigint)]) else {_WORD_IDS} end as ids
             from marked),
         {_samples(WORD_LENGTH)} {_SHOWN} where n_tokens = {WORD_LENGTH}""",
+    "pack_pages_one_stream": f"""
+        with docs as (
+            select cast(0 as bigint) as shard, row_number() over (order by page_id) as pos,
+                {_bytes_of(f"'{BOS_TEXT}' || html || chr(10)")} as ids
+            from pages),
+        {_samples(BYTE_LENGTH)} {_SHOWN} where n_tokens = {BYTE_LENGTH}""",
     "no_concat_text": "select text from documents",
     "token_range_audit": f"""
         with ids as (

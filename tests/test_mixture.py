@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textmill import config
+from textmill import config, presets
 from textmill.config import EvalGroup
 from textmill.operators import mixture as mx
 
@@ -107,3 +107,16 @@ def test_budget(streams):
     rows = {r.stream: r for r in got}
     assert (rows["hot"].n_tokens, rows["hot"].n_needed, rows["hot"].passes) == (30_000, 30_000, 1.0)
     assert rows["none"].n_tokens == 0 and rows["none"].passes is None
+
+
+def test_preset(spark):
+    config.check_shares(presets.TRAIN_SHARES)
+    size = config.epoch_size(presets.EPOCH_TOKENS, 4096)
+    parts = config.apportion(presets.TRAIN_SHARES, size)
+    assert len(parts) == 17 and sum(parts.values()) == size == 2_441_406_250
+    assert abs(parts["gsw"] - 4.926151316429887e-08 * size) <= 1
+    groups = presets.eval_groups()
+    assert len(groups) == 11 and len(groups[0].streams) == 16
+    rows = spark.createDataFrame([(s, 1) for s in presets.TRAIN_SHARES], "stream string, n int")
+    sizes = {r.label: r.n_streams for r in mx.eval_group_sizes(rows, groups, "n").collect()}
+    assert sizes["ALL"] == 16 and sizes["NLD"] == 4 and sizes["FAO"] == 1

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from fractions import Fraction
 
-SHARE_UNIT = 10**9
+SHARE_UNIT = 10**15
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,8 @@ def normalised(weights: Mapping[str, float]) -> dict[str, float]:
 def apportion(shares: Mapping[str, float], size: int) -> dict[str, int]:
     """Split ``size`` by shares, largest remainder first (ties by name), so the parts add up.
 
-    Shares are taken as whole billionths: the result does not hang on float rounding.
+    Shares are taken as whole multiples of ``1 / SHARE_UNIT``: the result does not hang on float
+    rounding, and a share of a few billionths keeps eight digits.
     """
     units = {name: round(share * SHARE_UNIT) for name, share in shares.items()}
     total = sum(units.values())

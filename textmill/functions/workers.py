@@ -31,16 +31,22 @@ def encode_batches(
 
 def merge_pairs(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> list[str]:
     """Byte-pair merging of one word: always the best-ranked neighbouring pair, everywhere."""
+    none = len(ranks)
     while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
-        if best not in ranks:
+        found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        best = min(found)
+        if best == none:
             break
         joined: list[str] = []
-        at = 0
-        while at < len(symbols):
-            width = 2 if tuple(symbols[at : at + 2]) == best else 1
-            joined.append("".join(symbols[at : at + width]))
-            at += width
+        skip = False
+        for symbol, rank, following in zip(symbols, [*found, none], [*symbols[1:], ""]):
+            if skip:
+                skip = False
+            elif rank == best:
+                joined.append(symbol + following)
+                skip = True
+            else:
+                joined.append(symbol)
         symbols = joined
     return symbols
 

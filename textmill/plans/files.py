@@ -45,7 +45,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gzip_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed, plain = _out(spark, "gzip"), _out(spark, "plain")
     write_corpus(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), packed, "json", "gzip")
-    return decompress_json(spark, f"{packed}/*.json.gz", plain, "doc_id long, lang string, text string")
+    return decompress_json(spark, packed, plain, "doc_id long, lang string, text string")
 
 
 def shuffled_files(spark: SparkSession, sf_dir: str) -> DataFrame:

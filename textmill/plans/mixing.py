@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.config import EvalGroup, run_tokens
+from textmill.config import SHARE_UNIT, EvalGroup, run_tokens
 from textmill.operators.mixture import (
     batches,
     blend_plan,
@@ -144,7 +144,7 @@ def _values(rows: list[tuple]) -> str:
 
 def _plan(stream: str, source: str, shares: dict[str, float], size: str) -> str:
     """SQL: largest-remainder plan of the streams of ``source``."""
-    units = [(name, round(share * 10**9)) for name, share in shares.items()]
+    units = [(name, round(share * SHARE_UNIT)) for name, share in shares.items()]
     total = sum(u for _, u in units)
     return f"""
     shares(stream, units) as (values {_values(units)}),

@@ -7,8 +7,6 @@ depend on file splits, partition counts or retries, unlike ``rand(seed)``.  Its
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +19,11 @@ def stable_key(seed: int, *ids: Column | str) -> Column:
 
 
 def draw32(key: Column | str) -> Column:
-    """The key's first 32 bits as a long in ``[0, 2**32)``."""
-    return F.conv(F.substring(_col(key), 1, 8), 16, 10).cast("long")
+    """The key's first 32 bits as a long in ``[0, 2**32)``.
+
+    A key is never null; saying so spares joins a null check that would compute it again.
+    """
+    return F.coalesce(F.conv(F.substring(_col(key), 1, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def bucket_of(key: Column | str, n: int) -> Column:
@@ -30,9 +31,5 @@ def bucket_of(key: Column | str, n: int) -> Column:
     return F.shiftright(draw32(key) * F.lit(int(n)).cast("long"), 32).cast("int")
 
 
-def columns(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -50,13 +50,16 @@ def mix(
     stream's stable order once more.  Adds ``copy``.
 
     The data itself is not shuffled.  The last row that belongs to a stream's remainder is
-    found from counts per hash bucket and an exact rank inside the one bucket where the
-    remainder ends; after that each row knows its number of copies by itself.
+    found first, from counts per hash bucket and an exact rank inside the one bucket where
+    the remainder ends; these cuts (one per stream) become part of the plan, so each row knows
+    its number of copies by itself, however often the result is evaluated.
     """
     plan = F.broadcast(plan_table(df, plans, stream_col))
     keyed = df.withColumn("_key", stable_key(seed, stream_col, id_col))
     ids = keyed.select(stream_col, id_col, "_key", bucket_of("_key", CUT_BUCKETS).alias("_bucket"))
-    cut = F.broadcast(_remainder_cut(ids, plan.select(stream_col, "remainder"), id_col, stream_col))
+    wanted = plan.select(stream_col, "remainder").where(F.col("remainder") > 0)
+    cuts = _remainder_cuts(ids, wanted, id_col, stream_col).toArrow()
+    cut = F.broadcast(df.sparkSession.createDataFrame(cuts))
     place = F.struct(F.col("_key"), F.col(id_col).alias("_id"))
     extra = F.coalesce((place <= F.col("_last")).cast("long"), as_long(0))
     counted = (
@@ -68,7 +71,7 @@ def mix(
     return counted.select(*df.columns, F.explode(F.sequence(as_long(0), F.col("_copies") - 1)).alias("copy"))
 
 
-def _remainder_cut(ids: DataFrame, wanted: DataFrame, id_col: str, stream_col: str) -> DataFrame:
+def _remainder_cuts(ids: DataFrame, wanted: DataFrame, id_col: str, stream_col: str) -> DataFrame:
     """``(stream, _last)``: key and id of the last row inside each stream's remainder.
 
     One row per stream that has a remainder.

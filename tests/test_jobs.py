@@ -76,6 +76,13 @@ def test_pack_without_concatenation(spark, corpus, tmp_path):
     pack.main(["--path", str(corpus), "--input-format", "json", "--out", out, "--split", "val"])
     df = spark.read.parquet(f"{out}/val")
     assert df.columns == ["text"] and df.count() == 60
+    merged = str(tmp_path / "merged")
+    merge.main(["--root", f"{out}/val", "--out", merged, "--n-files", "3"])
+    assert sorted(r["sample"] for r in spark.read.parquet(merged).collect()) == list(range(60))
+    left, right = str(tmp_path / "l"), str(tmp_path / "r")
+    split.main(["--path", f"{out}/val", "--left-path", left, "--right-path", right, "--right-prob", "0.3"])
+    assert spark.read.parquet(left).columns == ["text"]
+    assert spark.read.parquet(left).count() + spark.read.parquet(right).count() == 60
 
 
 def test_files_to_indexed_datasets_and_merge(spark, corpus, tmp_path):

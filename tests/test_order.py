@@ -58,6 +58,22 @@ def test_scan_ids_are_unique(spark, sf):
     assert df.select("row_id").distinct().count() == df.count()
 
 
+def test_scan_position_over_files(spark, tmp_path):
+    for part in ("b", "a"):
+        for i in range(3):
+            rows = spark.range(i * 10, i * 10 + 4).select("id", F.lit(f"{part}{i}").alias("file"))
+            rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/part={part}")
+    df = spark.read.parquet(str(tmp_path))
+    got = position.with_scan_position(df).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(24))
+    seen = [r.file for r in got]
+    assert all(seen[k] == seen[k - k % 4] for k in range(24)) and len(set(seen)) == 6
+    one = position.with_scan_position(df.where("part = 'a'")).orderBy("pos").collect()
+    assert [r.pos for r in one] == list(range(12))
+    with pytest.raises(Exception, match="whole files"):
+        position.with_scan_position(df.where("id % 2 = 0")).collect()
+
+
 def test_position_with_a_hot_leading_value(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"), "id"

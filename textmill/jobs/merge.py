@@ -1,4 +1,7 @@
-"""Merge the sub-datasets of a root into one dataset."""
+"""Merge the sub-datasets of a root into one dataset.
+
+Packed samples are renumbered by shard and sequence number, text samples by file order.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from collections.abc import Sequence
 
 from textmill.jobs.common import parser, session
 from textmill.operators.merge import document_bounds, merge_indexed, merge_samples
+from textmill.operators.position import with_scan_position
 from textmill.sinks.write import in_order, write_corpus
 
 
@@ -20,7 +24,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = session("merge")
     df = spark.read.parquet(a.root)
     if not a.indexed:
-        merged = in_order(merge_samples(df), "sample", df.count(), a.n_files)
+        merged = merge_samples(df) if "seq" in df.columns else with_scan_position(df, "sample")
+        merged = in_order(merged, "sample", df.count(), a.n_files)
         write_corpus(merged, a.out, codec=a.codec, mode="errorifexists")
         return
     merged = merge_indexed(df, "output")

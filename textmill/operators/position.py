@@ -38,12 +38,16 @@ def before(value: Column | str, group: Sequence[str], order: Sequence[str]) -> C
 def with_scan_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """Position of each row in file order, then row order, of a Parquet scan.
 
-    ``df`` must be the scan itself (only there the file metadata is visible).  The counts
-    pass reads no column.  The offsets table has one row per input file; how many there are is
+    ``df`` must be a scan of whole files (a choice of partitions or columns is fine); rows left
+    out of a file are found and refused.  The counts pass of a plain scan reads no column.  The offsets table has one row per input file; how many there are is
     known from the listing, and the table is broadcast unless they are too many.
     """
     scanned = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_n"))
+    rows = F.count("*")
+    if "Filter" in df._jdf.queryExecution().analyzed().toString():
+        whole = rows == F.max("_metadata.row_index") + 1
+        rows = F.when(whole, rows).otherwise(F.raise_error(F.lit("scan positions need whole files")).cast("long"))
+    counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(rows.alias("_n"))
     offsets = counts.select("_file", before("_n", [], ["_file"]).alias("_offset"))
     if len(df._jdf.inputFiles()) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)

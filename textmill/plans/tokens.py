@@ -11,7 +11,15 @@ from textmill.operators.audit import text_audit, token_range_audit, token_report
 from textmill.operators.pack import pack, pack_report, text_samples
 from textmill.operators.position import with_position, with_scan_position
 from textmill.operators.sharding import assign_shard
-from textmill.operators.tokenize import bpe_tokenizer, byte_tokenizer, separators, tokenize, word_hash_tokenizer
+from textmill.operators.tokenize import (
+    bpe_tokenizer,
+    byte_tokenizer,
+    callable_tokenizer,
+    map_partitions_of_texts,
+    separators,
+    tokenize,
+    word_hash_tokenizer,
+)
 from textmill.plans.tables import NUMBERED, table
 from textmill.staging import stage
 
@@ -88,6 +96,28 @@ def tokenize_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", fingerprint(F.col("tokens")).alias("fingerprint"))
 
 
+def tokenize_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tokeniser that is any Python function: here one id per character."""
+
+    def load():
+        return lambda texts: [[ord(c) for c in text] for text in texts]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = tokenize(docs, callable_tokenizer(load, 0x110000))
+    return tokens.select("doc_id", "n_tokens", fingerprint(F.col("tokens")).alias("fingerprint"))
+
+
+def preprocess_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An own preprocessing function over batches of documents: here their lines, counted."""
+
+    def count_lines(batches):
+        for pdf in batches:
+            yield pdf[["doc_id"]].assign(n_lines=pdf["text"].str.count("\n") + 1)
+
+    docs = table(spark, sf_dir, "documents")
+    return map_partitions_of_texts(docs, count_lines, "doc_id long, n_lines long", ["doc_id", "text"])
+
+
 def pack_words_bos_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed(pack(word_tokens(spark, sf_dir), WORD_LENGTH))
 
@@ -156,6 +186,8 @@ QUERIES = {
     "tokenize_bytes_stats": tokenize_bytes_stats,
     "tokenize_pages_bytes": tokenize_pages_bytes,
     "tokenize_bpe": tokenize_bpe,
+    "tokenize_code_points": tokenize_code_points,
+    "preprocess_lines": preprocess_lines,
     "word_counts": word_counts,
     "pack_words_bos_eos": pack_words_bos_eos,
     "pack_keep_tail": pack_keep_tail,
@@ -245,6 +277,13 @@ ORACLES = {
         select doc_id, count(*) as n_tokens,
             md5(string_agg(cast({_symbol_id('s')} as varchar), ',' order by i, j)) as fingerprint
         from flat group by 1""",
+    "tokenize_code_points": """
+        select doc_id, length(text) as n_tokens,
+            md5(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)), ','))
+                as fingerprint
+        from documents""",
+    "preprocess_lines": """
+        select doc_id, len(string_split(text, chr(10))) as n_lines from documents""",
     "word_counts": f"select doc_id, cast(len({_WORDS}) as bigint) as n_words from documents",
     "pack_words_bos_eos": f"with {_WORD_DOCS}, {_samples(WORD_LENGTH)} {_SHOWN} where n_tokens = {WORD_LENGTH}",
     "pack_keep_tail": f"with {_WORD_DOCS}, {_samples(WORD_LENGTH)} {_SHOWN}",

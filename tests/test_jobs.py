@@ -6,6 +6,8 @@ import os
 import pytest
 
 from textmill.jobs import ingest, merge, mix, pack, shuffle, split, tokenize_files
+from textmill.operators.indexed import indexed_datasets
+from textmill.operators.tokenize import byte_tokenizer
 
 
 @pytest.fixture
@@ -108,3 +110,15 @@ def test_ingest_job(spark, corpus, tmp_path):
     ingest.main([*args, "--append-eod"])
     ingest.main([*args, "--append-eod"])
     assert spark.read.parquet(str(tmp_path / "o")).count() == 60
+
+
+def test_missing_texts_take_no_item_number(spark, tmp_path):
+    lines = [{"text": "a"}, {"other": 1}, {"text": ""}, {"text": None}, {"text": "bc"}]
+    path = tmp_path / "x.jsonl"
+    path.write_text("".join(json.dumps(line) + "\n" for line in lines))
+    items = indexed_datasets(spark, [str(path)], byte_tokenizer(), schema="text string").orderBy("item_idx")
+    assert [(r.item_idx, r.size, r.tokens) for r in items.collect()] == [
+        (0, 1, [97]),
+        (1, 0, []),
+        (2, 2, [98, 99]),
+    ]

@@ -17,15 +17,27 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--max-files", type=int, help="files per batch")
+    p.add_argument("--spread", type=int, help="tasks to deal the rows of few small files out to")
     p.add_argument("--append-eod", action="store_true")
     add_tokenizer(p)
     a = p.parse_args(argv)
     spark = session("ingest")
     tokenizer = make_tokenizer(spark, a.tokenizer)
     eod = tokenizer.eos_id if a.append_eod else None
-    ingest(
-        spark, a.path, a.out, a.checkpoint, tokenizer, a.schema, a.input_format, a.text, eod, a.max_files
-    ).awaitTermination()
+    query = ingest(
+        spark,
+        a.path,
+        a.out,
+        a.checkpoint,
+        tokenizer,
+        a.schema,
+        a.input_format,
+        a.text,
+        eod,
+        a.max_files,
+        a.spread,
+    )
+    query.awaitTermination()
 
 
 if __name__ == "__main__":

@@ -52,10 +52,11 @@ def indexed_datasets(
 
     Every document is one item, numbered in file order; documents without a text make none.
     """
-    docs = read_files_in_order(spark, paths, fmt, schema).select("file_idx", "pos", key)
-    tokens = tokenize(docs, tokenizer, key, eod=eod).withColumn("_one", F.lit(1))
-    numbered = with_running_total(tokens, "_one", "pos", ["file_idx"], "item_idx")
-    return numbered.select(
+    docs = read_files_in_order(spark, paths, fmt, schema).select("file_idx", "pos", F.col(key).alias("text"))
+    # Numbered as texts, which are smaller than their tokens; a missing text takes no number.
+    counted = docs.withColumn("_item", F.col("text").isNotNull().cast("long"))
+    numbered = with_running_total(counted, "_item", "pos", ["file_idx"], "item_idx")
+    return tokenize(numbered, tokenizer, eod=eod).select(
         "file_idx",
         "item_idx",
         F.col("item_idx").alias("doc_idx"),

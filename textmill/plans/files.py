@@ -17,10 +17,11 @@ from textmill.operators.tokenize import byte_tokenizer
 from textmill.plans.splitting import _MARKED, RIGHT_MAX, RIGHT_PROB
 from textmill.plans.tables import NUMBERED, draw_sql, md5_key, table
 from textmill.plans.tokens import EOD, _bytes_of
+from textmill.session import spread_if_small
 from textmill.sinks.write import in_order, write_corpus, write_per_file, write_split
 from textmill.sources.corpus import decompress_json, read_corpus
 from textmill.sources.streams import read_streams
-from textmill.staging import stage, staging_root
+from textmill.staging import staging_root
 
 SEED = 5
 FILES = 6
@@ -38,13 +39,14 @@ def _file_number() -> Column:
 
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "json")
-    write_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), out, "json")
+    write_corpus(spread_if_small(table(spark, sf_dir, "documents").select("doc_id", "text")), out, "json")
     return read_corpus(spark, out, "json", "doc_id long, text string")
 
 
 def gzip_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed, plain = _out(spark, "gzip"), _out(spark, "plain")
-    write_corpus(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), packed, "json", "gzip")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    write_corpus(spread_if_small(docs), packed, "json", "gzip")
     return decompress_json(spark, packed, plain, "doc_id long, lang string, text string")
 
 
@@ -90,7 +92,7 @@ def tokenize_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_tokenized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "datasets")
-    write_per_file(stage(_datasets(spark, sf_dir), "datasets"), out, "corpus", 2, key="text")
+    write_per_file(_datasets(spark, sf_dir), out, "corpus", 2, key="text")
     merged = merge_indexed(read_corpus(spark, out), "output")
     return merged.select("output", "merged_idx", "item_idx", "size")
 

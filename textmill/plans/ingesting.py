@@ -26,6 +26,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema,
         fmt="parquet",
         eod=EOS,
+        spread=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(

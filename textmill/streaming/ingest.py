@@ -37,14 +37,18 @@ def ingest(
     text_col: str = "text",
     eod: int | None = None,
     max_files: int | None = None,
+    spread: int | None = None,
 ) -> StreamingQuery:
     """Tokenise all files that are new since the last run and append them to ``out``.
 
     The checkpoint knows the files that are done and the file sink commits whole batches, so a
     restart neither loses nor repeats a file.  Packing needs a running offset over all
-    documents and stays a batch job on the table that grows here.
+    documents and stays a batch job on the table that grows here.  ``spread`` deals the rows of
+    a few small files out to so many tasks.
     """
     docs = read_new_files(spark, src, schema, fmt, max_files)
+    if spread is not None:
+        docs = docs.repartition(spread)
     query = (
         tokenize(docs, tokenizer, text_col, eod=eod)
         .writeStream.format("parquet")

@@ -37,7 +37,8 @@ def test_shuffle_has_one_exchange_and_no_sampling(docs):
 
 def test_numbered_shuffle_moves_the_rows_once(docs):
     text = plan(shuffle(docs, 4, key="doc_id", emit_pos=True))
-    assert text.count("shufflepartitionidpassthrough") == 1
+    assert text.count("shufflepartitionidpassthrough") == 1 and text.count("Window [") == 1
+    assert "Window [sum(_n" in text, "rows are numbered without a window; only bucket counts are summed"
     reads = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert reads[1:] == ["doc_id:bigint"] and "text" in reads[0]
 

@@ -76,6 +76,18 @@ def test_per_file_outputs(spark, tmp_path):
     write.write_per_file(df, out, "corpus", 11, key="text")
     names = sorted(n for n in os.listdir(out) if n.startswith("output="))
     assert names[0] == "output=corpus_00_text_document" and len(names) == 11
+    assert spark.read.parquet(out).count() == 30
+
+
+def test_compacted_shards(spark, tmp_path):
+    df = spark.range(100).repartition(5).select((F.col("id") % 2).alias("shard"), "id")
+    files = {}
+    for compact in (True, False):
+        out = str(tmp_path / str(compact))
+        write.write_shards(df, out, compact=compact)
+        assert spark.read.parquet(out).count() == 100
+        files[compact] = len(data_files(f"{out}/shard=0"))
+    assert files == {True: 1, False: 5}
 
 
 def test_ordered_files(spark, tmp_path):

@@ -32,6 +32,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--eos-id", action="store_true", help="the tokeniser's own end id after each document")
     p.add_argument("--no-wrap", action="store_true")
     p.add_argument("--keep-tail", action="store_true")
+    p.add_argument("--compact", action="store_true", help="fewer, larger files for one more exchange")
     a = p.parse_args(argv)
     spark = session("pack")
     refuse_existing(spark, a.out, [a.split])
@@ -48,7 +49,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     docs = assign_shard(place(scan).select("pos", a.text), a.shards)
     tokens = stage(tokenize(docs, tokenizer, a.text, before, after), "tokens")
     samples = pack(tokens, a.concat_tokens, wrap=not a.no_wrap, keep_tail=a.keep_tail)
-    write_shards(samples, out, codec=a.codec)
+    write_shards(samples, out, codec=a.codec, compact=a.compact)
     drop_staged(spark)
 
 

@@ -27,6 +27,7 @@ MAX_SUMMARY_ROWS = 1 << 20
 BLOCK_ROWS = 1024
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition id above, row index below
+_ROW_BITS = (1 << _SLOT_BITS) - 1
 
 
 def before(value: Column | str, group: Sequence[str], order: Sequence[str]) -> Column:
@@ -99,12 +100,18 @@ def with_hash_position(
     offsets = counts.select(*slots, before("_n", group, ["_bucket"]).alias("_offset"))
     if n * max_groups <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    local = F.row_number().over(Window.partitionBy(*slots).orderBy(key, *ties))
+    placed = bucketed.repartitionById(n, "_bucket")
+    if group:
+        local = F.row_number().over(Window.partitionBy(*slots).orderBy(key, *ties)) - 1
+    else:
+        # Partition and bucket are the same: rows are numbered as they come out of the sort,
+        # where a window would hold back the whole bucket.
+        placed = placed.sortWithinPartitions(key, *ties)
+        local = F.monotonically_increasing_id().bitwiseAND(_ROW_BITS)
     return (
-        bucketed.repartitionById(n, "_bucket")
-        .withColumn("_local", local)
+        placed.withColumn("_local", local)
         .join(offsets, slots)
-        .select(*df.columns, (F.col("_offset") + F.col("_local") - 1).alias(name))
+        .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
     )
 
 
@@ -128,7 +135,7 @@ def with_position(df: DataFrame, order: Sequence[str], n: int | None = None, nam
     offsets = counts.select("_part", before("_n", [], ["_part"]).alias("_offset"))
     if n <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    index = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
+    index = F.col("_slot").bitwiseAND(_ROW_BITS)
     return rows.join(offsets, "_part").select(*df.columns, (F.col("_offset") + index).alias(name))
 
 

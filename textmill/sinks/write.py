@@ -30,16 +30,18 @@ def write_corpus(
     df.write.mode(mode).option("compression", codec_name(codec, fmt)).format(fmt).save(out)
 
 
+def _compacted(df: DataFrame, column: str, compact: bool) -> DataFrame:
+    """With ``compact``: rebalanced by the output column.  That is one more exchange of the data;
+    it keeps the files few and lets an output much larger than the others be written by several
+    tasks.  Without it every task writes a file per output it holds rows of."""
+    return df.hint("rebalance", F.col(column)) if compact else df
+
+
 def write_shards(
-    df: DataFrame, out: str, shard_col: str = "shard", codec: str | None = None, compact: bool = True
+    df: DataFrame, out: str, shard_col: str = "shard", codec: str | None = None, compact: bool = False
 ) -> None:
-    """One sub-directory per shard.
-
-    With ``compact`` the rows are rebalanced by shard first, which keeps the number of files low
-    and lets a shard that is much larger than the others be written by several tasks.  Without
-    it nothing is shuffled and every task writes a file per shard it holds rows of.
-    """
-    rows = df.hint("rebalance", F.col(shard_col)) if compact else df
+    """One sub-directory per shard."""
+    rows = _compacted(df, shard_col, compact)
     rows.write.mode("overwrite").option("compression", codec_name(codec)).partitionBy(shard_col).parquet(out)
 
 
@@ -84,14 +86,20 @@ def write_split_paths(
 
 
 def write_per_file(
-    df: DataFrame, out: str, base: str, n_files: int, file_idx: str = "file_idx", key: str | None = None
+    df: DataFrame,
+    out: str,
+    base: str,
+    n_files: int,
+    file_idx: str = "file_idx",
+    key: str | None = None,
+    compact: bool = False,
 ) -> None:
     """One sub-directory per input file, ``output=<base>_<padded index>[_<key>_document]``."""
     name = numbered_name(base, F.col(file_idx), n_files)
     if key is not None:
         name = F.concat(name, F.lit(document_suffix(key)))
-    named = df.withColumn("output", name).hint("rebalance", F.col("output"))
-    named.write.mode("overwrite").partitionBy("output").parquet(out)
+    rows = _compacted(df.withColumn("output", name), "output", compact)
+    rows.write.mode("overwrite").partitionBy("output").parquet(out)
 
 
 def document_suffix(key: str = "text") -> str:

@@ -14,11 +14,15 @@ from textmill.operators.tokenize import (
     tokenizer_json,
     word_hash_tokenizer,
 )
+from textmill.session import SETTINGS
 from textmill.sources.assets import read_bytes, read_merges, read_vocab
 
 
 def session(name: str) -> SparkSession:
-    return SparkSession.builder.appName(f"textmill-{name}").getOrCreate()
+    builder = SparkSession.builder.appName(f"textmill-{name}")
+    for setting, value in SETTINGS.items():
+        builder = builder.config(setting, value)
+    return builder.getOrCreate()
 
 
 def parser(description: str) -> argparse.ArgumentParser:

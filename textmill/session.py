@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 SMALL_BYTES_PER_CORE = 32 << 20
 
+# Settings that the jobs need.  The vectorised Parquet reader holds whole batches of rows: with
+# token arrays of long documents its default of 4096 rows can fill a heap.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
 
 def local_session(cpus: int | str = "*", app: str = "textmill", **conf: str) -> SparkSession:
     """A local session; ``conf`` entries use ``__`` for the dots of a setting name."""
@@ -20,10 +28,10 @@ def local_session(cpus: int | str = "*", app: str = "textmill", **conf: str) ->
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
     )
-    for name, value in conf.items():
-        builder = builder.config(name.replace("__", "."), value)
+    settings = SETTINGS | {name.replace("__", "."): value for name, value in conf.items()}
+    for name, value in settings.items():
+        builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

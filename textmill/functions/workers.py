@@ -103,20 +103,21 @@ class Fill:
 
     def transition(self) -> tuple[np.ndarray, np.ndarray]:
         """For every starting level: the level after the last document, and samples closed."""
-        close = self.closing(np.arange(self.n), 0)
-        level = np.zeros(self.n + 1, dtype=np.int64)
-        closed = np.zeros(self.n + 1, dtype=np.int64)
+        close = self.closing(np.arange(self.n), 0).tolist()
+        rest = (self.ends[self.n] - self.ends).tolist()
+        level, closed = [0] * (self.n + 1), [0] * (self.n + 1)
         for i in range(self.n - 1, -1, -1):
             after = close[i] + 1
             if after <= self.n:
                 level[i], closed[i] = level[after], closed[after] + 1
             else:
-                level[i] = self.ends[self.n] - self.ends[i]
+                level[i] = rest[i]
         start = np.arange(self.length)
         after = self.closing(0, start) + 1
         done = after <= self.n
         at = np.where(done, after, self.n)
-        return np.where(done, level[at], start + self.ends[self.n]), np.where(done, closed[at] + 1, 0)
+        levels = np.where(done, np.asarray(level)[at], start + self.ends[self.n])
+        return levels.astype(np.int32), np.where(done, np.asarray(closed)[at] + 1, 0).astype(np.int32)
 
     def replay(self, level: int, seq: int) -> tuple[np.ndarray, np.ndarray]:
         """Sample number and offset in the sample of every document, from a known start."""

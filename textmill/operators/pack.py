@@ -10,7 +10,7 @@ from textmill.functions.chunks import int_div
 from textmill.operators.position import before, with_blocks
 
 # Blocks of one no-wrap run; each carries two arrays of ``length`` numbers.
-FOLD_BLOCKS = 1 << 12
+FOLD_BLOCKS = 1 << 13
 
 
 def pack(
@@ -88,7 +88,7 @@ def place_unwrapped(docs: DataFrame, length: int, shard: str = "shard", order: s
     head = f"`{shard}` {kind[shard]}, _block long"
     effects = blocked.groupBy(shard, "_block").applyInPandas(
         lambda pdf: workers.block_transition(pdf, shard, order, length),
-        f"{head}, _level array<long>, _closed array<long>",
+        f"{head}, _level array<int>, _closed array<int>",
     )
     starts = effects.groupBy(shard).applyInPandas(
         lambda pdf: workers.chain_blocks(pdf, shard), f"{head}, _from long, _seq long"

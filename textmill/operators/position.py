@@ -40,8 +40,9 @@ def with_scan_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """Position of each row in file order, then row order, of a Parquet scan.
 
     ``df`` must be a scan of whole files (a choice of partitions or columns is fine); rows left
-    out of a file are found and refused.  The counts pass of a plain scan reads no column.  The offsets table has one row per input file; how many there are is
-    known from the listing, and the table is broadcast unless they are too many.
+    out of a file are found and refused.  The counts pass of a plain scan reads no column.  The
+    offsets table has one row per input file; how many there are is known from the listing, and
+    the table is broadcast unless they are too many.
     """
     scanned = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     rows = F.count("*")

@@ -63,6 +63,13 @@ def test_whole_copies_need_no_remainder(spark, streams):
     assert Counter(r.stream for r in got) == {"one": 3, "small": 74}
 
 
+def test_a_small_stream_repeated_very_often(spark, streams):
+    plans = [config.StreamPlan("one", 1, 5000), config.StreamPlan("small", 37, 40)]
+    got = mx.mix(streams, plans, 0, "id").collect()
+    assert sorted(r.copy for r in got if r.stream == "one") == list(range(5000))
+    assert sum(r.stream == "small" for r in got) == 40
+
+
 def test_blend(streams):
     plans = mx.blend_plan(streams, {"hot": 3.0, "small": 1.0}, 100)
     assert {p.stream: p.needed for p in plans} == {"hot": 75, "small": 25}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import position
+from textmill.operators.copies import emit_copies
 from textmill.operators.identity import number_copies, with_row_id, with_scan_id
 from textmill.operators.shuffle import shuffle, shuffle_epochs
 from textmill.operators.sharding import assign_shard
@@ -53,6 +54,25 @@ def test_copies_of_a_hot_row(spark):
     assert with_row_id(df).select("row_id").distinct().count() == n
 
 
+def test_many_copies_are_emitted_by_many_tasks(spark):
+    df = spark.createDataFrame([("a", 10_000), ("b", 3), ("c", 65), ("d", 1)], "v string, n long")
+    got = emit_copies(df, "n", ["v"])
+    for value, n in (("a", 10_000), ("b", 3), ("c", 65), ("d", 1)):
+        assert sorted(r.copy for r in got.where(F.col("v") == value).collect()) == list(range(n))
+    tasks = got.where("v = 'a'").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 5000
+    assert "Exchange" not in emit_copies(df, "n", ["v"], most=60)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counting_copies_runs_once(spark, sf):
+    flag = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.col("l_orderkey").cast("string"))
+    got = number_copies(spark.read.parquet(f"{sf}/lineitem.parquet").select(flag.alias("v"), "l_returnflag"))
+    assert got.count() == 6000
+    got.collect()
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert text.count("ReusedExchange") == 1
+
+
 def test_scan_ids_are_unique(spark, sf):
     df = with_scan_id(spark.read.parquet(f"{sf}/lineitem.parquet"))
     assert df.select("row_id").distinct().count() == df.count()

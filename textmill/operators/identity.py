@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.chunks import as_long, int_div
-
-COPIES_PER_ROW = 4096
+from textmill.operators.copies import emit_copies
 
 
 def with_row_id(df: DataFrame, key: str | None = None, name: str = "row_id") -> DataFrame:
@@ -29,15 +27,10 @@ def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
     """Number equal rows 0, 1, 2, ...
 
     Equal rows cannot be told apart, so they are counted (summed before the shuffle, however
-    many there are) and emitted again.  A large count is emitted in slices by many tasks.
+    many there are) and emitted again.
     """
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    n_slices = int_div(F.col("_n") - 1, COPIES_PER_ROW)
-    sliced = counted.withColumn("_slice", F.explode(F.sequence(as_long(0), n_slices)))
-    first = F.col("_slice") * COPIES_PER_ROW
-    last = F.least(first + (COPIES_PER_ROW - 1), F.col("_n") - 1)
-    spread = sliced.hint("rebalance")
-    return spread.withColumn(name, F.explode(F.sequence(first, last))).select(*df.columns, name)
+    return emit_copies(counted, "_n", df.columns, name=name)
 
 
 def with_scan_id(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textmill.config import EvalGroup, StreamPlan, check_shares, normalised, plan_mixture
 from textmill.functions.chunks import as_long, int_div
 from textmill.functions.keys import bucket_of, stable_key
+from textmill.operators.copies import emit_copies
 from textmill.operators.position import before, with_hash_position
 from textmill.session import small_table
 
@@ -49,7 +50,8 @@ def mix(
     """Rows of the epoch: every row ``full_copies`` times, the first ``remainder`` rows of the
     stream's stable order once more.  Adds ``copy``.
 
-    The data itself is not shuffled.  The last row that belongs to a stream's remainder is
+    The data itself is not shuffled, unless the plan repeats a small stream very often (see
+    :func:`textmill.operators.copies.emit_copies`).  The last row that belongs to a stream's remainder is
     found first, from counts per hash bucket and an exact rank inside the one bucket where
     the remainder ends; these cuts (one per stream) become part of the plan, so each row knows
     its number of copies by itself, however often the result is evaluated.
@@ -68,7 +70,8 @@ def mix(
         .withColumn("_copies", F.col("full_copies") + extra)
         .where(F.col("_copies") > 0)
     )
-    return counted.select(*df.columns, F.explode(F.sequence(as_long(0), F.col("_copies") - 1)).alias("copy"))
+    most = max((p.full_copies + 1 for p in plans), default=1)
+    return emit_copies(counted.select(*df.columns, "_copies"), "_copies", [stream_col, id_col], most)
 
 
 def _remainder_cuts(ids: DataFrame, wanted: DataFrame, id_col: str, stream_col: str) -> DataFrame:
@@ -94,12 +97,10 @@ def cyclic_pass(df: DataFrame, needed: int, available: int, pos: str = "pos") ->
 
     Each row works out from its position how often the pass comes by.
     """
-    last = int_div(as_long(needed - 1) - F.col(pos), available)
-    return (
-        df.where(F.col(pos) < needed)
-        .withColumn("copy", F.explode(F.sequence(as_long(0), last)))
-        .withColumn("cycle_pos", F.col("copy") * as_long(available) + F.col(pos))
-    )
+    times = int_div(as_long(needed - 1) - F.col(pos), available) + 1
+    rows = df.where(F.col(pos) < needed).withColumn("_times", times)
+    passes = emit_copies(rows, "_times", [pos], most=-(-needed // max(available, 1)))
+    return passes.withColumn("cycle_pos", F.col("copy") * as_long(available) + F.col(pos))
 
 
 def repeat_streams(
@@ -109,11 +110,8 @@ def repeat_streams(
     table = small_table(
         df.sparkSession, sorted(repeats.items()), [stream_col, "_repeat"], [pa.string(), pa.int64()]
     )
-    return (
-        df.join(F.broadcast(table), stream_col)
-        .where(F.col("_repeat") > 0)
-        .select(*df.columns, F.explode(F.sequence(as_long(0), F.col("_repeat") - 1)).alias("copy"))
-    )
+    repeated = df.join(F.broadcast(table.where(F.col("_repeat") > 0)), stream_col)
+    return emit_copies(repeated.select(*df.columns, "_repeat"), "_repeat", df.columns, max(repeats.values(), default=0))
 
 
 def shuffled_positions(
@@ -145,11 +143,8 @@ def group_members(df: DataFrame, groups: Sequence[EvalGroup], stream_col: str =
 def eval_groups(df: DataFrame, groups: Sequence[EvalGroup], stream_col: str = "stream") -> DataFrame:
     """The samples of every evaluation group; a sample comes once per group that has its stream."""
     members = F.broadcast(group_members(df, groups, stream_col))
-    return (
-        df.join(members, stream_col)
-        .withColumn("copy", F.explode(F.sequence(as_long(0), F.col("repeat") - 1)))
-        .drop("repeat")
-    )
+    most = max((g.repeat for g in groups), default=0)
+    return emit_copies(df.join(members, stream_col), "repeat", ["label", *df.columns], most)
 
 
 def eval_group_sizes(

@@ -60,3 +60,13 @@ def shuffle_epochs(
     keyed = per_epoch.withColumn("_key", stable_key(seed, "epoch", *ids))
     placed = with_hash_position(keyed, "_key", ids, n, group=["epoch"], max_groups=len(epochs))
     return placed.select("epoch", "pos", *ids)
+
+
+def epoch_samples(order: DataFrame, samples: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The samples that a kept epoch order names, with their ``pos`` and ``copy``.
+
+    ``ids`` identify a sample.  A sample that an epoch repeats very often is a hot key on the
+    order's side only; adaptive execution splits such a partition
+    (``spark.sql.adaptive.skewJoin.enabled``, on by default).
+    """
+    return order.join(samples, list(ids))

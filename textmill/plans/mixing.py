@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from textmill.operators.mixture import (
     token_budget,
 )
 from textmill.operators.position import with_scan_position
-from textmill.operators.shuffle import shuffle_epochs
+from textmill.operators.shuffle import epoch_samples, shuffle_epochs
 from textmill.operators.split import right_side
 from textmill.plans.splitting import _MARKED, marked_documents
 from textmill.plans.tables import NUMBERED, md5_key, table
@@ -76,11 +78,19 @@ def epoch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch_index_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second epoch, read from the kept order."""
-    out = f"{staging_root(spark)}/epochs-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    out = f"{staging_root(spark)}/epochs-{uuid.uuid4().hex}"
     write_epochs(epoch_index(spark, sf_dir), out)
     return read_epoch(spark, out, 1).drop("epoch")
 
 
+def epoch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of an epoch, fetched by a kept order."""
+    out = f"{staging_root(spark)}/epochs-{uuid.uuid4().hex}"
+    write_epochs(shuffle_epochs(_mixed(spark, sf_dir), SEED, [0], ["lang", "doc_id", "copy"]), out)
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return epoch_samples(read_epoch(spark, out, 0).drop("epoch"), docs, ["lang", "doc_id"])
+
+
 def cyclic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     available = docs.count()
@@ -128,6 +138,7 @@ QUERIES = {
     "mixture_shuffled_batches": mixture_shuffled_batches,
     "epoch_index": epoch_index,
     "epoch_index_kept": epoch_index_kept,
+    "epoch_documents": epoch_documents,
     "cyclic_pass": cyclic_documents,
     "stream_repeats": stream_repeats,
     "eval_groups": eval_groups_sizes,
@@ -201,6 +212,9 @@ ORACLES = {
         where pos < (select size from epoch) // {BATCH} * {BATCH}""",
     "epoch_index": f"with {_LANG_MIX} {_epoch(0)} union all {_epoch(1)}",
     "epoch_index_kept": f"with {_LANG_MIX}, kept as ({_epoch(1)}) select pos, lang, doc_id, copy from kept",
+    "epoch_documents": f"""
+        with {_LANG_MIX}, kept as ({_epoch(0)})
+        select pos, kept.lang, kept.doc_id, copy, text from kept join documents using (doc_id)""",
     "cyclic_pass": f"""
         with {NUMBERED}, sized as (select count(*) as n from documents)
         select doc_id, copy, copy * n + pos as cycle_pos

@@ -8,9 +8,10 @@ per task.  All are map-only: no word is shuffled to be looked up.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,14 +54,9 @@ def callable_tokenizer(
 ) -> Tokenizer:
     """Any Python tokeniser.  ``load`` runs once per task and returns texts -> ids."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from workers.encode_batches(batches, load)
 
-    # Set after definition: the types must be real objects, not postponed annotations.
-    import pyarrow as pa
-    from collections.abc import Iterator
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, TOKENS)
     return Tokenizer(lambda c: udf(c), vocab_size, bos_id, eos_id)
 

@@ -23,13 +23,14 @@ BROADCAST_ROWS = 500_000
 
 def staging_root(spark: SparkSession) -> str:
     """Folder for this application's staged tables."""
-    root = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get(_SETTING, None) or sc.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="textmill-")
-        spark.conf.set(_SETTING, root)
-    return f"{root.rstrip('/')}/textmill-{spark.sparkContext.applicationId}"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
+        root = sc.getCheckpointDir()
+    return f"{root.rstrip('/')}/textmill-{sc.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

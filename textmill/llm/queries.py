@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import html_extract, quality_classifier, quality_rules, toxicity
+from textmill.llm import html_extract, katz, ngram_join, quality_classifier, quality_rules, repeats, toxicity
 from textmill.llm.labelled import remainder
 
 
@@ -42,6 +42,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_folds(quality_classifier.score_quality(docs, weights), 3, 1)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs, keep_text=False)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
@@ -52,8 +61,21 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op5_toxicity, op8_html_extraction)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_quality_classifier,
+        op3_suffix_array_dedup,
+        op4_lm_scoring,
+        op5_toxicity,
+        op8_html_extraction,
+        op9_ngram_join,
+    )
 }
 
 _SPACE = "[\\x20\\x09-\\x0D]"

@@ -1 +1,10 @@
-"""Operators of a training-data pipeline.  Nothing else in the package imports this folder."""
+"""Operators of a training-data pipeline.  Nothing else in the package imports this folder.
+
+Functions that run in Python workers are sent by value, so workers need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules["textmill"])

@@ -70,6 +70,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
+class _Tables(dict):
+    """Powers by base; rebuilt where needed, never sent along with a function."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
 class Rolling:
     """Hashes of any byte range in constant time, from one pass over the bytes.
 
@@ -77,7 +84,7 @@ class Rolling:
     mixed at the end, so that it depends on the bytes only and not on where they lie.
     """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers = _Tables()
 
     def __init__(self, data: np.ndarray, base: int = BASE):
         power, self.inverse = self._table(base, len(data) + 1)

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import html_extract, katz, ngram_join, quality_classifier, quality_rules, repeats, toxicity
+from textmill.llm import (
+    best_fit,
+    html_extract,
+    katz,
+    ngram_join,
+    pieces,
+    projection_passes,
+    quality_classifier,
+    quality_rules,
+    repeats,
+    toxicity,
+)
 from textmill.llm.labelled import remainder
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +71,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_folds(toxicity.score_toxicity(docs, model), 5, 0)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"), pieces.Pieces.read(model))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +87,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,8 +99,11 @@ QUERIES = {
         op3_suffix_array_dedup,
         op4_lm_scoring,
         op5_toxicity,
+        op6_embedding_dedup,
+        op7_sentencepiece,
         op8_html_extraction,
         op9_ngram_join,
+        op10_best_fit_packing,
     )
 }
 

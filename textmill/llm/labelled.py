@@ -26,4 +26,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> D
         .limit(n)
     )
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int")
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", fold.alias("fold"))
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", fold.alias("fold"))

@@ -7,7 +7,8 @@ overlaps.  Only entries that can reach the wanted similarity are worked out:
   two or more entries to reach similarity ``t`` with any other;
 * with columns ordered from rare to frequent, two similar documents share a column among the first
   ``n - ceil(t * n) + 1`` of each (the size-derived bound), so products are taken on that block;
-* sizes of the two must lie within a factor ``t``.
+* an overlap cannot be larger than what either row has left from the shared column on, which must
+  reach ``t / (1 + t)`` of both sizes together.
 
 How many documents hold an n-gram comes from one exchange of key ranges (``keyed``).  Documents of
 equal sets are one row of the matrix.  Within a column, rows are first multiplied with one pivot
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 
 from textmill.llm import bytesops, keyed
 from textmill.llm.graph import components
-from textmill.staging import stage
+from textmill.staging import BROADCAST_ROWS, stage, stage_summary
 
 GRAM = 5
 PERCENT = 80
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
+# Columns are counted by this part of their hashes.  A chance collision makes a column look shared,
+# which costs a little work and changes no result.
+COUNTED = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def shingles(data: np.ndarray, at: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +68,7 @@ def shingles(data: np.ndarray, at: np.ndarray, gram: int = GRAM) -> tuple[np.nda
 def _ask(batches: Iterator[pa.RecordBatch], gram: int, bits: int) -> Iterator[pa.RecordBatch]:
     def add(state: list, batch: pa.RecordBatch) -> None:
         for _, _, data, at in bytesops.pieces(batch.column("text")):
-            keys, counts = np.unique(shingles(data, at, gram)[1], return_counts=True)
+            keys, counts = np.unique(shingles(data, at, gram)[1] & COUNTED, return_counts=True)
             state.append((keys, counts))
 
     def end(split: int, state: list) -> pa.RecordBatch:
@@ -79,11 +83,11 @@ def _rows(docs: pa.Table, replies: pa.Table, gram: int, percent: int) -> Iterato
     found = [
         (first, *shingles(data, at, gram), len(at) - 1) for first, _, data, at in bytesops.pieces(docs["text"])
     ]
-    known = keyed.distinct([keys for _, _, keys, _ in found])[0]
+    known = keyed.distinct([keys & COUNTED for _, _, keys, _ in found])[0]
     frequency = keyed.aligned(replies, np.uint32)
     ids = docs["doc_id"].to_pylist()
     for first, rows, keys, n_rows in found:
-        often = frequency[np.searchsorted(known, keys)]
+        often = frequency[np.searchsorted(known, keys & COUNTED)]
         cuts = np.searchsorted(rows, np.arange(n_rows + 1))
         checks = np.zeros(len(keys) + 1, dtype=np.uint64)
         np.cumsum(bytesops.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), out=checks[1:])
@@ -127,18 +131,25 @@ def incidence(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     )
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _can_reach(left: tuple[str, str], right: tuple[str, str], percent: int) -> Column:
+    """Whether rows ``(size, columns left)`` can overlap enough."""
+    return (100 + percent) * F.least(left[1], right[1]) >= percent * (F.col(left[0]) + F.col(right[0]))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose overlap reaches the similarity."""
-    left = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    """Pairs ``(a, b)`` whose overlap reaches the similarity.
+
+    ``pairs`` is a written table; if its counted size is small, only the rows it names are moved.
+    """
+    small = pairs.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else (lambda df: df)
+    named = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    left = named.join(sent(pairs), "a")
+    named = rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    right = named.join(sent(pairs.select("b").distinct()), "b", "left_semi")
     overlap = F.size(F.array_intersect("ga", "gb"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        left.join(right, "b")
         .select("a", "b", "na", "nb", overlap.alias("o"))
         .where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
         .select("a", "b")
@@ -157,34 +168,43 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_rows(rows: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """``(id, component)`` of distinct rows ``(id, n, block, grams)`` of the incidence matrix."""
-    entries = rows.select("id", "n", (F.col("n") - F.size("grams")).alias("own"), F.explode(F.slice("grams", 1, F.col("block"))).alias("gram"))
+    m = F.size("grams")
+    entries = rows.select("id", "n", m.alias("m"), F.posexplode(F.slice("grams", 1, F.col("block"))).alias("i", "gram"))
+    entries = entries.select("gram", "id", "n", (F.col("n") - F.col("m")).alias("own"), (F.col("m") - F.col("i")).alias("ahead"))
     often = stage(entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "columns")
     block = stage(entries.join(often, "gram"), "block")
-    labels = stage(rows.select("id", F.col("id").alias("component")), "labels")
+    labels = stage(rows.select("id", F.col("id").alias("component")).distinct(), "labels")
     for step in range(star_rounds + 1):
         named = block.join(labels, "id")
         # Copies have n-grams of their own where they differ; the row with fewest is likely the original.
         rank = F.struct(
-            *([F.col("own")] if step == 0 else []), F.xxhash64("id", F.lit(step)).alias("r"), "id", "n", "component"
+            *([F.col("own")] if step == 0 else []), F.xxhash64("id", F.lit(step)).alias("r"), "id", "n", "ahead", "component"
+        )
+        open_columns = named.groupBy("gram").agg(
+            F.min(rank).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")
         )
-        open_columns = named.groupBy("gram").agg(F.min(rank).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         pivots = stage(
             open_columns.where("lo <> hi").select(
-                "gram", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.component").alias("cb")
+                "gram",
+                F.col("p.id").alias("b"),
+                F.col("p.n").alias("nb"),
+                F.col("p.ahead").alias("ab"),
+                F.col("p.component").alias("cb"),
             ),
             "pivots",
         )
         if pivots.isEmpty():
             break
+        near = _can_reach(("n", "ahead"), ("nb", "ab"), percent)
         if step < star_rounds:
-            met = named.join(pivots, "gram").where(F.col("component") != F.col("cb")).where(_sizes_fit("n", "nb", percent))
+            met = named.join(pivots, "gram").where(F.col("component") != F.col("cb")).where(near)
             shared = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"))
             pairs = shared.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         else:  # every pair of rows of different components that still share a column
-            left = named.join(pivots.select("gram"), "gram").select("gram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            right = left.toDF("gram", "b", "nb", "cb")
-            pairs = left.join(right, "gram").where("ca < cb").where(_sizes_fit("na", "nb", percent)).select("a", "b").distinct()
-        links = stage(_verified(pairs, rows, percent), "links")
+            left = named.join(pivots.select("gram"), "gram").select("gram", F.col("id").alias("a"), "n", "ahead", "component")
+            right = left.toDF("gram", "b", "nb", "ab", "cb")
+            pairs = left.join(right, "gram").where("component < cb").where(near).select("a", "b").distinct()
+        links = stage(_verified(stage(pairs, "pairs"), rows, percent), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
     return labels
@@ -201,11 +221,10 @@ def ngram_components(
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     matrix = stage(incidence(named, gram, percent), "incidence")
     partners = matrix.where("grams is not null")
-    classes = stage(partners.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
+    classes = stage_summary(partners.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")), "classes")
+    firsts = classes.select("n", "h1", "h2", F.col("id").alias("doc_id"))
     rows = stage(
-        partners.join(classes.select("n", "h1", "h2", F.col("id").alias("doc_id")), ["n", "h1", "h2", "doc_id"])
-        .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("id"), "n", "block", "grams"),
+        partners.join(firsts, ["n", "h1", "h2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "block", "grams"),
         "rows",
     )
     labels = stage(classes.join(linked_rows(rows, percent), "id").select("n", "h1", "h2", "component"), "components")

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 # Texts are taken in pieces of about this many bytes, so that the arrays derived from them
 # (some eight bytes a byte each) stay small.  A longer text makes a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 CODES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,7 +102,7 @@ class Rolling:
                 steps[0] = 1
                 grown.append(np.cumprod(steps, dtype=np.uint64))
             held = (grown[0], grown[1])
-            if size <= 4 * PIECE_BYTES:
+            if size <= 16 * PIECE_BYTES:
                 cls._powers[base] = held
         return held
 

@@ -186,6 +186,11 @@ def distinct(parts: list[np.ndarray], *weights: list[np.ndarray]) -> tuple[np.nd
     if not parts:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64) for _ in weights])
     keys = np.concatenate(parts)
+    if not weights:
+        keys.sort()
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        return (keys[fresh],)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     fresh = np.ones(len(keys), dtype=bool)

@@ -189,11 +189,11 @@ def _digest_columns(found: list[tuple]) -> list[pa.Array]:
 def _apply_phrases(left: pa.Table, right: pa.Table, carried: list[str], length: int, keep: bool) -> pa.Table:
     """Texts whose strings are all settled are done; the others keep their bytes and open runs."""
     column = left["_text"]
-    parsed = [(a, b, data, at, parse(data, at, length)) for a, b, data, at in bytesops.pieces(column)]
-    known = keyed.distinct([p["phrase"] for *_, p in parsed])[0]
+    known = keyed.distinct([np.unique(parse(data, at, length)["phrase"]) for _, _, data, at in bytesops.pieces(column)])[0]
     verdict = keyed.aligned(right, np.uint8)
     digests, texts, opens, sets = [], [], [], []
-    for first_row, last_row, data, at, p in parsed:
+    for first_row, last_row, data, at in bytesops.pieces(column):
+        p = parse(data, at, length)
         code = verdict[np.searchsorted(known, p["phrase"])] if len(p["phrase"]) else np.zeros(0, np.uint8)
         cuts = np.searchsorted(p["row"], np.arange(last_row - first_row + 1))
         for r in range(last_row - first_row):
@@ -219,11 +219,11 @@ def _apply_phrases(left: pa.Table, right: pa.Table, carried: list[str], length:
 
 
 def _apply_strings(left: pa.Table, right: pa.Table, carried: list[str], length: int, keep: bool) -> pa.Table:
-    found = list(_strings(left, length))
-    known = keyed.distinct([h for h, _ in found])[0]
+    known = keyed.distinct([np.unique(h) for h, _ in _strings(left, length)])[0]
     again = keyed.aligned(right, np.uint8)
     digests = []
-    for (hashes, starts), text, settled in zip(found, left["_bytes"], left["_set"]):
+    # The hashes are worked out again rather than held for all texts of the split.
+    for (hashes, starts), text, settled in zip(_strings(left, length), left["_bytes"], left["_set"]):
         data = np.frombuffer(text.as_py(), dtype=np.uint8)
         hit = starts[again[np.searchsorted(known, hashes)] > 0]
         pairs = np.asarray(settled.as_py(), dtype=np.int64).reshape(-1, 2)

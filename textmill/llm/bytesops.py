@@ -109,6 +109,10 @@ class Rolling:
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
+    def windows(self, size: int) -> np.ndarray:
+        """A hash of every ``size`` bytes, good in its high bits."""
+        return (self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size] * np.uint64(BASE_2)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""

@@ -39,20 +39,29 @@ GRAM = 16
 UNIQUE, SETTLED, MIXED = 0, 1, 2
 
 
+_PLACE_BITS = np.uint64(24)
+
+
 def _leftmost(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest value in every run of ``width``."""
-    n = len(values) - width + 1
-    place = np.arange(len(values))
-    best = values
+    """Place of the leftmost smallest value in every run of ``width``; values have 40 bits."""
+    place = np.arange(len(values), dtype=np.uint64)
+    if len(values) >> 24:  # places do not fit beside the values
+        best = values
+        step = 1
+        while step < width:
+            shift = min(step, width - step)
+            take = best[shift:] < best[:-shift]
+            best = np.where(take, best[shift:], best[:-shift])
+            place = np.where(take, place[shift:], place[:-shift])
+            step += shift
+        return place.astype(np.int64)
+    best = (values << _PLACE_BITS) | place
     step = 1
     while step < width:
         shift = min(step, width - step)
-        ahead, ahead_place = best[shift:], place[shift:]
-        take = ahead < best[: len(ahead)]
-        best = np.where(take, ahead, best[: len(ahead)])
-        place = np.where(take, ahead_place, place[: len(ahead_place)])
+        best = np.minimum(best[shift:], best[:-shift])
         step += shift
-    return place[:n]
+    return (best & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
 def parse(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -61,39 +70,29 @@ def parse(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> dict[str, n
     Arrays of one entry a run: ``first`` and ``last`` start, ``row``, ``phrase`` and ``around``, the
     hashes of the phrase and of all bytes that the run's strings cover.
     """
-    none = {k: np.zeros(0, np.int64) for k in ("first", "last", "row")}
-    none |= {k: np.zeros(0, np.uint64) for k in ("phrase", "around")}
     width = (length - GRAM) // 2
-    if len(data) < length:
-        return none
+    rows = np.flatnonzero(np.diff(at) >= length)
+    if not len(rows):
+        none = np.zeros(0, np.int64)
+        return {"first": none, "last": none, "row": none, "phrase": none.view(np.uint64), "around": none.view(np.uint64)}
     rolling = bytesops.Rolling(data)
-    places = np.arange(len(data) - GRAM + 1)
-    grams = rolling.ranges(places, places + GRAM)
-    trigger = _leftmost(grams, width)
-    size = np.diff(at)
-    long = np.flatnonzero(size >= length)
-    if not len(long):
-        return none
-    # Starts of whole strings, text by text.
-    count = size[long] - length + 1
-    offset = np.repeat(at[:-1][long] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    starts = np.arange(int(count.sum())) + offset
-    row = np.repeat(long, count)
-    own = trigger[starts]
-    fresh = np.ones(len(starts), dtype=bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-    begin = np.flatnonzero(fresh)
-    stop = np.append(begin[1:], len(starts)) - 1
-    first, last, own = starts[begin], starts[stop], own[begin]
-    following = trigger[own + 1]
+    trigger = _leftmost(rolling.windows(GRAM) >> _PLACE_BITS, width)
+    # A run ends where the trigger changes and where a text has its last whole string.
+    fresh = np.zeros(len(trigger), dtype=bool)
+    fresh[1:] = trigger[1:] != trigger[:-1]
+    fresh[at[rows]] = True
+    first = np.flatnonzero(fresh)
+    row = np.searchsorted(at, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(trigger)) - 1, at[row + 1] - length)
+    whole = first <= last
+    first, last, row = first[whole], last[whole], row[whole]
+    own = trigger[first]
     return {
         "first": first,
         "last": last,
-        "row": row[begin],
-        "phrase": rolling.ranges(own, following + GRAM),
-        "around": bytesops.join_hashes(
-            [bytesops.Rolling(data, bytesops.BASE_2).ranges(first, last + length), (own - first).astype(np.uint64)]
-        ),
+        "row": row,
+        "phrase": rolling.ranges(own, trigger[own + 1] + GRAM),
+        "around": bytesops.join_hashes([rolling.ranges(first, last + length), (own - first).astype(np.uint64)]),
     }
 
 
@@ -265,7 +264,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
         ),
         "phrases",
     )
-    still_open = keyed.by_split(stage(first.where("_open is not null").drop(*[n for n, *_ in _DIGEST]), "open"))
+    still_open = keyed.by_split(first.where("_open is not null").drop(*[n for n, *_ in _DIGEST]))
     asked = still_open.select(keyed.SPLIT, "_bytes", "_open").mapInArrow(lambda b: _ask_strings(b, length, bits), keyed.ASKED)
     again = keyed.answers(asked, [np.uint8], lambda g: (g.total(0) > 1).astype(np.uint8)[g.of])
     second = still_open.groupBy(keyed.SPLIT).cogroup(again.groupBy(keyed.SPLIT)).applyInArrow(

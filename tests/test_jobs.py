@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from textmill.jobs import ingest, merge, mix, pack, shuffle, split, tokenize_files
 from textmill.operators.indexed import indexed_datasets
@@ -37,11 +38,14 @@ def test_shuffle_job(spark, corpus, tmp_path):
 def test_pack_split_merge_mix(spark, corpus, tmp_path):
     packed = str(tmp_path / "packed")
     args = ["--path", str(corpus), "--input-format", "json", "--out", packed, "--shards", "3"]
+    with pytest.raises(ValueError, match="--tokenizer"):
+        pack.main([*args, "--concat-tokens", "64", "--eos-text", "\n"])
+    args += ["--tokenizer", "bytes"]
     pack.main([*args, "--concat-tokens", "64", "--eos-text", "\n"])
     with pytest.raises(ValueError, match="already holds"):
         pack.main(args)
     with pytest.raises(ValueError, match="run into each other"):
-        pack.main([*args[:-3], str(tmp_path / "other"), *args[-2:], "--concat-tokens", "64"])
+        pack.main([*args[:5], str(tmp_path / "other"), *args[6:], "--concat-tokens", "64"])
     samples = spark.read.parquet(f"{packed}/train")
     total = samples.count()
     sizes = [len((f"text {i} {j} " * (j + 1)).encode()) + 1 for i in range(3) for j in range(20)]
@@ -53,6 +57,12 @@ def test_pack_split_merge_mix(spark, corpus, tmp_path):
     sizes = spark.read.parquet(left).count(), spark.read.parquet(right).count()
     assert sum(sizes) == total and min(sizes) > 0
 
+    for side, n in ((left, sizes[0]), (right, sizes[1])):  # a side has gaps; its merge has none
+        merge.main(["--root", side, "--out", f"{side}-merged", "--n-files", "2"])
+        rows = spark.read.parquet(f"{side}-merged").orderBy("sample").collect()
+        assert [r["sample"] for r in rows] == list(range(n))
+        assert [(r["shard"], r["seq"]) for r in rows] == sorted((r["shard"], r["seq"]) for r in rows)
+
     merged = str(tmp_path / "merged")
     merge.main(["--root", f"{packed}/train", "--out", merged, "--n-files", "2"])
     got = spark.read.parquet(merged)
@@ -102,7 +112,16 @@ def test_files_to_indexed_datasets_and_merge(spark, corpus, tmp_path):
     ]
     assert [r.tokens for r in items] == expected
     ends = spark.read.parquet(f"{merged}/documents").orderBy("end_idx").collect()
-    assert [r.end_idx for r in ends] == list(range(1, 61))
+    assert [r.end_idx for r in ends] == list(range(61))
+    with pytest.raises(ValueError, match="differ in type"):
+        spark.read.parquet(f"{out}/text/output=my_1_text_document").withColumn("size", F.col("size").cast("long")).write.parquet(
+            str(tmp_path / "odd" / "b")
+        )
+        spark.read.parquet(f"{out}/text/output=my_0_text_document").write.parquet(str(tmp_path / "odd" / "a"))
+        merge.main(["--root", str(tmp_path / "odd"), "--out", str(tmp_path / "no"), "--indexed"])
+    os.remove(f"{out}/text/_SUCCESS")
+    with pytest.raises(ValueError, match="not completely written"):
+        merge.main(["--root", f"{out}/text", "--out", str(tmp_path / "no"), "--indexed"])
 
 
 def test_ingest_job(spark, corpus, tmp_path):

@@ -10,6 +10,7 @@ from textmill.operators.copies import emit_copies
 from textmill.operators.identity import number_copies, with_row_id, with_scan_id
 from textmill.operators.shuffle import shuffle, shuffle_epochs
 from textmill.operators.sharding import assign_shard
+from textmill.sources.corpus import first_n
 
 
 def test_shuffle_does_not_depend_on_the_layout(spark):
@@ -152,3 +153,34 @@ def test_shards_are_even(spark):
         assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 23
     with pytest.raises(ValueError):
         assign_shard(df, 0)
+
+
+def test_scan_positions_refuse_parts_of_files(spark, tmp_path):
+    spark.range(100).repartition(2).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    files = df.inputFiles()
+    assert sorted(r.pos for r in position.with_scan_position(df).collect()) == list(range(100))
+    for part in (df.sample(0.5, seed=1), df.limit(30), df.where("id > 5"), spark.read.parquet(files[0], files[0])):
+        with pytest.raises(Exception, match="whole files"):
+            position.with_scan_position(part).collect()
+
+
+def test_first_n_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (2, 4)], "k int, v int")
+    assert [first_n(df, n, ["k"]).count() for n in (0, 2, 3, 4, 5)] == [0, 2, 3, 4, 4]
+    assert [r.v for r in first_n(df, 1, ["k", "v"]).collect()] == [1]
+
+
+def test_negative_zero_is_kept(spark):
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (-0.0, "a"), (None, "a")], "x double, s string")
+    rows = number_copies(df).collect()
+    assert sorted((str(r.x), r.copy) for r in rows) == [("-0.0", 0), ("-0.0", 1), ("0.0", 0), ("None", 0)]
+
+
+def test_many_striding_shards_have_full_blocks(spark):
+    """With 128 groups that take turns, a block still holds its share of a group's rows."""
+    df = spark.range(200_000).select(F.pmod("id", F.lit(128)).alias("shard"), F.col("id").alias("pos"), F.lit(500).alias("n"))
+    blocked, table = position.with_blocks(df, "n", "pos", ["shard"])
+    sizes = [r["count"] for r in blocked.groupBy("shard", "_block").count().collect()]
+    crossing = 2048 / 500  # documents a sample that crosses an edge takes part in
+    assert len(sizes) == table.count() and crossing * len(sizes) / 200_000 < 0.05

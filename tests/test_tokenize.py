@@ -144,3 +144,19 @@ def test_range_audit(spark):
     assert not token_range_audit(df.union(df.limit(0)).union(df.selectExpr("array(128)")), 100).first().fits
     wide = spark.createDataFrame([([1, 2],)], "tokens array<long>")
     assert dict(tk.as_int32(wide).dtypes)["tokens"] == "array<int>"
+
+
+def test_byte_level_encoding_keeps_every_text(spark):
+    from textmill.operators.tokenize import END_OF_TEXT, byte_level_tokenizer, decode_byte_level, tokenize
+    from textmill.plans.tokens import byte_level_vocab
+
+    vocab, merges = byte_level_vocab()
+    tokenizer = byte_level_tokenizer(spark, vocab, merges)
+    assert tokenizer.eos_id == vocab[END_OF_TEXT]
+    texts = ["the  therein\n\n tête über 漢字 it's 12 3", "", " ", None, " x\t y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r["tokens"] for r in tokenize(df, tokenizer).collect()}
+    assert {i: decode_byte_level(vocab, ids) for i, ids in got.items()} == {i: t for i, t in enumerate(texts) if t is not None}
+    assert vocab["Ġthe"] in got[0]
+    with pytest.raises(ValueError, match="lacks"):
+        byte_level_tokenizer(spark, {"a": 0}, [])

@@ -29,6 +29,45 @@ def encode_batches(
         yield pa.array([None if t is None else next(encoded) for t in texts], pa.list_(pa.int32()))
 
 
+def encode_words(
+    batches: Iterator[pa.Array], load: Callable[[], Callable[[str], list[int]]], remember: int = 1 << 18
+) -> Iterator[pa.Array]:
+    """Encode Arrow batches of word lists with an encoder of words that is loaded once per task.
+
+    Words are kept in two generations, so that frequent ones stay known."""
+    encode = load()
+    young: dict[str, list[int]] = {}
+    old: dict[str, list[int]] = {}
+    for batch in batches:
+        out = []
+        for words in batch.to_pylist():
+            if words is None:
+                out.append(None)
+                continue
+            ids: list[int] = []
+            for word in words:
+                got = young.get(word)
+                if got is None:
+                    got = old.get(word)
+                    if got is None:
+                        got = encode(word)
+                    if len(young) >= remember:
+                        old, young = young, {}
+                    young[word] = got
+                ids += got
+            out.append(ids)
+        yield pa.array(out, pa.list_(pa.int32()))
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: itself if it has a visible form in
+    Latin-1, else the next free one from code 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    codes = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+    return [chr(codes[b]) for b in range(256)]
+
+
 def merge_pairs(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> list[str]:
     """Byte-pair merging of one word: always the best-ranked neighbouring pair, everywhere."""
     none = len(ranks)

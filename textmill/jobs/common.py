@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from textmill.operators.tokenize import (
     Tokenizer,
-    bpe_tokenizer,
+    byte_level_tokenizer,
     byte_tokenizer,
     sentencepiece_tokenizer,
     tokenizer_json,
@@ -37,15 +37,17 @@ def add_inputs(p: argparse.ArgumentParser) -> None:
     p.add_argument("--input-format", choices=["parquet", "json"], default="parquet")
 
 
-def add_tokenizer(p: argparse.ArgumentParser) -> None:
+def add_tokenizer(p: argparse.ArgumentParser, default: str | None = "bytes") -> None:
     p.add_argument(
         "--tokenizer",
-        default="bytes",
+        default=default,
         help="bytes, words, bpe:<vocab.json>,<merges.txt>, sentencepiece:<model> or json:<tokenizer.json>",
     )
 
 
-def make_tokenizer(spark: SparkSession, spec: str) -> Tokenizer:
+def make_tokenizer(spark: SparkSession, spec: str | None) -> Tokenizer:
+    if not spec:
+        raise ValueError("token ids need a --tokenizer")
     kind, _, rest = spec.partition(":")
     if kind == "bytes":
         return byte_tokenizer()
@@ -53,7 +55,7 @@ def make_tokenizer(spark: SparkSession, spec: str) -> Tokenizer:
         return word_hash_tokenizer()
     if kind == "bpe":
         vocab, merges = rest.split(",")
-        return bpe_tokenizer(spark, read_vocab(spark, vocab), read_merges(spark, merges))
+        return byte_level_tokenizer(spark, read_vocab(spark, vocab), read_merges(spark, merges))
     if kind == "sentencepiece":
         return sentencepiece_tokenizer(spark, read_bytes(spark, rest))
     if kind == "json":

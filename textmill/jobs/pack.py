@@ -25,14 +25,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--codec")
     p.add_argument("--shards", type=int, default=1)
     p.add_argument("--concat-tokens", type=int, help="length of a sample; without it: one text per document")
-    add_tokenizer(p)
+    add_tokenizer(p, default=None)
     p.add_argument("--bos-text", default="")
     p.add_argument("--eos-text", default="")
     p.add_argument("--bos-id", action="store_true", help="the tokeniser's own begin id before each document")
     p.add_argument("--eos-id", action="store_true", help="the tokeniser's own end id after each document")
     p.add_argument("--no-wrap", action="store_true")
     p.add_argument("--keep-tail", action="store_true")
-    p.add_argument("--compact", action="store_true", help="fewer, larger files for one more exchange")
+    p.add_argument("--no-compact", action="store_true", help="save an exchange; every task writes a file per output it holds rows of")
     a = p.parse_args(argv)
     spark = session("pack")
     refuse_existing(spark, a.out, [a.split])
@@ -43,14 +43,16 @@ def main(argv: Sequence[str] | None = None) -> None:
     if a.concat_tokens is None:
         write_corpus(text_samples(scan, a.text), out, codec=a.codec)
         return
-    tokenizer = make_tokenizer(spark, a.tokenizer)
-    before, after = separators(spark, tokenizer, a.bos_text, a.eos_text, a.bos_id, a.eos_id)
-    place = with_scan_position if a.input_format == "parquet" else with_line_position
-    docs = assign_shard(place(scan).select("pos", a.text), a.shards)
-    tokens = stage(tokenize(docs, tokenizer, a.text, before, after), "tokens")
-    samples = pack(tokens, a.concat_tokens, wrap=not a.no_wrap, keep_tail=a.keep_tail)
-    write_shards(samples, out, codec=a.codec, compact=a.compact)
-    drop_staged(spark)
+    try:
+        tokenizer = make_tokenizer(spark, a.tokenizer)
+        before, after = separators(spark, tokenizer, a.bos_text, a.eos_text, a.bos_id, a.eos_id)
+        place = with_scan_position if a.input_format == "parquet" else with_line_position
+        docs = assign_shard(place(scan).select("pos", a.text), a.shards)
+        tokens = stage(tokenize(docs, tokenizer, a.text, before, after), "tokens")
+        samples = pack(tokens, a.concat_tokens, wrap=not a.no_wrap, keep_tail=a.keep_tail)
+        write_shards(samples, out, codec=a.codec, compact=not a.no_compact)
+    finally:
+        drop_staged(spark)
 
 
 if __name__ == "__main__":

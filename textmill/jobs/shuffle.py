@@ -20,6 +20,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--key", help="unique column that identifies a row; default: file and row number, or")
     p.add_argument("--by-content", action="store_true", help="the whole row (always so for JSON)")
+    p.add_argument("--schema", help="columns and types of the input; without it JSON is read once more to infer them")
     p.add_argument("--emit-pos", action="store_true", help="also write the position as shuffle_pos")
     p.add_argument("--layout-order", action="store_true", help="sort by rand(seed) instead of a stable key")
     p.add_argument("--output-format", choices=["parquet", "json"], default="parquet")
@@ -27,7 +28,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = session("shuffle")
     paths = resolve_inputs(spark, a.files, a.glob, a.shard, a.n_shards)
-    df = read_corpus(spark, paths, a.input_format)
+    df = read_corpus(spark, paths, a.input_format, a.schema)
     key = a.key
     if key is None and a.input_format == "parquet" and not (a.by_content or a.layout_order):
         df, key = with_scan_id(df, "_row"), "_row"

@@ -18,7 +18,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--keys", default="text", help="comma-separated keys; each makes datasets of its own")
     p.add_argument("--append-eod", action="store_true", help="end each document with the tokeniser's end id")
     p.add_argument("--out", required=True)
-    p.add_argument("--compact", action="store_true", help="fewer, larger files for one more exchange")
+    p.add_argument("--no-compact", action="store_true", help="save an exchange; every task writes a file per output it holds rows of")
     a = p.parse_args(argv)
     spark = session("tokenize-files")
     paths = resolve_inputs(spark, a.files, a.glob, a.shard, a.n_shards)
@@ -26,12 +26,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     if a.append_eod and tokenizer.eos_id is None:
         raise ValueError("the tokeniser has no end id")
     base = a.out.rstrip("/").rsplit("/", 1)[-1]
-    for key in a.keys.split(","):
-        schema = f"`{key}` string" if a.input_format == "json" else None
-        eod = tokenizer.eos_id if a.append_eod else None
-        items = indexed_datasets(spark, paths, tokenizer, a.input_format, key, schema, eod)
-        write_per_file(items, f"{a.out}/{key}", base, len(paths), key=key, compact=a.compact)
-    drop_staged(spark)
+    try:
+        for key in a.keys.split(","):
+            schema = f"`{key}` string" if a.input_format == "json" else None
+            eod = tokenizer.eos_id if a.append_eod else None
+            items = indexed_datasets(spark, paths, tokenizer, a.input_format, key, schema, eod)
+            write_per_file(items, f"{a.out}/{key}", base, len(paths), key=key, compact=not a.no_compact)
+    finally:
+        drop_staged(spark)
 
 
 if __name__ == "__main__":

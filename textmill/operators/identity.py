@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.operators.copies import emit_copies
 
@@ -29,8 +30,21 @@ def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
     Equal rows cannot be told apart, so they are counted (summed before the shuffle, however
     many there are) and emitted again.
     """
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    return emit_copies(counted, "_n", df.columns, name=name)
+    # Grouping makes -0.0 to 0.0; the two are told apart by their text and put back.
+    real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    signed = {c: f"_negative_zero_{i}" for i, c in enumerate(real)}
+    marked = df.select("*", *[(F.col(f"`{c}`").cast("string") == "-0.0").alias(m) for c, m in signed.items()])
+    counted = marked.groupBy(*[F.col(f"`{c}`") for c in marked.columns]).agg(F.count("*").alias("_n"))
+    restored = counted.select(
+        *[
+            F.when(F.col(signed[c]), F.lit(-0.0).cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c)
+            if c in signed
+            else F.col(f"`{c}`")
+            for c in df.columns
+        ],
+        "_n",
+    )
+    return emit_copies(restored, "_n", df.columns, name=name)
 
 
 def with_scan_id(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -15,7 +15,9 @@ from textmill.operators.copies import emit_copies
 from textmill.operators.position import before, with_hash_position
 from textmill.session import small_table
 
+# Hash buckets a stream is counted in: at least so many, and one for so many of its rows.
 CUT_BUCKETS = 4096
+CUT_ROWS = 1 << 15
 
 
 def stream_counts(df: DataFrame, streams: Sequence[str], stream_col: str = "stream") -> dict[str, int]:
@@ -58,7 +60,8 @@ def mix(
     """
     plan = F.broadcast(plan_table(df, plans, stream_col))
     keyed = df.withColumn("_key", stable_key(seed, stream_col, id_col))
-    ids = keyed.select(stream_col, id_col, "_key", bucket_of("_key", CUT_BUCKETS).alias("_bucket"))
+    buckets = max([CUT_BUCKETS, *(-(-p.available // CUT_ROWS) for p in plans)])
+    ids = keyed.select(stream_col, id_col, "_key", bucket_of("_key", buckets).alias("_bucket"))
     wanted = plan.select(stream_col, "remainder").where(F.col("remainder") > 0)
     cuts = _remainder_cuts(ids, wanted, id_col, stream_col).toArrow()
     cut = F.broadcast(df.sparkSession.createDataFrame(cuts))
@@ -179,6 +182,6 @@ def token_budget(
         stream_col,
         F.coalesce("n_tokens", as_long(0)).alias("n_tokens"),
         F.round(needed).cast("long").alias("n_needed"),
-        (needed / F.col("n_tokens")).alias("passes"),
+        F.try_divide(needed, F.col("n_tokens")).alias("passes"),
     )
 

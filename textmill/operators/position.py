@@ -36,22 +36,40 @@ def before(value: Column | str, group: Sequence[str], order: Sequence[str]) -> C
     return F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long")
 
 
+def _is_whole_scan(df: DataFrame) -> bool:
+    """Whether the plan only reads files and chooses columns, and reads no path twice.
+
+    A choice of rows may still be one of whole partitions, which the row counts tell; anything else
+    than a scan is refused.
+    """
+    node, chosen = df._jdf.queryExecution().analyzed(), False
+    while node.nodeName() in ("Project", "SubqueryAlias", "Filter", "Sample"):
+        chosen = chosen or node.nodeName() in ("Filter", "Sample")
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
+        raise ValueError(f"scan positions need whole files, not a {node.nodeName()}")
+    paths = str(node.relation().location().rootPaths().mkString("\n")).split("\n")
+    return not chosen and len(paths) == len(set(paths))
+
+
 def with_scan_position(df: DataFrame, name: str = "pos") -> DataFrame:
     """Position of each row in file order, then row order, of a Parquet scan.
 
     ``df`` must be a scan of whole files (a choice of partitions or columns is fine); rows left
-    out of a file are found and refused.  The counts pass of a plain scan reads no column.  The
+    out of a file (filtered, sampled, limited) and files read twice are found and refused.  The
+    counts pass of a plain scan reads no column.  The
     offsets table has one row per input file; how many there are is known from the listing, and
     the table is broadcast unless they are too many.
     """
+    listed = [str(f) for f in df._jdf.inputFiles()]
     scanned = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     rows = F.count("*")
-    if "Filter" in df._jdf.queryExecution().analyzed().toString():
-        whole = rows == F.max("_metadata.row_index") + 1
-        rows = F.when(whole, rows).otherwise(F.raise_error(F.lit("scan positions need whole files")).cast("long"))
+    if not _is_whole_scan(df):
+        whole = (rows == F.max("_metadata.row_index") + 1) & (rows == F.count_distinct("_metadata.row_index"))
+        rows = F.when(whole, rows).otherwise(F.raise_error(F.lit("scan positions need whole files, each read once")).cast("long"))
     counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(rows.alias("_n"))
     offsets = counts.select("_file", before("_n", [], ["_file"]).alias("_offset"))
-    if len(df._jdf.inputFiles()) <= BROADCAST_ROWS:
+    if len(listed) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     return scanned.join(offsets, "_file").select(*df.columns, (F.col("_offset") + F.col("_row")).alias(name))
 
@@ -147,22 +165,34 @@ def with_blocks(
 
     ``order`` is a long, unique within its group; best a dense position.  Returns ``df`` with
     ``_block``, and a table ``(group, _block, _offset, _sum)`` where ``_offset`` is the group's
-    total before the block.  If the values of ``order`` lie so unevenly that a block would hold
-    far more rows than its share, the rows are renumbered densely first.
+    total before the block.  Each group is cut by its own size, into blocks of an equal share of
+    rows; all groups together have at most ``max_blocks`` blocks and one more a group.  If the
+    values of ``order`` lie so unevenly that a block would hold far more rows than its share, the
+    rows are renumbered densely first.
     """
     group = list(group)
-    low, high, rows = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    if not rows:
-        low, high = 0, 0
-    span = high - low + 1
-    wanted = min(max_blocks, max(span // BLOCK_ROWS, 4 * shuffle_width(df), 1))
-    width = -(-span // wanted)
-    blocked = df.withColumn("_block", int_div(F.col(order) - F.lit(low), width))
+    stats = [F.min(order).alias("_low"), F.max(order).alias("_high"), F.count("*").alias("_rows")]
+    groups = stage((df.groupBy(*group).agg(*stats) if group else df.agg(*stats)), "groups")
+    rows = groups.agg(F.sum("_rows")).first()[0] or 0
+    wanted = min(max_blocks, max(rows // BLOCK_ROWS, 4 * shuffle_width(df), 1))
+    share = max(1, -(-rows // wanted))  # rows a block should hold
+    # A group gets as many blocks as it has shares, so a large one has many and a small one a single one.
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_rows") / share)).cast("long")
+    span = F.col("_high") - F.col("_low") + 1
+    widths = groups.select(*group, "_low", F.greatest(F.lit(1), F.ceil(span / blocks)).cast("long").alias("_width"))
+    block = F.expr("(`%s` - _low) div _width" % order)
+    if group:
+        small = groups.count() <= BROADCAST_ROWS
+        placed = df.join(F.broadcast(widths) if small else widths, group)
+        blocked = placed.select(*df.columns, block.alias("_block"))
+    else:
+        low, width = widths.first() if rows else (0, 1)
+        blocked = df.withColumn("_block", int_div(F.col(order) - F.lit(low), width))
     sums = stage(
         blocked.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"), F.count("*").alias("_rows")), "blocks"
     )
     fullest = sums.agg(F.max("_rows")).first()[0] or 0
-    if fullest > max(64 * BLOCK_ROWS, 8 * -(-rows // wanted)):
+    if fullest > max(64 * BLOCK_ROWS, 8 * share):
         dense = with_position(df, [*group, order], name="_dense")
         return with_blocks(dense, value, "_dense", group, max_blocks)
     table = sums.select(*group, "_block", before("_sum", group, ["_block"]).alias("_offset"), "_sum")

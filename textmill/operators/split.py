@@ -72,6 +72,7 @@ def audit_split(left: DataFrame, right: DataFrame, whole: DataFrame, key: Sequen
         "n_missing": (F.col("in_whole") > 0) & (F.col("in_left") + F.col("in_right") == 0),
         "n_foreign": (F.col("in_whole") == 0),
         "n_repeated": (F.col("in_left") > 1) | (F.col("in_right") > 1),
+        "n_miscounted": (F.col("in_left") + F.col("in_right") != F.col("in_whole")),
     }
 
     def total(c: Column) -> Column:

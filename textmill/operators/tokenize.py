@@ -22,6 +22,10 @@ from textmill.session import spread_if_small
 
 TOKENS = T.ArrayType(T.IntegerType())
 
+# The words of byte-level encoders, and the token that ends a document.
+BYTE_LEVEL_WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+END_OF_TEXT = "<|endoftext|>"
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -89,6 +93,54 @@ def bpe_tokenizer(
     return callable_tokenizer(load, 1 + max(vocab.values()), eos_id=eos_id)
 
 
+def byte_level_tokenizer(
+    spark: SparkSession,
+    vocab: Mapping[str, int],
+    merges: Sequence[tuple[str, str]],
+    end_of_text: str = END_OF_TEXT,
+    unk_id: int | None = None,
+) -> Tokenizer:
+    """Byte-pair encoding as vocabulary and merge files of byte-level encoders mean it.
+
+    Every byte has a printable character; words keep the space before them, and no text is lost.
+    Words are cut out on the JVM, and merged in the workers.  The id of ``end_of_text`` is that of
+    the vocabulary.  A vocabulary without all bytes needs ``unk_id``.
+    """
+    symbols = workers.byte_symbols()
+    missing = [s for s in symbols if s not in vocab]
+    if missing and unk_id is None:
+        raise ValueError(f"the vocabulary lacks {len(missing)} bytes and no unknown id is given")
+    assets = spark.sparkContext.broadcast((dict(vocab), {tuple(m): r for r, m in enumerate(merges)}))
+
+    def load():
+        ids, ranks = assets.value
+        spelled = workers.byte_symbols()
+
+        def encode_word(word: str) -> list[int]:
+            merged = workers.merge_pairs([spelled[b] for b in word.encode("utf-8")], ranks)
+            return [ids[s] if unk_id is None else ids.get(s, unk_id) for s in merged]
+
+        return encode_word
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from workers.encode_words(batches, load)
+
+    udf = F.arrow_udf(run, TOKENS)
+    return Tokenizer(
+        lambda c: udf(F.regexp_extract_all(c, F.lit(BYTE_LEVEL_WORDS), F.lit(0))),
+        1 + max(vocab.values()),
+        eos_id=vocab.get(end_of_text),
+    )
+
+
+def decode_byte_level(vocab: Mapping[str, int], ids: Sequence[int]) -> str:
+    """The text of some ids (for checks); the end token has none."""
+    spelled = {i: s for s, i in vocab.items()}
+    codes = {s: b for b, s in enumerate(workers.byte_symbols())}
+    raw = bytes(codes[c] for i in ids if spelled[i] != END_OF_TEXT for c in spelled[i])
+    return raw.decode("utf-8", "replace")
+
+
 def sentencepiece_tokenizer(spark: SparkSession, model: bytes) -> Tokenizer:
     """A SentencePiece model, given as the bytes of its file."""
     import sentencepiece

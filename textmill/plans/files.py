@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 from textmill.functions.tokens import fingerprint
 from textmill.operators.indexed import indexed_datasets
 from textmill.operators.merge import merge_indexed
+from textmill.operators.pack import pack
 from textmill.operators.position import with_scan_position
 from textmill.operators.shuffle import shuffle
 from textmill.operators.split import split
 from textmill.operators.tokenize import byte_tokenizer
 from textmill.plans.splitting import _MARKED, RIGHT_MAX, RIGHT_PROB
 from textmill.plans.tables import NUMBERED, draw_sql, md5_key, table
-from textmill.plans.tokens import EOD, _bytes_of
+from textmill.plans.tokens import _SHOWN, _WORD_DOCS, EOD, WORD_LENGTH, _bytes_of, _samples, printed, word_tokens
 from textmill.session import spread_if_small
 from textmill.sinks.write import in_order, write_corpus, write_per_file, write_split
 from textmill.sources.corpus import decompress_json, read_corpus
+from textmill.sources.packed import read_packed
 from textmill.sources.streams import read_streams
 from textmill.staging import staging_root
 
 SEED = 5
 FILES = 6
 CHUNKS = 7
+CODECS = (None, "snappy", "gzip", "none")
 
 
 def _out(spark: SparkSession, label: str) -> str:
@@ -60,7 +63,7 @@ def chunks_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "chunks")
     docs = table(spark, sf_dir, "documents")
     write_corpus(in_order(with_scan_position(docs), "pos", docs.count(), CHUNKS), out)
-    return read_corpus(spark, out).select(_file_number().alias("file"), "pos", "doc_id")
+    return read_corpus(spark, out).select(_file_number().alias("file"), "pos", "doc_id", "text")
 
 
 def split_written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +97,54 @@ def merge_tokenized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "datasets")
     write_per_file(_datasets(spark, sf_dir), out, "corpus", 2, key="text")
     merged = merge_indexed(read_corpus(spark, out), "output")
-    return merged.select("output", "merged_idx", "item_idx", "size")
+    return merged.select("output", "merged_idx", "item_idx", "size", fingerprint(F.col("tokens")).alias("fingerprint"))
+
+
+def nested_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to folders in folders, and read with one recursive scan."""
+    out = _out(spark, "nested")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for k, folder in enumerate(("", "/a", "/a/b")):
+        write_corpus(docs.where(F.pmod("doc_id", F.lit(3)) == k), f"{out}/root{folder}", mode="append")
+    return read_corpus(spark, f"{out}/root", recurse=True)
+
+
+def packed_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples kept as 64-bit ids, read as a packed dataset."""
+    out = _out(spark, "packed")
+    samples = pack(word_tokens(spark, sf_dir), WORD_LENGTH)
+    write_corpus(samples.withColumn("tokens", F.col("tokens").cast("array<bigint>")), out)
+    packed, kind = read_packed(spark, out)
+    return printed(packed).withColumn("kind", F.lit(f"{kind} {packed.schema['tokens'].dataType.simpleString()}"))
+
+
+def subset_of_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One inner dataset of a partitioned root."""
+    out = _out(spark, "subsets")
+    table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("subset")).write.partitionBy(
+        "subset"
+    ).parquet(out)
+    return read_corpus(spark, out, subset="de")
+
+
+def codecs_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents under every codec name; the files say what they were packed with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = None
+    for codec in CODECS:
+        out = _out(spark, "codec")
+        write_corpus(docs, out, codec=codec)
+        packed = F.regexp_extract("_metadata.file_name", r"\.(\w+)\.parquet$", 1).alias("codec")
+        one = read_corpus(spark, out).select("doc_id", "text", packed)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 QUERIES = {
+    "nested_folders": nested_folders,
+    "packed_long_ids": packed_long_ids,
+    "subset_of_root": subset_of_root,
+    "codecs_written": codecs_written,
     "json_roundtrip": json_roundtrip,
     "gzip_json_ingest": gzip_json_ingest,
     "shuffled_files": shuffled_files,
@@ -116,6 +163,13 @@ _ITEMS = f"""
         select 1, row_number() over (order by doc_id) - 1, text from documents)"""
 
 ORACLES = {
+    "nested_folders": "select doc_id, text from documents",
+    "packed_long_ids": f"""
+        with {_WORD_DOCS}, {_samples(WORD_LENGTH)}
+        select *, 'tokens array<int>' as kind from ({_SHOWN} where n_tokens = {WORD_LENGTH})""",
+    "subset_of_root": "select doc_id, text from documents where lang = 'de'",
+    "codecs_written": """
+        select doc_id, text, codec from documents, (values ('zstd'), ('snappy'), ('gz'), ('')) c(codec)""",
     "json_roundtrip": "select doc_id, text from documents",
     "gzip_json_ingest": "select doc_id, lang, text from documents",
     "shuffled_files": f"""
@@ -123,7 +177,7 @@ ORACLES = {
     "chunks_written": f"""
         with {NUMBERED}, sized as (select count(*) // {CHUNKS} as q, count(*) % {CHUNKS} as r from documents)
         select case when pos < r * (q + 1) then pos // (q + 1)
-            else r + (pos - r * (q + 1)) // greatest(q, 1) end as file, pos, doc_id
+            else r + (pos - r * (q + 1)) // greatest(q, 1) end as file, pos, doc_id, text
         from numbered, sized""",
     "split_written": f"""
         with {_MARKED}
@@ -141,6 +195,7 @@ ORACLES = {
         with {_ITEMS}
         select 'corpus_' || cast(file_idx as varchar) || '_text_document' as output,
             row_number() over (order by file_idx, item_idx) - 1 as merged_idx, item_idx,
-            cast(octet_length(encode(text)) + 1 as integer) as size
+            cast(octet_length(encode(text)) + 1 as integer) as size,
+            md5(array_to_string(list_concat({_bytes_of('text')}, [{EOD}]), ',')) as fingerprint
         from items""",
 }

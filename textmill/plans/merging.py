@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from textmill.operators.merge import document_bounds, merge_indexed, merge_samples
 from textmill.operators.pack import pack
-from textmill.operators.position import with_running_total
-from textmill.plans.tables import table
+from textmill.operators.position import with_position, with_running_total
+from textmill.operators.split import split
+from textmill.plans.tables import draw_sql, md5_key, table
 from textmill.plans.tokens import _SHOWN, _WORD_DOCS, WORD_LENGTH, _samples, printed, word_tokens
-from textmill.sinks.write import write_shards
+from textmill.sinks.write import write_shards, write_split
 from textmill.sources.corpus import read_corpus
 from textmill.staging import stage, staging_root
 
 TURN_PARTS = 3
+SIDE_PROB, SIDE_MAX, SIDE_SEED = 0.3, 1 << 40, 11
 
 
 def _indexed(items: DataFrame, order: str) -> DataFrame:
@@ -24,13 +26,24 @@ def _indexed(items: DataFrame, order: str) -> DataFrame:
     return with_running_total(items.withColumn("_one", F.lit(1)), "_one", order, ["dataset"], "item_idx").drop("_one")
 
 
-def _merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), "doc_id")
-    return merge_indexed(_indexed(docs, "doc_id"))
+def merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered on the ids alone, then joined to the texts."""
+    docs = table(spark, sf_dir, "documents")
+    items = _indexed(docs.select(F.col("source").alias("dataset"), "doc_id"), "doc_id")
+    return merge_indexed(items).join(docs.select("doc_id", "text"), "doc_id")
 
 
-def merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged_documents(spark, sf_dir)
+def split_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples are packed, split into two written sides, and each side is merged into one dataset."""
+    samples = stage(printed(pack(word_tokens(spark, sf_dir), WORD_LENGTH)), "samples")
+    out = f"{staging_root(spark)}/sides-{uuid.uuid4().hex}"
+    write_split(split(samples, ["shard", "seq"], SIDE_PROB, SIDE_MAX, SIDE_SEED), out)
+    sides = None
+    for side in ("train", "valid"):
+        one = read_corpus(spark, f"{out}/split={side}")
+        merged = merge_samples(one).select(F.lit(side).alias("side"), "sample", "shard", "seq", "fingerprint")
+        sides = merged if sides is None else sides.unionByName(merged)
+    return sides
 
 
 def merge_document_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +53,7 @@ def merge_document_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("doc_idx"),
         "turn",
     )
-    # A conversation has far fewer than a million turns: one long orders items by both.
-    ordered = turns.withColumn("_order", F.col("doc_idx") * 1_000_000 + F.col("turn"))
+    ordered = with_position(turns, ["dataset", "doc_idx", "turn"], name="_order")
     return document_bounds(merge_indexed(_indexed(ordered, "_order")))
 
 
@@ -60,6 +72,7 @@ QUERIES = {
     "merge_document_bounds": merge_document_bounds,
     "merge_shards_equals_whole": merge_shards_equals_whole,
     "shards_written_and_merged": shards_written_and_merged,
+    "split_then_merge": split_then_merge,
 }
 
 _MERGED_SAMPLES = f"""
@@ -71,8 +84,16 @@ ORACLES = {
     "merge_offsets": """
         select source as dataset, doc_id,
             row_number() over (partition by source order by doc_id) - 1 as item_idx,
-            row_number() over (order by source, doc_id) - 1 as merged_idx
+            row_number() over (order by source, doc_id) - 1 as merged_idx, text
         from documents""",
+    "split_then_merge": f"""
+        with {_WORD_DOCS}, {_samples(WORD_LENGTH)},
+        sided as (
+            select case when cast({draw_sql(md5_key(SIDE_SEED, 'shard', 'seq'))} as double) / cast(4294967296 as double)
+                < {SIDE_PROB} then 'valid' else 'train' end as side, shard, seq, fingerprint
+            from samples where n_tokens = {WORD_LENGTH})
+        select side, row_number() over (partition by side order by shard, seq) - 1 as sample, shard, seq, fingerprint
+        from sided""",
     "merge_document_bounds": f"""
         with items as (
             select 'part_' || cast(conv_id % {TURN_PARTS} as varchar) as dataset, conv_id as doc_idx, turn

@@ -14,6 +14,7 @@ from textmill.sources.corpus import first_n
 
 SEED = 7
 FIRST = 100
+MANY = 4000
 
 
 def shuffle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +23,15 @@ def shuffle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+    orders = table(spark, sf_dir, "orders")
     return shuffle(orders, shuffle_width(orders), SEED, "o_orderkey", emit_pos=True)
 
 
 def shuffle_lineitem_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = number_copies(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
-    key = ["l_orderkey", "l_linenumber", "l_returnflag", "copy"]
+    """Twice the line items, so that every row is there again."""
+    once = table(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    lines = number_copies(once.unionByName(once))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "copy"]
     return shuffle(lines, shuffle_width(lines), SEED, key, emit_pos=True)
 
 
@@ -50,6 +53,18 @@ def first_n_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_n(lines, 10 * FIRST, order).drop("l_shipdate")
 
 
+def first_n_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rows than a top-n is used for."""
+    order = ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return first_n(table(spark, sf_dir, "lineitem"), MANY, order)
+
+
+def first_n_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a column that is null for most rows; nulls come first."""
+    rated = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return first_n(rated.select("doc_id", "quality", "text"), 7 * FIRST, ["quality", "doc_id"])
+
+
 def unsharded_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_tokens"))
@@ -64,6 +79,8 @@ QUERIES = {
     "positions_by_source": positions_by_source,
     "first_n_documents": first_n_documents,
     "first_n_lines": first_n_lines,
+    "first_n_many": first_n_many,
+    "first_n_nullable": first_n_nullable,
     "unsharded_token_offsets": unsharded_token_offsets,
 }
 
@@ -72,17 +89,18 @@ ORACLES = {
         select *, row_number() over (order by {md5_key(SEED, 'doc_id')}, doc_id) - 1 as shuffle_pos
         from documents""",
     "shuffle_orders": f"""
-        select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
-            row_number() over (order by {md5_key(SEED, 'o_orderkey')}, o_orderkey) - 1 as shuffle_pos
+        select *, row_number() over (order by {md5_key(SEED, 'o_orderkey')}, o_orderkey) - 1 as shuffle_pos
         from orders""",
     "shuffle_lineitem_copies": f"""
-        with copies as (
-            select l_orderkey, l_linenumber, l_returnflag,
-                row_number() over (partition by l_orderkey, l_linenumber, l_returnflag) - 1 as copy
-            from lineitem)
+        with twice as (
+            select *, cast(round(l_extendedprice * 100) as bigint) as cents
+            from (from lineitem union all from lineitem)),
+        copies as (
+            select *, row_number() over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) - 1 as copy
+            from twice)
         select *, row_number() over (
-            order by {md5_key(SEED, 'l_orderkey', 'l_linenumber', 'l_returnflag', 'copy')},
-                l_orderkey, l_linenumber, l_returnflag, copy) - 1 as shuffle_pos
+            order by {md5_key(SEED, 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'cents', 'copy')},
+                l_orderkey, l_linenumber, l_partkey, l_suppkey, cents, copy) - 1 as shuffle_pos
         from copies""",
     "stream_positions": "select doc_id, row_number() over (order by doc_id) - 1 as pos from documents",
     "positions_by_source": """
@@ -91,6 +109,12 @@ ORACLES = {
     "first_n_lines": f"""
         select l_orderkey, l_partkey, l_suppkey, l_linenumber from lineitem
         order by l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber limit {10 * FIRST}""",
+    "first_n_many": f"""
+        select * from lineitem
+        order by l_extendedprice, l_orderkey, l_partkey, l_suppkey, l_linenumber limit {MANY}""",
+    "first_n_nullable": f"""
+        select doc_id, quality, text from documents left join labels using (doc_id)
+        order by quality nulls first, doc_id limit {7 * FIRST}""",
     "unsharded_token_offsets": """
         select doc_id, octet_length(encode(text)) as n_tokens,
             cast(coalesce(sum(octet_length(encode(text))) over (

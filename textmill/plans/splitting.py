@@ -85,7 +85,10 @@ ORACLES = {
             (select count(*) from l semi join r using (doc_id)) as n_in_both,
             (select count(*) from documents d anti join (from l union all from r) using (doc_id)) as n_missing,
             (select count(*) from (from l union all from r) anti join documents d using (doc_id)) as n_foreign,
-            (select count(*) - count(distinct doc_id) from (from l union all from r)) as n_repeated""",
+            (select count(*) - count(distinct doc_id) from (from l union all from r)) as n_repeated,
+            (select count(*) from (select doc_id, count(*) as c from (from l union all from r) group by 1) s
+                full join (select doc_id, count(*) as c from documents group by 1) w using (doc_id)
+                where s.c is distinct from w.c) as n_miscounted""",
     "documents_not_labelled": "select * from documents where doc_id not in (select doc_id from labels)",
     "rows_by_index": f"with {NUMBERED} select * from numbered where pos in (select doc_id from labels)",
 }

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.tokens import fingerprint, words
-from textmill.functions.workers import hex_bytes
+from textmill.functions.workers import byte_symbols, hex_bytes
 from textmill.operators.audit import text_audit, token_range_audit, token_report
 from textmill.operators.pack import pack, pack_report, text_samples
 from textmill.operators.position import with_position, with_scan_position
 from textmill.operators.sharding import assign_shard
 from textmill.operators.tokenize import (
+    END_OF_TEXT,
     bpe_tokenizer,
+    byte_level_tokenizer,
     byte_tokenizer,
     callable_tokenizer,
     map_partitions_of_texts,
@@ -49,6 +51,22 @@ MERGES = [
     ("6d656e", "74"),
 ]
 
+# The same for the byte-level encoder, whose words keep the space before them.
+BYTE_LEVEL_MERGES = [
+    ("20", "74"),
+    ("68", "65"),
+    ("2074", "6865"),
+    ("69", "6e"),
+    ("65", "72"),
+    ("c3", "a9"),
+    ("6f", "6e"),
+    ("20", "61"),
+    ("2061", "6e"),
+    ("c3", "bc"),
+    ("20", "64"),
+    ("2064", "6572"),
+]
+
 
 def small_vocab() -> dict[str, int]:
     """All bytes, then the merged symbols in rank order."""
@@ -86,7 +104,7 @@ def tokenize_bytes_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenize_pages_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return tokenize(pages, byte_tokenizer(), text_col="html", eod=EOD).select(
-        "page_id", "n_tokens", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t).alias("id_sum")
+        "page_id", "n_tokens", fingerprint(F.col("tokens")).alias("fingerprint")
     )
 
 
@@ -96,6 +114,25 @@ def tokenize_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", fingerprint(F.col("tokens")).alias("fingerprint"))
 
 
+def byte_level_vocab() -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """The small byte-level encoder as its files would hold it: printable symbols, merges, end token."""
+    spelled = byte_symbols()
+
+    def shown(code: str) -> str:
+        return "".join(spelled[b] for b in bytes.fromhex(code))
+
+    merges = [(shown(a), shown(b)) for a, b in BYTE_LEVEL_MERGES]
+    return {s: i for i, s in enumerate([*spelled, *(a + b for a, b in merges), END_OF_TEXT])}, merges
+
+
+def tokenize_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level encoding with leading spaces, ended by the vocabulary's own end token."""
+    tokenizer = byte_level_tokenizer(spark, *byte_level_vocab())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = tokenize(docs, tokenizer, eod=tokenizer.eos_id)
+    return tokens.select("doc_id", "n_tokens", fingerprint(F.col("tokens")).alias("fingerprint"))
+
+
 def tokenize_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tokeniser that is any Python function: here one id per character."""
 
@@ -186,6 +223,7 @@ QUERIES = {
     "tokenize_bytes_stats": tokenize_bytes_stats,
     "tokenize_pages_bytes": tokenize_pages_bytes,
     "tokenize_bpe": tokenize_bpe,
+    "tokenize_byte_level": tokenize_byte_level,
     "tokenize_code_points": tokenize_code_points,
     "preprocess_lines": preprocess_lines,
     "word_counts": word_counts,
@@ -243,17 +281,23 @@ def _samples(length: int) -> str:
 _SHOWN = "select shard, seq, cast(n_tokens as integer) as n_tokens, fingerprint from samples"
 
 
-def _merged_symbols() -> str:
-    """SQL: the small encoder's symbols of one word, as hex codes in angle brackets."""
+# The words of a byte-level encoder.  White space is taken sign by sign, which makes no difference
+# here, as no merge joins two of them.
+_BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+_BYTE_LEVEL_WORDS = "regexp_extract_all(text, '" + _BYTE_LEVEL_PATTERN.replace("'", "''") + "')"
+
+
+def _merged_symbols(merges: list[tuple[str, str]] = MERGES) -> str:
+    """SQL: an encoder's symbols of one word, as hex codes in angle brackets."""
     sql = "regexp_replace(hex(encode(w)), '(..)', '<\\1>', 'g')"
     sql = f"lower({sql})"
-    for left, right in MERGES:
+    for left, right in merges:
         sql = f"replace({sql}, '<{left}><{right}>', '<{left}{right}>')"
     return sql
 
 
-def _symbol_id(symbol: str) -> str:
-    merged = " ".join(f"when '{a}{b}' then {256 + rank}" for rank, (a, b) in enumerate(MERGES))
+def _symbol_id(symbol: str, merges: list[tuple[str, str]] = MERGES) -> str:
+    merged = " ".join(f"when '{a}{b}' then {256 + rank}" for rank, (a, b) in enumerate(merges))
     return f"case {symbol} {merged} else cast('0x' || {symbol} as bigint) end"
 
 
@@ -268,7 +312,7 @@ ORACLES = {
         from documents group by 1""",
     "tokenize_pages_bytes": f"""
         select page_id, octet_length(encode(html)) + 1 as n_tokens,
-            cast(list_sum({_bytes_of('html')}) + {EOD} as bigint) as id_sum
+            md5(array_to_string(list_concat({_bytes_of('html')}, [{EOD}]), ',')) as fingerprint
         from pages""",
     "tokenize_bpe": f"""
         with w as (select doc_id, unnest({_WORDS}) as w, generate_subscripts({_WORDS}, 1) as i from documents),
@@ -277,6 +321,18 @@ ORACLES = {
         select doc_id, count(*) as n_tokens,
             md5(string_agg(cast({_symbol_id('s')} as varchar), ',' order by i, j)) as fingerprint
         from flat group by 1""",
+    "tokenize_byte_level": f"""
+        with w as (
+            select doc_id, unnest({_BYTE_LEVEL_WORDS}) as w, generate_subscripts({_BYTE_LEVEL_WORDS}, 1) as i
+            from documents),
+        spelled as (
+            select doc_id, i, string_split(trim({_merged_symbols(BYTE_LEVEL_MERGES)}, '<>'), '><') as symbols from w),
+        flat as (select doc_id, i, unnest(symbols) as s, generate_subscripts(symbols, 1) as j from spelled),
+        ids as (select doc_id, i, j, {_symbol_id('s', BYTE_LEVEL_MERGES)} as id from flat
+            union all select doc_id, null, null, {256 + len(BYTE_LEVEL_MERGES)} from documents)
+        select doc_id, count(*) as n_tokens,
+            md5(string_agg(cast(id as varchar), ',' order by i nulls last, j)) as fingerprint
+        from ids group by 1""",
     "tokenize_code_points": """
         select doc_id, length(text) as n_tokens,
             md5(array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c)), ','))

@@ -38,7 +38,7 @@ def _compacted(df: DataFrame, column: str, compact: bool) -> DataFrame:
 
 
 def write_shards(
-    df: DataFrame, out: str, shard_col: str = "shard", codec: str | None = None, compact: bool = False
+    df: DataFrame, out: str, shard_col: str = "shard", codec: str | None = None, compact: bool = True
 ) -> None:
     """One sub-directory per shard."""
     rows = _compacted(df, shard_col, compact)
@@ -92,7 +92,7 @@ def write_per_file(
     n_files: int,
     file_idx: str = "file_idx",
     key: str | None = None,
-    compact: bool = False,
+    compact: bool = True,
 ) -> None:
     """One sub-directory per input file, ``output=<base>_<padded index>[_<key>_document]``."""
     name = numbered_name(base, F.col(file_idx), n_files)

@@ -1,4 +1,7 @@
-"""Tokeniser files: small, checked in size, read through Spark so remote paths work."""
+"""Tokeniser files, read through Spark so remote paths work.
+
+They are sent to every task, so each is checked against ``max_bytes``; raise it for larger ones.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +14,10 @@ from textmill.sources.files import size_of
 MAX_ASSET_BYTES = 256 << 20
 
 
-def read_bytes(spark: SparkSession, path: str) -> bytes:
+def read_bytes(spark: SparkSession, path: str, max_bytes: int = MAX_ASSET_BYTES) -> bytes:
     size = size_of(spark, path)
-    if size > MAX_ASSET_BYTES:
-        raise ValueError(f"{path}: {size} bytes is too large for a tokeniser file")
+    if size > max_bytes:
+        raise ValueError(f"{path}: {size} bytes are more than max_bytes={max_bytes}")
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 

@@ -91,7 +91,12 @@ def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     if last is None:
         return df if n > 0 else df.where(F.lit(False))
     if len(order) == 1:
-        return df.where(F.col(order[0]) <= F.lit(last[0]))
+        column = F.col(order[0])
+        if last[0] is None:
+            return df.where(column.isNull())
+        up_to = column <= F.lit(last[0])
+        # Nulls come first; the scan can tell from its statistics whether there are any.
+        return df.where(up_to if df.where(column.isNull()).isEmpty() else column.isNull() | up_to)
     types = {f.name: f.dataType for f in df.schema.fields}
     bound = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, last)])
     return df.where(F.struct(*order) <= bound)

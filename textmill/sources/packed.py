@@ -54,10 +54,19 @@ def require_pairs(listing: DataFrame, halves: Sequence[str] = HALVES) -> DataFra
 
 
 def complete_parts(spark: SparkSession, root: str) -> list[str]:
-    """Sub-datasets of a root, by name; all must have been written to the end."""
-    parts = [n for n, is_directory in list_dir(spark, root) if is_directory and n[:1] not in "._"]
+    """Sub-datasets of a root, by name; all must have been written to the end.
+
+    A writer marks what it has finished with ``_SUCCESS``: the root, if it wrote all parts at once,
+    or each part.  An attempt that was broken off leaves ``_temporary``.
+    """
+    listed = list_dir(spark, root)
+    parts = [n for n, is_directory in listed if is_directory and n[:1] not in "._"]
     if not parts:
         raise ValueError(f"{root}: no sub-datasets to merge")
+    if any(n == "_temporary" for n, _ in listed):
+        raise ValueError(f"{root}: not completely written")
+    if any(n == "_SUCCESS" for n, _ in listed):
+        return parts
     for part in parts:
         if not any(n == "_SUCCESS" for n, _ in list_dir(spark, f"{root}/{part}")):
             raise ValueError(f"{root}/{part}: not completely written")

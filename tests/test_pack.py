@@ -144,7 +144,7 @@ def test_fill_matches_the_loop():
                 assert got_seq.tolist() == seqs and got_offset.tolist() == offsets
 
 
-def test_unwrapped_blocks_stay_small(spark, monkeypatch):
-    monkeypatch.setattr(packing, "FOLD_BLOCKS", 3)
+def test_unwrapped_blocks_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 3)
     monkeypatch.setattr(position, "BLOCK_ROWS", 1)
     check(spark, make_docs(5, 90, 9, 2), 8, False)

@@ -102,3 +102,11 @@ def test_one_task_sees_only_summaries(spark, sf, name):
             body = "\n".join(below(lines, i))
             assert "Aggregate" in body or "ReadSchema: struct<_block:bigint,_sum:bigint>" in body, line
         assert "CartesianProduct" not in line and "BroadcastNestedLoopJoin" not in line
+
+
+def test_tokenised_files_do_not_move_their_texts(spark, sf):
+    from textmill.operators.indexed import indexed_datasets
+
+    items = indexed_datasets(spark, [f"{sf}/documents.parquet"], byte_tokenizer(), "parquet", schema="text string")
+    exchanges = [line for line in plan(items).split("\n") if re.search(r"Exchange (hash|range)", line)]
+    assert not any("text" in line for line in exchanges)

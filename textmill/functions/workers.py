@@ -142,21 +142,23 @@ class Fill:
 
     def transition(self) -> tuple[np.ndarray, np.ndarray]:
         """For every starting level: the level after the last document, and samples closed."""
-        close = self.closing(np.arange(self.n), 0).tolist()
-        rest = (self.ends[self.n] - self.ends).tolist()
-        level, closed = [0] * (self.n + 1), [0] * (self.n + 1)
-        for i in range(self.n - 1, -1, -1):
-            after = close[i] + 1
-            if after <= self.n:
-                level[i], closed[i] = level[after], closed[after] + 1
-            else:
-                level[i] = rest[i]
+        # From an empty sample at document i: the document after the closing one, and so on by
+        # doubling the steps; where no document closes it, i stays.
+        here = np.arange(self.n + 1)
+        after = np.append(self.closing(here[:-1], 0) + 1, self.n)
+        open_ = after > self.n
+        open_[self.n] = True
+        to, closed = np.where(open_, here, after), (~open_).astype(np.int64)
+        for _ in range(max(1, self.n).bit_length()):
+            closed = closed + closed[to]
+            to = to[to]
+        level = self.ends[self.n] - self.ends[to]
         start = np.arange(self.length)
         after = self.closing(0, start) + 1
         done = after <= self.n
         at = np.where(done, after, self.n)
-        levels = np.where(done, np.asarray(level)[at], start + self.ends[self.n])
-        return levels.astype(np.int32), np.where(done, np.asarray(closed)[at] + 1, 0).astype(np.int32)
+        levels = np.where(done, level[at], start + self.ends[self.n])
+        return levels.astype(np.int32), np.where(done, closed[at] + 1, 0).astype(np.int64)
 
     def replay(self, level: int, seq: int) -> tuple[np.ndarray, np.ndarray]:
         """Sample number and offset in the sample of every document, from a known start."""
@@ -179,11 +181,24 @@ def block_transition(pdf: pd.DataFrame, shard: str, order: str, length: int) ->
     return pd.DataFrame({shard: [first[shard]], "_block": [first["_block"]], "_level": [level], "_closed": [closed]})
 
 
+def compose_blocks(pdf: pd.DataFrame, shard: str) -> pd.DataFrame:
+    """The effect of consecutive blocks, one after the other, as that of a single one."""
+    pdf = pdf.sort_values("_block", ignore_index=True)
+    level = closed = None
+    for after, count in zip(pdf["_level"], pdf["_closed"]):
+        if level is None:
+            level, closed = np.asarray(after), np.asarray(count)
+        else:
+            level, closed = np.asarray(after)[level], closed + np.asarray(count)[level]
+    first = pdf.iloc[0]
+    return pd.DataFrame({shard: [first[shard]], "_block": [first["_parent"]], "_level": [level], "_closed": [closed]})
+
+
 def chain_blocks(pdf: pd.DataFrame, shard: str) -> pd.DataFrame:
-    """Starting level and sample number of each block of a shard, in block order."""
+    """Starting level and sample number of consecutive blocks, from those of the first."""
     pdf = pdf.sort_values("_block", ignore_index=True)
     levels, seqs = [], []
-    level = seq = 0
+    level, seq = int(pdf["_from"].iloc[0]), int(pdf["_seq"].iloc[0])
     for after, closed in zip(pdf["_level"], pdf["_closed"]):
         levels.append(level)
         seqs.append(seq)

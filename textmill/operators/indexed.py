@@ -12,6 +12,7 @@ from textmill.operators.position import with_line_position, with_running_total,
 from textmill.operators.tokenize import Tokenizer, tokenize
 from textmill.sources.corpus import read_corpus
 from textmill.sources.files import file_catalog
+from textmill.staging import stage_summary
 
 
 def read_files_in_order(
@@ -53,9 +54,15 @@ def indexed_datasets(
     Every document is one item, numbered in file order; documents without a text make none.
     """
     docs = read_files_in_order(spark, paths, fmt, schema).select("file_idx", "pos", F.col(key).alias("text"))
-    # Numbered as texts, which are smaller than their tokens; a missing text takes no number.
-    counted = docs.withColumn("_item", F.col("text").isNotNull().cast("long"))
-    numbered = with_running_total(counted, "_item", "pos", ["file_idx"], "item_idx")
+    if docs.where(F.col("text").isNull()).isEmpty():
+        # Every row is an item: its number is its place in the file, and no text is moved.
+        starts = stage_summary(docs.groupBy("file_idx").agg(F.min("pos").alias("_start")), "file-starts")
+        numbered = docs.join(starts, "file_idx").select(
+            "file_idx", "pos", "text", (F.col("pos") - F.col("_start")).alias("item_idx")
+        )
+    else:  # a missing text takes no number; numbered as texts, which are smaller than their tokens
+        counted = docs.withColumn("_item", F.col("text").isNotNull().cast("long"))
+        numbered = with_running_total(counted, "_item", "pos", ["file_idx"], "item_idx")
     return tokenize(numbered, tokenizer, eod=eod).select(
         "file_idx",
         "item_idx",

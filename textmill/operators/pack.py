@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from textmill.functions import workers
 from textmill.functions.chunks import int_div
 from textmill.operators.position import before, with_blocks
+from textmill.staging import stage
 
-# Blocks of one no-wrap run; each carries two arrays of ``length`` numbers.
-FOLD_BLOCKS = 1 << 13
+# Blocks of the no-wrap fold that one task puts together; each carries two arrays of ``length`` numbers.
+FAN = 32
 
 
 def pack(
@@ -77,22 +78,35 @@ def place_unwrapped(docs: DataFrame, length: int, shard: str = "shard", order: s
     """Where each document goes if none may run across a sample's end.
 
     Which sample a document falls into depends on all documents before it.  Each block's
-    effect on every possible fill level is worked out by itself, the blocks' effects are
-    chained per shard (a small table), and then each block is replayed from its known start.
-    Only ``(shard, order, n_tokens)`` reaches Python.
+    effect on every possible fill level is worked out by itself.  Effects are maps, so those of
+    neighbouring blocks are put together in a tree of fan ``FAN``; the starts then go down the
+    tree, and each block is replayed from its own.  No task holds more than ``FAN`` effects,
+    however long a shard is.  Only ``(shard, order, n_tokens)`` reaches Python.
     """
     sizes = docs.select(shard, order, "n_tokens")
-    blocked, _ = with_blocks(sizes, "n_tokens", order, [shard], FOLD_BLOCKS)
+    blocked, _ = with_blocks(sizes, "n_tokens", order, [shard])
     blocked = blocked.select(shard, "_block", order, "n_tokens")
     kind = dict(blocked.dtypes)
     head = f"`{shard}` {kind[shard]}, _block long"
+    effect = f"{head}, _level array<int>, _closed array<long>"
+    parent = int_div(F.col("_block"), FAN)
     effects = blocked.groupBy(shard, "_block").applyInPandas(
-        lambda pdf: workers.block_transition(pdf, shard, order, length),
-        f"{head}, _level array<int>, _closed array<int>",
+        lambda pdf: workers.block_transition(pdf, shard, order, length), effect
     )
-    starts = effects.groupBy(shard).applyInPandas(
-        lambda pdf: workers.chain_blocks(pdf, shard), f"{head}, _from long, _seq long"
+    levels = [stage(effects, "effects")]
+    while (levels[-1].agg(F.max("_block")).first()[0] or 0) >= FAN:
+        up = levels[-1].withColumn("_parent", parent).groupBy(shard, "_parent")
+        levels.append(stage(up.applyInPandas(lambda pdf: workers.compose_blocks(pdf, shard), effect), "effects"))
+    zero = F.lit(0).cast("long")
+    starts = levels[-1].select(shard).distinct().select(
+        shard, zero.alias("_block"), zero.alias("_from"), zero.alias("_seq")
     )
+    for below in reversed(levels):
+        above = starts.withColumnRenamed("_block", "_parent")
+        joined = below.withColumn("_parent", parent).join(above, [shard, "_parent"])
+        starts = joined.groupBy(shard, "_parent").applyInPandas(
+            lambda pdf: workers.chain_blocks(pdf, shard), f"{head}, _from long, _seq long"
+        )
     return (
         blocked.join(starts, [shard, "_block"])
         .groupBy(shard, "_block")

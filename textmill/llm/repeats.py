@@ -16,7 +16,7 @@ equal only if their phrases are.  So most strings are settled in the dictionary
   classes of equal neighbours matter here, not which class comes first, so suffixes are ordered by
   a fingerprint of their first 200 bytes, in a second exchange.
 
-Fingerprints have 64 bits and are looked up together with the phrase's.  Matches do not cross
+Phrases and strings have fingerprints of 64 bits, surroundings 48 beside their phrase's 64.  Matches do not cross
 texts, overlaps count, and strings are judged on the input.
 """
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,7 @@ from textmill.staging import stage
 LENGTH = 200
 GRAM = 16
 UNIQUE, SETTLED, MIXED = 0, 1, 2
+AROUND_CUT = np.uint64(16)  # 48 bits beside the phrase's 64
 
 
 _PLACE_BITS = np.uint64(24)
@@ -100,7 +102,7 @@ def _ask_phrases(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> I
     def add(state: list, batch: pa.RecordBatch) -> None:
         for _, _, data, at in bytesops.pieces(batch.column("_text")):
             runs = parse(data, at, length)
-            state.append((runs["phrase"], runs["around"]))
+            state.append((runs["phrase"], runs["around"] >> AROUND_CUT))
 
     def end(split: int, state: list) -> pa.RecordBatch:
         phrase = np.concatenate([p for p, _ in state]) if state else np.zeros(0, np.uint64)
@@ -144,12 +146,16 @@ def _ask_strings(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> I
 def _strings(table: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes and starts of the open strings of each text; ``_open`` lists first and last starts."""
     for text, runs in zip(table["_bytes"], table["_open"]):
-        data = np.frombuffer(text.as_py(), dtype=np.uint8)
+        data = _unpacked(text)
         pairs = np.asarray(runs.as_py(), dtype=np.int64).reshape(-1, 2)
         starts = _spread(pairs[:, 0], pairs[:, 1])
         yield bytesops.Rolling(data, bytesops.BASE_2).ranges(starts, starts + length), starts
 
 
+def _unpacked(text: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(text.as_py()), dtype=np.uint8)
+
+
 def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, in order."""
     count = last - first + 1
@@ -191,6 +197,7 @@ def _apply_phrases(left: pa.Table, right: pa.Table, carried: list[str], length:
     known = keyed.distinct([np.unique(parse(data, at, length)["phrase"]) for _, _, data, at in bytesops.pieces(column)])[0]
     verdict = keyed.aligned(right, np.uint8)
     digests, texts, opens, sets = [], [], [], []
+    packer = zstandard.ZstdCompressor(level=3)
     for first_row, last_row, data, at in bytesops.pieces(column):
         p = parse(data, at, length)
         code = verdict[np.searchsorted(known, p["phrase"])] if len(p["phrase"]) else np.zeros(0, np.uint8)
@@ -201,7 +208,7 @@ def _apply_phrases(left: pa.Table, right: pa.Table, carried: list[str], length:
             first, last, c = p["first"][own] - at[r], p["last"][own] - at[r], code[own]
             if (c == MIXED).any():
                 digests.append((len(body), None, None, None, None))
-                texts.append(body.tobytes())
+                texts.append(packer.compress(body.tobytes()))
                 opens.append(np.c_[first[c == MIXED], last[c == MIXED]].ravel())
                 sets.append(np.c_[first[c == SETTLED], last[c == SETTLED]].ravel())
             else:
@@ -223,7 +230,7 @@ def _apply_strings(left: pa.Table, right: pa.Table, carried: list[str], length:
     digests = []
     # The hashes are worked out again rather than held for all texts of the split.
     for (hashes, starts), text, settled in zip(_strings(left, length), left["_bytes"], left["_set"]):
-        data = np.frombuffer(text.as_py(), dtype=np.uint8)
+        data = _unpacked(text)
         hit = starts[again[np.searchsorted(known, hashes)] > 0]
         pairs = np.asarray(settled.as_py(), dtype=np.int64).reshape(-1, 2)
         gone = _covered(len(data), np.r_[hit, pairs[:, 0]], np.r_[hit, pairs[:, 1]], length)

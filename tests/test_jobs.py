@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.jobs import ingest, merge, mix, pack, shuffle, split, tokenize_files
+from textmill.jobs import evaluate, ingest, merge, mix, pack, shuffle, split, tokenize_files
 from textmill.operators.indexed import indexed_datasets
 from textmill.operators.tokenize import byte_tokenizer
 
@@ -141,3 +141,46 @@ def test_missing_texts_take_no_item_number(spark, tmp_path):
         (1, 0, []),
         (2, 2, [98, 99]),
     ]
+
+
+def test_evaluation_groups_and_budget(spark, tmp_path):
+    rows = [("en", "train", [1, 2, 3]), ("en", "val", [4, 5]), ("de", "train", []), ("de", "val", [6]), ("fr", "val", [7])]
+    df = spark.createDataFrame(rows, "stream string, split string, tokens array<int>")
+    root, out = str(tmp_path / "streams"), str(tmp_path / "out")
+    df.write.partitionBy("stream", "split").parquet(root)
+    config = {
+        "streams": {"en": {"proportion": 0.75}, "de": {"proportion": 0.25}},
+        "groups": {"ALL": {"streams": ["en", "de", "fr"]}, "TWICE": {"streams": ["de"], "repeat": 2}},
+    }
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    args = ["--root", root, "--out", out, "--config", str(tmp_path / "c.json"), "--steps", "2"]
+    with pytest.raises(ValueError, match="--batch"):
+        evaluate.main(args)
+    evaluate.main([*args, "--batch", "2", "--length", "3"])
+    sizes = {r.label: (r.n_streams, r.n_samples, r.n_tokens) for r in spark.read.parquet(f"{out}/sizes").collect()}
+    assert sizes == {"ALL": (3, 3, 4), "TWICE": (1, 2, 2)}
+    assert spark.read.parquet(f"{out}/groups").groupBy("label").count().count() == 2
+    budget = {r.stream: (r.n_tokens, r.n_needed, r.passes) for r in spark.read.parquet(f"{out}/budget").collect()}
+    assert budget == {"en": (3, 9, 3.0), "de": (0, 3, None)}
+
+
+def test_readme_packing_command(spark, corpus, tmp_path):
+    """The command that the README shows first, with a small byte-level encoder."""
+    from textmill.plans.tokens import byte_level_vocab
+
+    vocab, merges = byte_level_vocab()
+    (tmp_path / "vocab.json").write_text(json.dumps(vocab))
+    (tmp_path / "merges.txt").write_text("#version: 0.2\n" + "".join(f"{a} {b}\n" for a, b in merges), encoding="utf-8")
+    files = f"{tmp_path}/vocab.json,{tmp_path}/merges.txt"
+    out = str(tmp_path / "packed")
+    pack.main(
+        ["--path", str(corpus), "--input-format", "json", "--out", out, "--concat-tokens", "32"]
+        + ["--tokenizer", f"bpe:{files}", "--eos-text", "<|endoftext|>", "--eos-id", "--shards", "4"]
+    )
+    ids = [t for r in spark.read.parquet(f"{out}/train").collect() for t in r.tokens]
+    assert vocab["<|endoftext|>"] in ids
+    done = str(tmp_path / "files")
+    tokenize_files.main(
+        ["--glob", f"{corpus}/*.jsonl", "--input-format", "json", "--out", done, "--tokenizer", f"bpe:{files}", "--append-eod"]
+    )
+    assert all(r.tokens[-1] == vocab["<|endoftext|>"] for r in spark.read.parquet(f"{done}/text").collect())

@@ -183,10 +183,11 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).withColumn("ends", F.lit(True))
-    tokens = tokenize(turns, word_hash_tokenizer()).join(last, ["conv_id", "turn"], "left")
+    place = with_position(turns.select("conv_id", "turn"), ["conv_id", "turn"]).join(last, ["conv_id", "turn"], "left")
+    placed = assign_shard(turns.join(place, ["conv_id", "turn"]), SHARDS, pos="conv_id")
+    tokens = tokenize(placed, word_hash_tokenizer())
     closed = F.when(F.col("ends"), F.concat("tokens", F.array(F.lit(EOS)))).otherwise(F.col("tokens"))
-    ordered = with_position(tokens.select("conv_id", "turn", closed.alias("tokens")), ["conv_id", "turn"])
-    return printed(pack(assign_shard(ordered, SHARDS, pos="conv_id"), WORD_LENGTH))
+    return printed(pack(stage(tokens.select("shard", "pos", closed.alias("tokens")), "turn-tokens"), WORD_LENGTH))
 
 
 def pack_pages_one_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

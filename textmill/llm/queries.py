@@ -161,4 +161,26 @@ ORACLES = {
     + OP1_CTES.format(docs="documents")
     + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not rejected as kept from judged""",
+    "op9_ngram_join": """
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from places),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as o
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from shared join sizes nx on nx.doc_id = x join sizes ny on ny.doc_id = y
+  where 100 * o >= 80 * (nx.n + ny.n - o)),
+both_ways as (from links union all select y, x from links),
+reached(x, r) as (
+  select doc_id, doc_id from documents
+  union
+  select b.x, reached.r from reached join both_ways b on b.y = reached.x),
+lowest as (select x as doc_id, min(r) as component_id from reached group by x)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from lowest left join sizes using (doc_id)""",
 }

@@ -183,4 +183,45 @@ reached(x, r) as (
 lowest as (select x as doc_id, min(r) as component_id from reached group by x)
 select doc_id, coalesce(n, 0) as n_shingles, component_id
 from lowest left join sizes using (doc_id)""",
+    "op3_suffix_array_dedup": """
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (
+  select doc_id, unnest(range(0, length(h) // 2 - 199)) as i, h from bytes where length(h) >= 400),
+hashed as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as s from starts),
+often as (select s from hashed group by s having count(*) > 1),
+found as (select doc_id, i from hashed semi join often using (s)),
+stepped as (select *, i - lag(i) over (partition by doc_id order by i) as step from found),
+runs as (
+  select doc_id, i, sum(case when step is null or step > 200 then 1 else 0 end)
+    over (partition by doc_id order by i rows unbounded preceding) as run
+  from stepped),
+spans as (select doc_id, run, min(i) as a, max(i) + 200 as b from runs group by doc_id, run),
+cuts as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as b, a from spans
+  union all
+  select doc_id, coalesce(max(s.b), 0), length(h) // 2 from bytes left join spans s using (doc_id) group by doc_id, h),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' order by b, a) as k
+  from cuts join bytes using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(r.n, 0) as bigint) as n_removed,
+  cast(coalesce(r.c, 0) as bigint) as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
+from bytes left join (select doc_id, sum(b - a) as n, count(*) as c from spans group by doc_id) r using (doc_id)
+  left join kept using (doc_id)""",
+    "op6_embedding_dedup": """
+with recursive usable as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from usable a join usable b on a.vec_id < b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95),
+both_ways as (from links union all select y, x from links),
+reached(x, r) as (
+  select vec_id, vec_id from embeddings
+  union
+  select b.x, reached.r from reached join both_ways b on b.y = reached.x),
+lowest as (select x as vec_id, min(r) as component_id from reached group by x),
+counts as (select x as vec_id, count(*) as n from both_ways group by x)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from lowest left join counts using (vec_id)""",
 }

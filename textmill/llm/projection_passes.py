@@ -91,7 +91,9 @@ def _compare(table: pa.Table, width: int, cosine: float) -> pa.Table:
 def near_pairs(vectors: DataFrame, width: int, percent: int = PERCENT, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """Distinct pairs ``(a, b)`` found among vectors ``(id, embedding)`` of ``width`` components."""
     keys = vectors.select("id", "embedding").mapInArrow(lambda b: _keys(b, width, passes), "pass int, key long, id long")
-    placed = with_position(keys, ["pass", "key", "id"]).select(
+    # Vectors with the same signs come in another order in each pass, so that each meets others.
+    tied = keys.withColumn("tie", F.xxhash64("id", "pass"))
+    placed = with_position(tied, ["pass", "key", "tie", "id"]).select(
         "id", "pass", "pos", F.expr(f"pos div {window}").alias("block")
     )
     # A block's rows, and again for the block after it, unless that belongs to another pass alone.

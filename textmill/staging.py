@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
+# Folders of the tables that this process has staged, in order.
+_made: list[str] = []
+
 # Rows of (name, few longs) that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
@@ -38,6 +41,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +56,28 @@ def stage_summary(df: DataFrame, label: str) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def staged_so_far() -> int:
+    """Number of tables staged by this process; marks a place for :func:`staged_since`."""
+    return len(_made)
+
+
+def staged_since(mark: int) -> list[str]:
+    """Folders of the tables staged after ``mark``."""
+    return _made[mark:]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_tables(spark: SparkSession, folders: list[str]) -> None:
+    """Delete some staged tables, once no frame reads them any more."""
+    for folder in folders:
+        if folder.startswith(staging_root(spark)):
+            _delete(spark, folder)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the staged tables of this application, once no frame reads them any more."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, staging_root(spark))

@@ -171,6 +171,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return model
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Texts are scored where they are read, so nothing is shuffled.
+    """
+    weights = np.asarray(model.weights)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(model.ordinary, model.toxic, model.carrier)
+        for batch in batches:
+            texts = batch.column(place)
+            rows = [summary(distances.histogram(t.as_py().encode() if t.is_valid else b"")) for t in texts]
+            yield batch.filter(pa.array(_probability(np.array(rows).reshape(len(rows), N_FEATURES), weights) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _probability(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return sigmoid(rows @ weights[:-1] + weights[-1]) if len(weights) else np.zeros(len(rows))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, score)``: the probability that a text is toxic, for every row of ``docs``.
 
@@ -180,7 +202,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_
     weights = np.asarray(model.weights)
 
     def scored(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
-        value = sigmoid(rows @ weights[:-1] + weights[-1]) if len(weights) else np.zeros(len(rows))
+        value = _probability(rows, weights)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64())], names=["doc_id", "score"])
 
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -114,15 +114,20 @@ def train(
     vectors = sample.select("doc_id", "y", "text").mapInArrow(
         lambda batches: _vectors(batches, size), "doc_id long, y int, index array<int>, value array<float>"
     )
-    found = sorted(vectors.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"], len(r["index"])))
+    found = vectors.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     model = Ftrl(size + 1)
+    if not found.num_rows:
+        return model.weights().astype(np.float32)
+    labels_of = np.asarray(found["y"])
+    lists = found["index"].chunk(0)
+    cuts = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    index, value = np.asarray(lists.flatten()), np.asarray(found["value"].chunk(0).flatten())
     rng = np.random.default_rng(7)
-    ready = [
-        (np.append(np.asarray(r["index"], dtype=np.int64), size), np.append(r["value"], 1.0), r["y"]) for r in found
-    ]
     for _ in range(epochs):
-        for i in rng.permutation(len(ready)):
-            model.learn(*ready[i])
+        for i in rng.permutation(len(labels_of)):
+            own = slice(cuts[i], cuts[i + 1])
+            # The last weight is the intercept, whose value is 1.
+            model.learn(np.append(index[own].astype(np.int64), size), np.append(value[own], 1.0), int(labels_of[i]))
     return model.weights().astype(np.float32)
 
 

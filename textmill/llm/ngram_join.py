@@ -69,7 +69,7 @@ def _ask(batches: Iterator[pa.RecordBatch], gram: int, bits: int) -> Iterator[pa
     def add(state: list, batch: pa.RecordBatch) -> None:
         for _, _, data, at in bytesops.pieces(batch.column("text")):
             keys, counts = np.unique(shingles(data, at, gram)[1] & COUNTED, return_counts=True)
-            state.append((keys, counts))
+            state.append((keys, counts.astype(np.uint32)))
 
     def end(split: int, state: list) -> pa.RecordBatch:
         keys, counts = keyed.distinct([k for k, _ in state], [c for _, c in state])
@@ -80,13 +80,14 @@ def _ask(batches: Iterator[pa.RecordBatch], gram: int, bits: int) -> Iterator[pa
 
 def _rows(docs: pa.Table, replies: pa.Table, gram: int, percent: int) -> Iterator[tuple]:
     """Per document: size, hash of the set, and the shared n-grams from rare to frequent."""
-    found = [
-        (first, *shingles(data, at, gram), len(at) - 1) for first, _, data, at in bytesops.pieces(docs["text"])
-    ]
-    known = keyed.distinct([keys & COUNTED for _, _, keys, _ in found])[0]
+    pieces = bytesops.pieces(docs["text"])
+    known = keyed.distinct([np.unique(shingles(data, at, gram)[1] & COUNTED) for _, _, data, at in pieces])[0]
     frequency = keyed.aligned(replies, np.uint32)
     ids = docs["doc_id"].to_pylist()
-    for first, rows, keys, n_rows in found:
+    # The n-grams are worked out again rather than held for all texts of the split.
+    for first, last, data, at in bytesops.pieces(docs["text"]):
+        rows, keys = shingles(data, at, gram)
+        n_rows = last - first
         often = frequency[np.searchsorted(known, keys & COUNTED)]
         cuts = np.searchsorted(rows, np.arange(n_rows + 1))
         checks = np.zeros(len(keys) + 1, dtype=np.uint64)

@@ -65,21 +65,37 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def asked(split: int, keys: np.ndarray, facts: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Rows that ask about the sorted distinct ``keys`` of one split, with facts about each key."""
-    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    filled = np.flatnonzero(np.diff(cuts))
+def range_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each key range begins among sorted keys, and where the last ends."""
+    bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.append(np.searchsorted(keys, bounds), len(keys))
+
+
+def question_rows(split: int, rows: list[tuple[int, bytes, list[bytes]]]) -> pa.RecordBatch:
+    """Rows ``(bucket, packed keys, packed facts)`` of one split."""
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(len(filled), split, dtype=np.int64)),
-            pa.array(filled.astype(np.int32)),
-            pa.array([pack_keys(keys[cuts[b] : cuts[b + 1]]) for b in filled], pa.binary()),
-            pa.array([[pack(f[cuts[b] : cuts[b + 1]]) for f in facts] for b in filled], pa.list_(pa.binary())),
+            pa.array(np.full(len(rows), split, dtype=np.int64)),
+            pa.array([b for b, _, _ in rows], pa.int32()),
+            pa.array([k for _, k, _ in rows], pa.binary()),
+            pa.array([f for _, _, f in rows], pa.list_(pa.binary())),
         ],
         names=[SPLIT, "bucket", "keys", "facts"],
     )
 
 
+def asked(split: int, keys: np.ndarray, facts: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Rows that ask about the sorted distinct ``keys`` of one split, with facts about each key."""
+    cuts = range_cuts(keys, bits)
+    return question_rows(
+        split,
+        [
+            (int(b), pack_keys(keys[cuts[b] : cuts[b + 1]]), [pack(f[cuts[b] : cuts[b + 1]]) for f in facts])
+            for b in np.flatnonzero(np.diff(cuts))
+        ],
+    )
+
+
 class Group:
     """All that was asked about one key range: ``keys`` distinct and sorted, facts by occurrence."""
 

@@ -66,14 +66,31 @@ def shingles(data: np.ndarray, at: np.ndarray, gram: int = GRAM) -> tuple[np.nda
 
 
 def _ask(batches: Iterator[pa.RecordBatch], gram: int, bits: int) -> Iterator[pa.RecordBatch]:
+    low = ~COUNTED
+
     def add(state: list, batch: pa.RecordBatch) -> None:
+        # The count of a piece stands in the bits that the key leaves free (a larger one in parts).
         for _, _, data, at in bytesops.pieces(batch.column("text")):
             keys, counts = np.unique(shingles(data, at, gram)[1] & COUNTED, return_counts=True)
-            state.append((keys, counts.astype(np.uint32)))
+            while len(keys):
+                now = np.minimum(counts, int(low)).astype(np.uint64)
+                state.append(keys | now)
+                counts = counts - now.astype(np.int64)
+                keys, counts = keys[counts > 0], counts[counts > 0]
 
     def end(split: int, state: list) -> pa.RecordBatch:
-        keys, counts = keyed.distinct([k for k, _ in state], [c for _, c in state])
-        return keyed.asked(split, keys, [counts.astype(np.uint32)], bits)
+        both = np.concatenate(state) if state else np.zeros(0, np.uint64)
+        state.clear()
+        both.sort()
+        cuts = keyed.range_cuts(both, bits)
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)):  # range by range, which keeps the arrays small
+            own = both[cuts[b] : cuts[b + 1]]
+            keys = own & COUNTED
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sums = np.minimum(np.add.reduceat(own & low, starts), 0xFFFFFFFF).astype(np.uint32)
+            rows.append((int(b), keyed.pack_keys(keys[starts]), [keyed.pack(sums)]))
+        return keyed.question_rows(split, rows)
 
     yield from keyed.per_split(batches, list, add, end)
 

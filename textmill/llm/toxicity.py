@@ -30,7 +30,7 @@ ORDINARY_WORDS = 30000
 TRAINING_WINDOWS = 200000
 LEVEL = 19
 SPAN = 24  # differences are counted from -SPAN to SPAN
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 17
 WORD_BYTES = 256  # longer words are cut into windows of this length
 
 
@@ -52,18 +52,25 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 class Distances(dict):
-    """Difference of the compressed lengths of a word's window; a bounded cache of them."""
+    """Difference of the compressed lengths of a word's window.
+
+    Words are kept in two generations of bounded size, so that frequent ones stay known.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes, carrier: bytes):
         super().__init__()
         self.plain, self.marked = _compressor(ordinary).compress, _compressor(toxic).compress
         self.carrier = carrier
+        self.older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        window = self.carrier + b" " + word + b" " + self.carrier
-        value = len(self.plain(window)) - len(self.marked(window))
-        value = max(-SPAN, min(SPAN, value)) + SPAN
+        value = self.older.get(word)
+        if value is None:
+            window = self.carrier + b" " + word + b" " + self.carrier
+            value = len(self.plain(window)) - len(self.marked(window))
+            value = max(-SPAN, min(SPAN, value)) + SPAN
         if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
         self[word] = value
         return value

@@ -254,14 +254,14 @@ def katz_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text: str
         F.col(id_column).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text")
     )
     placed = keyed.by_split(named)
-    questions = placed.mapInArrow(lambda batches: _ask_counts(batches, bits), keyed.ASKED)
+    questions = placed.mapInArrow(bytesops.released_batches(lambda batches: _ask_counts(batches, bits)), keyed.ASKED)
     counts = stage(keyed.answers(questions, [np.uint32, np.uint8], _counts, _sums), "katz-counts")
     totals = Totals.of(keyed.totals(counts, 2 * DISCOUNTED + 5))
     scored = stage(
         placed.groupBy(keyed.SPLIT)
         .cogroup(counts.groupBy(keyed.SPLIT))
         .applyInArrow(
-            lambda left, right: _score(left, right, totals, bits),
+            bytesops.released_pair(lambda left, right: _score(left, right, totals, bits)),
             f"{keyed.SPLIT} long, doc_id long, held_out boolean, {_RAN}, pending binary, bucket int, keys binary, facts array<binary>",
         ),
         "katz-scores",

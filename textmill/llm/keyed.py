@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.bytesops import released
 from textmill.session import shuffle_width
 from textmill.staging import stage
 
@@ -163,7 +164,7 @@ def answers(
             names=[SPLIT, "bucket", "answer", "sums"],
         )
 
-    return questions.groupBy("bucket").applyInArrow(run, ANSWERED)
+    return questions.groupBy("bucket").applyInArrow(released(run), ANSWERED)
 
 
 def totals(replies: DataFrame, n: int) -> list[int]:

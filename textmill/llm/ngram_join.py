@@ -132,7 +132,7 @@ def incidence(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     """One row per document: ``doc_id, n, h1, h2, block, grams`` (null if it can have no partner)."""
     bits = keyed.bucket_bits(docs)
     placed = keyed.by_split(docs)
-    questions = placed.mapInArrow(lambda batches: _ask(batches, gram, bits), keyed.ASKED)
+    questions = placed.mapInArrow(bytesops.released_batches(lambda batches: _ask(batches, gram, bits)), keyed.ASKED)
     replies = keyed.answers(questions, [np.uint32], lambda g: np.minimum(g.total(0), 0xFFFFFFFF).astype(np.uint32)[g.of])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -145,7 +145,7 @@ def incidence(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     return (
         placed.groupBy(keyed.SPLIT)
         .cogroup(replies.groupBy(keyed.SPLIT))
-        .applyInArrow(run, "doc_id long, n long, h1 long, h2 long, block int, grams array<long>")
+        .applyInArrow(bytesops.released_pair(run), "doc_id long, n long, h1 long, h2 long, block int, grams array<long>")
     )
 
 

@@ -258,13 +258,15 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
     ints = T.ArrayType(T.IntegerType())
 
     placed = keyed.by_split(renamed)
-    questions = placed.select(keyed.SPLIT, "_text").mapInArrow(lambda b: _ask_phrases(b, length, bits), keyed.ASKED)
+    questions = placed.select(keyed.SPLIT, "_text").mapInArrow(
+        bytesops.released_batches(lambda b: _ask_phrases(b, length, bits)), keyed.ASKED
+    )
     verdicts = keyed.answers(questions, [np.uint64, np.uint8], _judge_phrases)
     first = stage(
         placed.groupBy(keyed.SPLIT)
         .cogroup(verdicts.groupBy(keyed.SPLIT))
         .applyInArrow(
-            lambda left, right: _apply_phrases(left, right, names, length, keep_text),
+            bytesops.released_pair(lambda left, right: _apply_phrases(left, right, names, length, keep_text)),
             T.StructType(
                 [*fields, *digest, T.StructField("_bytes", T.BinaryType()), T.StructField("_open", ints), T.StructField("_set", ints)]
             ),
@@ -272,10 +274,13 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
         "phrases",
     )
     still_open = keyed.by_split(first.where("_open is not null").drop(*[n for n, *_ in _DIGEST]))
-    asked = still_open.select(keyed.SPLIT, "_bytes", "_open").mapInArrow(lambda b: _ask_strings(b, length, bits), keyed.ASKED)
+    asked = still_open.select(keyed.SPLIT, "_bytes", "_open").mapInArrow(
+        bytesops.released_batches(lambda b: _ask_strings(b, length, bits)), keyed.ASKED
+    )
     again = keyed.answers(asked, [np.uint8], lambda g: (g.total(0) > 1).astype(np.uint8)[g.of])
     second = still_open.groupBy(keyed.SPLIT).cogroup(again.groupBy(keyed.SPLIT)).applyInArrow(
-        lambda left, right: _apply_strings(left, right, names, length, keep_text), T.StructType([*fields, *digest])
+        bytesops.released_pair(lambda left, right: _apply_strings(left, right, names, length, keep_text)),
+        T.StructType([*fields, *digest])
     )
     done = first.where("_open is null").select(*names, *[n for n, *_ in _DIGEST]).unionByName(second)
     back = dict(zip(carried, names))

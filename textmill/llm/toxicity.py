@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     fitted = (
         sample.where("fold = 2")
         .select("text", "y")
-        .mapInArrow(lambda batches: _summaries(model, labelled, batches), "y int, x array<double>")
+        .mapInArrow(bytesops.released_batches(lambda batches: _summaries(model, labelled, batches)), "y int, x array<double>")
         .toArrow()
     )
     if fitted.num_rows:
@@ -193,7 +193,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thr
             rows = [summary(distances.histogram(t.as_py().encode() if t.is_valid else b"")) for t in texts]
             yield batch.filter(pa.array(_probability(np.array(rows).reshape(len(rows), N_FEATURES), weights) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bytesops.released_batches(run), docs.schema)
 
 
 def _probability(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -213,4 +213,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64())], names=["doc_id", "score"])
 
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInArrow(lambda batches: _summaries(model, scored, batches), "doc_id long, score double")
+    return named.mapInArrow(
+        bytesops.released_batches(lambda batches: _summaries(model, scored, batches)), "doc_id long, score double"
+    )

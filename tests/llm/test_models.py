@@ -118,6 +118,18 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h1><a href=x>Title</a></h1><p>text</p><ul>" + "<li><a href=y>Ref</a></li>" * 4 + "</ul><p>more</p><p><a href=z>End</a></p></article>", "Title\n\ntext\n\nRef\n\nRef\n\nRef\n\nRef\n\nmore\n\nEnd"),
+        ("<div><h1><a href=x>Title</a></h1><p>" + "long words " * 12 + "</p>" + "<p><a href=y>Ref</a></p>" * 3 + "<p>" + "last words " * 12 + "</p></div>", "Title\n\n" + ("long words " * 12).strip() + "\n\nRef" * 3 + "\n\n" + ("last words " * 12).strip()),
+        ("<body><nav>Menu</nav><p>A short page.</p></body>", "A short page."),
+    ],
+)
+def test_linked_and_short_lines_stay(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_pages_of_a_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = {r["page_id"]: r for r in html_extract.extract_main_text(pages).collect()}

@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over lines.
 
 A page is taken apart into lines (blocks).  Lines inside menus, headers, footers, side bars,
-notices, adverts, forms and comments weigh nothing, and linked text weighs nothing in any line.
+notices, adverts, forms and comments are left out, and linked text weighs nothing but in headings.
 Weights are summed over sliding windows of lines; a main passage begins where the sums surge above
-a threshold and ends where they dive to nothing, and the lines between are kept.  Where a page
-marks its article, only lines of the article carry weight and any weight is a surge.
+a threshold and ends where they dive to nothing, and all lines from the first passage to the last
+are kept.  If no window surges, the heaviest one is the passage.  Where a page marks its article,
+every line of the article is kept.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _BOILER = re.compile(
     r"pagination|pager|toolbar|skip\w*|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select "
@@ -91,7 +93,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     def add(text: str) -> None:
         if text:
             line.parts.append(text)
-            if links:
+            if links and not any(x[0] in _HEADINGS for x in stack):
                 line.linked += len(_SPACE.sub("", text))
 
     while at < n:
@@ -153,11 +155,14 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Kept lines of a page, joined by an empty line."""
     lines, marked = page_lines(page)
+    if marked:
+        return "\n\n".join(t for t, _, gone in lines if not gone)
     weights = [w for _, w, _ in lines]
     n = len(weights)
-    need = 1 if marked else surge
     sums = [sum(weights[i : i + window]) for i in range(n)]
-    kept = [False] * n
+    # Bare text without any element is no page and has no passage below the threshold.
+    need = min(surge, max([1, *sums])) if _TOKEN.search(page) else surge
+    kept = []
     i = 0
     while i < n:
         if sums[i] < need:
@@ -167,9 +172,10 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
         while not weights[i]:
             i += 1
         while i < n and sums[i] > 0:
-            kept[i] = True
+            kept.append(i)
             i += 1
-    return "\n\n".join(t for (t, w, gone), k in zip(lines, kept) if k and not gone and (w or marked))
+    between = lines[kept[0] : kept[-1] + 1] if kept else []
+    return "\n\n".join(t for t, _, gone in between if not gone)
 
 
 def extract_main_text(pages: DataFrame, id_column: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:

@@ -130,6 +130,20 @@ def test_linked_and_short_lines_stay(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h2 id='related-work'>Related</h2><h2 id=legal-aspects>Legal</h2><p id='menu-planning'>Meals</p></article>", "Related\n\nLegal\n\nMeals"),
+        ("<article><div class='entry-header'><h1>Head</h1></div><div class='share-bar share'>Share</div><div id=comments>no</div><p>x</p></article>", "Head\n\nx"),
+        ("<article><figure><img><figcaption>Seen</figcaption></figure><p>a <math><mi>x</mi></math> b</p></article>", "Seen\n\na x b"),
+        ("<article><p>a <svg class='i'/>b</p><p>c</p></article>", "a b\n\nc"),
+        ("<article><p>a <object>plain</object></p><noscript><p>shown</p></noscript></article>", "a plain\n\nshown"),
+    ],
+)
+def test_names_in_an_article(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_pages_of_a_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = {r["page_id"]: r for r in html_extract.extract_main_text(pages).collect()}

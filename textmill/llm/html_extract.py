@@ -27,17 +27,22 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-_RAW = frozenset("script style noscript template iframe object svg math canvas textarea title".split())
-_DROP = frozenset("nav footer aside form header menu dialog button select fieldset head figcaption".split())
+_RAW = frozenset("script style template iframe svg canvas textarea title".split())
+_DROP = frozenset("nav footer aside form header menu dialog button select fieldset head".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|"
-    r"widget\w*|footer\w*|header|masthead|comment\w*|disqus\w*|replies|respond|cookie\w*|consent\w*|notice\w*|gdpr|"
+_WORDS = (
+    r"ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|"
+    r"widget\w*|footer\w*|masthead|comment\w*|disqus\w*|replies|respond|cookie\w*|consent\w*|notice\w*|gdpr|"
     r"popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|"
-    r"pagination|pager|toolbar|skip\w*|copyright|legal|disclaimer)(?=$|[\s_-])",
-    re.I,
+    r"pagination|pager|toolbar|skip\w*|copyright|legal|disclaimer"
 )
+_BOILER = re.compile(rf"(?:^|[\s_-])(?:{_WORDS}|header)(?=$|[\s_-])", re.I)
+# In an article: whole names, or qualified ones (reader-comments), of elements that hold others.
+_BOILER_NAME = re.compile(rf"(?:^|\s)(?:[\w-]*[_-])?(?:{_WORDS})(?=$|\s)", re.I)
+_BOILER_ID = re.compile(rf"\s*(?:{_WORDS})\s*", re.I)
+_HOLDERS = frozenset("div section ul ol dl table".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select "
@@ -58,14 +63,19 @@ class _Line:
         self.dropped, self.article = dropped, article
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str, article: bool = False) -> bool:
     if name in _DROP:
         return True
     if not attributes or name in ("html", "body", "main", "article"):
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _BOILER.search(value):
+        if article:
+            if name in _HOLDERS and key == "class" and _BOILER_NAME.search(value):
+                return True
+            if name in _HOLDERS and name != "section" and key == "id" and _BOILER_ID.fullmatch(value):
+                return True
+        elif key in ("class", "id") and _BOILER.search(value):
             return True
         if key == "role" and value.lower() in _DROP_ROLES:
             return True
@@ -119,6 +129,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 new_line()
             continue
         if name in _RAW:
+            if _SELF_CLOSED.search(found[3]):
+                continue
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -128,7 +140,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name == "a":
             links += 1
             continue
-        if name in _BLOCK or (name == "span" and _boilerplate(name, found[3])):
+        if name in _BLOCK or (name == "span" and _boilerplate(name, found[3], article)):
             closing = _CLOSES.get(name, ())
             while stack and (stack[-1][0] == "p" or stack[-1][0] in closing):
                 stack.pop()
@@ -137,7 +149,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 inside = article or name in ("article", "main")
                 marked = marked or (inside and not dropped)
                 header = name == "header" and article  # an article's own header is judged by what it holds
-                dropped = dropped or (not header and _boilerplate(name, found[3]))
+                dropped = dropped or (not header and _boilerplate(name, found[3], article))
                 article = inside
                 stack.append((name, dropped, article))
                 links = 0 if name != "span" else links

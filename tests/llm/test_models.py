@@ -42,6 +42,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean > 0.98 and toxic > 0.6
 
 
+def toxic_rows(kind):
+    """Texts of 150 words whose toxic ones hold six of 200 marking words (some short), or of 30 pairs of ordinary words."""
+    rng = np.random.default_rng(8)
+    common = np.array([f"{a}{b}{c}{d}" for a in "bdgklmt" for b in "aeiou" for c in ("n", "rel", "sto") for d in ("", "mi", "da")])
+    words = sorted({"".join(rng.choice(list("vwxzaeiou"), rng.integers(2, 9))) for _ in range(260)})[:200]
+    marks = words if kind == "words" else [" ".join(rng.choice(common, 2)) for _ in range(30)]
+    rows = []
+    for i in range(3000):
+        toxic = i % 4 == 0
+        found = list(rng.choice(marks, 6 if toxic else int(i % 20 == 1)))  # now and then in an ordinary text, too
+        text = found + list(rng.choice(common, 150 - len(" ".join(found).split())))
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(toxic)))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["words", "pairs"])
+def test_toxic_texts_of_many_words(spark, kind):
+    rows = spark.createDataFrame(toxic_rows(kind), "doc_id long, text string, toxic int")
+    held = remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic").where(~held))
+    clean, toxic = accuracy(toxicity.score_toxicity(rows, model), rows.select("doc_id", "toxic"), "toxic", held)
+    assert clean > 0.9 and toxic > (0.7 if kind == "words" else 0.5), (clean, toxic)
+
+
 def test_classifiers_on_edges(spark, edges, nothing, edges_null_id):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (6, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     none = labels.where("false")

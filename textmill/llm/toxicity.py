@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one that continues it with text that
-marks the toxic class.  Every word of a text is a window: it is set between copies of a fixed
-carrier of ordinary text (so that a frame's fixed cost is paid once), compressed with either
-dictionary, and the difference of the two lengths says how much better the toxic dictionary knows
-it.  Thresholds on these differences are calibrated by a logistic fit on labelled documents that
-had no part in the dictionaries.
+Two zstandard dictionaries are trained: one on windows of ordinary texts, one on windows of toxic
+texts, words and word pairs that are significantly more frequent there (log-likelihood ratio of
+document counts).  Every word of a text is a window: it is set between copies of a fixed carrier of
+ordinary text (so that a frame's fixed cost is paid once), compressed with either dictionary, and
+the difference of the two lengths says how much better the toxic dictionary knows it.  So that
+ordinary words cancel out, the ordinary dictionary is also held against itself followed by the
+strongest marks, and, for passages of several words, against itself followed by the toxic one.
+Thresholds on these differences are
+calibrated by a logistic fit on labelled documents that had no part in the dictionaries.
 """
 
 from __future__ import annotations
@@ -25,10 +28,16 @@ from textmill.llm.linear import fit_logistic, sigmoid
 
 SAMPLE_ROWS = 12000
 ORDINARY_BYTES = 112640
-MARK_BYTES = 600
+TOXIC_BYTES = ORDINARY_BYTES
+MARK_BYTES = 600  # of the strongest marks
+TOXIC_WINDOWS = 20000  # distinct words and pairs that the toxic dictionary is trained on
+#: Least log-likelihood ratio and number of toxic texts of a word, and of a pair (there are more of them).
+MARKING = {1: (12.0, 2), 2: (20.0, 3)}
 ORDINARY_WORDS = 30000
 TRAINING_WINDOWS = 200000
 LEVEL = 19
+PASSAGE_LEVEL = 3
+PASSAGE, STEP = 16, 12  # words of a passage, and from one to the next
 SPAN = 24  # differences are counted from -SPAN to SPAN
 CACHED_WORDS = 1 << 17
 WORD_BYTES = 256  # longer words are cut into windows of this length
@@ -40,26 +49,36 @@ class ToxicityModel:
     toxic: bytes
     carrier: bytes
     weights: list[float]
+    marked: bytes = b""  # the ordinary dictionary followed by the strongest marks
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+def _compressor(dictionary: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     shape = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        level, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     return zstandard.ZstdCompressor(
         dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=shape
     )
 
 
+WIDTH = 2 * SPAN + 1
+
+
+def _clipped(difference: int) -> int:
+    return max(-SPAN, min(SPAN, difference)) + SPAN
+
+
 class Distances(dict):
-    """Difference of the compressed lengths of a word's window.
+    """Differences of the compressed lengths of a word's window, as one number.
 
-    Words are kept in two generations of bounded size, so that frequent ones stay known.
+    It counts the difference to the toxic dictionary in rows of ``WIDTH``, that to the
+    ordinary one followed by marks in columns.  Words are kept in two generations of bounded size, so that frequent ones stay known.
     """
 
-    def __init__(self, ordinary: bytes, toxic: bytes, carrier: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, carrier: bytes, marked: bytes = b""):
         super().__init__()
         self.plain, self.marked = _compressor(ordinary).compress, _compressor(toxic).compress
+        self.both = _compressor(marked or ordinary + toxic).compress
         self.carrier = carrier
         self.older: dict[bytes, int] = {}
 
@@ -67,33 +86,54 @@ class Distances(dict):
         value = self.older.get(word)
         if value is None:
             window = self.carrier + b" " + word + b" " + self.carrier
-            value = len(self.plain(window)) - len(self.marked(window))
-            value = max(-SPAN, min(SPAN, value)) + SPAN
+            plain = len(self.plain(window))
+            value = _clipped(plain - len(self.marked(window))) * WIDTH + _clipped(plain - len(self.both(window)))
         if len(self) >= CACHED_WORDS:
             self.older = dict(self)
             self.clear()
         self[word] = value
         return value
 
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.bincount(found, minlength=WIDTH * WIDTH).reshape(WIDTH, WIDTH)
+
     def histogram(self, text: bytes) -> np.ndarray:
-        """Counts of the differences over a whole text, taken in pieces that end at white space."""
-        counts = np.zeros(2 * SPAN + 1, dtype=np.int64)
-        at, n = 0, len(text)
-        while at < n:
-            end = min(n, at + (1 << 20))
-            while end < n and text[end] not in b" \t\n\x0b\x0c\r":
-                end += 1
-            words = text[at:end].lower().split()
-            if any(len(w) > WORD_BYTES for w in words):
-                words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
-            found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-            counts += np.bincount(found, minlength=len(counts))
-            at = end
-        return counts
+        """Counts of the differences over a whole text."""
+        return sum(map(self.counts, _pieces(text)), np.zeros((WIDTH, WIDTH), dtype=np.int64))
+
+
+class Passages:
+    """Differences of the compressed lengths of passages, which overlap by ``PASSAGE - STEP`` words."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain = _compressor(ordinary, PASSAGE_LEVEL).compress
+        self.marked = _compressor(ordinary + toxic, PASSAGE_LEVEL).compress
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        found = []
+        for at in range(0, max(1, len(words) - PASSAGE + STEP) if words else 0, STEP):
+            window = b" " + b" ".join(words[at : at + PASSAGE]) + b" "
+            found.append(_clipped(len(self.plain(window)) - len(self.marked(window))))
+        return np.bincount(np.array(found, dtype=np.int64), minlength=WIDTH)
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in pieces that end at white space."""
+    at, n = 0, len(text)
+    while at < n:
+        end = min(n, at + (1 << 20))
+        while end < n and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        words = text[at:end].lower().split()
+        if any(len(w) > WORD_BYTES for w in words):
+            words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+        yield words
+        at = end
 
 
 def summary(counts: np.ndarray) -> np.ndarray:
-    """Features of a text from its differences: the four largest, and how many pass each threshold."""
+    """Features of a text from differences of one kind: the four largest, and how many pass each threshold."""
     above = counts[::-1].cumsum()[::-1]
     n = max(1, int(above[0]))
     top = [float(np.flatnonzero(above >= k)[-1] - SPAN) if above[0] >= k else 0.0 for k in (1, 2, 3, 4)]
@@ -101,41 +141,77 @@ def summary(counts: np.ndarray) -> np.ndarray:
     return np.array([*top, *passed, np.log1p(above[0]), above[SPAN + 4] / n, above[SPAN + 6] / n])
 
 
-N_FEATURES = 17
+N_FEATURES = 3 * 17
+
+
+class Features:
+    """Features of texts: of their words, then of their passages."""
+
+    def __init__(self, model: ToxicityModel):
+        self.distances = Distances(model.ordinary, model.toxic, model.carrier, model.marked)
+        self.passages = Passages(model.ordinary, model.toxic)
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        rows = np.zeros((len(texts), N_FEATURES))
+        for row, text in zip(rows, texts):
+            words, passages = np.zeros((WIDTH, WIDTH), dtype=np.int64), np.zeros(WIDTH, dtype=np.int64)
+            for piece in _pieces(text.as_py().encode() if text.is_valid else b""):
+                words = words + self.distances.counts(piece)
+                passages = passages + self.passages.counts(piece)
+            row[:] = np.concatenate([summary(words.sum(1)), summary(words.sum(0)), summary(passages)])
+        return rows
 
 
 def _summaries(model: ToxicityModel, out, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    distances = Distances(model.ordinary, model.toxic, model.carrier)
+    features = Features(model)
     for batch in batches:
-        texts = batch.column("text")
-        rows = [summary(distances.histogram(t.as_py().encode() if t.is_valid else b"")) for t in texts]
-        yield out(batch, np.array(rows).reshape(len(rows), N_FEATURES))
+        yield out(batch, features(batch.column("text")))
+
+
+def _marking(windows: DataFrame, toxic: int, plain: int, least: float, texts: int) -> DataFrame:
+    """Windows ``(doc_id, y, word)`` that mark toxic documents as ``(word, ratio)``.
+
+    ``ratio`` is the log-likelihood ratio of the numbers of toxic and ordinary documents with the
+    window, out of ``toxic`` and ``plain``; those below ``least`` or in fewer toxic ``texts`` are left out.
+    """
+    counts = (
+        windows.groupBy("word", "doc_id")
+        .agg(F.max("y").alias("y"))
+        .groupBy("word")
+        .agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("p"))
+        .where(F.col("t") >= texts)
+    )
+    share = toxic / (toxic + plain)
+    ratio = F.lit(0.0)
+    for seen, total, part in (("t", toxic, share), ("p", plain, 1 - share)):
+        n = F.col("t") + F.col("p")
+        for observed, expected in ((F.col(seen), n * part), (total - F.col(seen), total - n * part)):
+            ratio = ratio + F.when(observed > 0, 2 * observed * F.log(observed / expected)).otherwise(0.0)
+    return counts.where(F.col("t") * plain > F.col("p") * toxic).select("word", ratio.alias("ratio")).where(F.col("ratio") >= least)
+
+
+def _dictionary(windows: list[bytes], most: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(min(most, max(256, sum(map(len, windows)) // 8)), windows).as_bytes()
+    except zstandard.ZstdError:  # too little text for the trainer: a dictionary of the text itself
+        return b"".join(windows)[-most:]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Dictionaries and thresholds from at most ``rows`` labelled documents.
 
     Two thirds of the sample give the dictionaries, the rest the thresholds.  What reaches the
-    driver is bounded by parameters: the most frequent ordinary words with their counts, the words
-    that mark toxic documents, and one feature row per document for the fit.  Without labels every
+    driver is bounded by parameters: the most frequent ordinary words with their counts, the words and
+    pairs that mark toxic documents, and one feature row per document for the fit.  Without labels every
     document scores 0.
     """
     sample = labelled_sample(docs, labels, label, rows)
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = sample.where("fold < 2").select(
-        "y", F.explode(F.split(lowered, "[\\x20\\x09-\\x0D]+")).alias("word"), F.col("doc_id")
-    )
-    words = words.where((F.col("word") != "") & (F.octet_length("word") <= WORD_BYTES))
-    counts = words.groupBy("word").agg(
-        F.count_if(F.col("y") == 0).alias("plain"),
-        F.count_distinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("marked"),
-    )
-    ordinary = counts.where("plain > 0").orderBy(F.desc("plain"), "word").limit(ORDINARY_WORDS).collect()
-    marks = (
-        counts.where("plain = 0 and marked >= 2 and octet_length(word) > 3")
-        .orderBy(F.desc("marked"), "word")
-        .limit(MARK_BYTES)
-        .collect()
+    split = F.filter(F.split(lowered, "[\\x20\\x09-\\x0D]+"), lambda w: (w != "") & (F.octet_length(w) <= WORD_BYTES))
+    texts = sample.where("fold < 2").select("doc_id", "y", split.alias("words"))
+    words = texts.select("doc_id", "y", F.explode("words").alias("word"))
+    ordinary = (
+        words.where("y = 0").groupBy("word").agg(F.count("*").alias("plain")).orderBy(F.desc("plain"), "word").limit(ORDINARY_WORDS).collect()
     )
     total = max(1, sum(r["plain"] for r in ordinary))
     windows = [
@@ -144,19 +220,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         for _ in range(-(-r["plain"] * TRAINING_WINDOWS // total))
     ]
     np.random.default_rng(3).shuffle(windows)
-    try:
-        plain = zstandard.train_dictionary(min(ORDINARY_BYTES, max(256, len(b"".join(windows)) // 8)), windows).as_bytes()
-    except zstandard.ZstdError:  # too little text for the trainer: a dictionary of the text itself
-        plain = b"".join(windows)[-ORDINARY_BYTES:] or b" "
-    chosen, size = [], 0
-    for r in marks:
-        word = r["word"].encode() + b" "
-        if size + len(word) > MARK_BYTES:
-            break
-        chosen.append(word)
-        size += len(word)
+    plain = _dictionary(windows, ORDINARY_BYTES) or b" "
+    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    marks = []
+    if len(sizes) == 2:
+        pairs = F.expr("array_distinct(transform(words, (w, i) -> concat(w, ' ', get(words, i + 1))))")
+        pairs = texts.select("doc_id", "y", F.explode(pairs).alias("word")).where("word is not null")
+        found = [_marking(x, sizes[1], sizes[0], *MARKING[k]) for k, x in ((1, words), (2, pairs))]
+        marks = found[0].unionByName(found[1]).orderBy(F.desc("ratio"), "word").limit(TOXIC_WINDOWS).collect()
+    total = sum(r["ratio"] for r in marks)
+    windows = [
+        b" " + r["word"].encode() + b" " for r in marks for _ in range(int(np.ceil(r["ratio"] * TRAINING_WINDOWS / total)))
+    ]
+    np.random.default_rng(4).shuffle(windows)
+    toxic = _dictionary(windows, TOXIC_BYTES) or plain
     carrier = b"".join(r["word"].encode() for r in ordinary if len(r["word"]) >= 4 and r["word"].isalpha())[:8]
-    model = ToxicityModel(plain, plain + b"".join(reversed(chosen)), carrier or b"text", [])
+    strongest, size = [], 0
+    for word in (r["word"].encode() + b" " for r in marks):
+        size += len(word)
+        if size > MARK_BYTES:
+            break
+        strongest.append(word)
+    model = ToxicityModel(plain, toxic, carrier or b"text", [], plain + b"".join(reversed(strongest)))
 
     def labelled(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(
@@ -187,11 +272,9 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thr
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(model.ordinary, model.toxic, model.carrier)
+        features = Features(model)
         for batch in batches:
-            texts = batch.column(place)
-            rows = [summary(distances.histogram(t.as_py().encode() if t.is_valid else b"")) for t in texts]
-            yield batch.filter(pa.array(_probability(np.array(rows).reshape(len(rows), N_FEATURES), weights) < threshold))
+            yield batch.filter(pa.array(_probability(features(batch.column(place)), weights) < threshold))
 
     return docs.mapInArrow(bytesops.released_batches(run), docs.schema)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import (
     best_fit,
+    filter_audit,
     html_extract,
     katz,
     ngram_join,
@@ -91,6 +92,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +109,7 @@ QUERIES = {
         op8_html_extraction,
         op9_ngram_join,
         op10_best_fit_packing,
+        op13_filter_audit,
     )
 }
 
@@ -224,4 +230,39 @@ lowest as (select x as vec_id, min(r) as component_id from reached group by x),
 counts as (select x as vec_id, count(*) as n from both_ways group by x)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
 from lowest left join counts using (vec_id)""",
+    "op13_filter_audit": """
+with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+words as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from texts),
+firsts as (select t, min(doc_id) as least from texts group by t),
+known as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels group by doc_id),
+failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    case when len(w) < 200 then 1 else 0 end
+    + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+    + case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) then 4 else 0 end
+    + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when coalesce(least < words.doc_id, false) then 16 else 0 end as bits
+  from words join firsts using (t) left join known on known.doc_id = words.doc_id),
+counts as (
+  select part, bits, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by part, bits),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as o
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (
+  select o, s, 1 << (ascii(o[s]) - 65) as own, list_sum([1 << (ascii(x) - 65) for x in string_split(o[1:s], '')])::bigint as upto
+  from orders, (select unnest([1, 2, 3, 4, 5]) as s)),
+counted as (
+  select part, o as filter_order, s as step, o[s] as filter,
+    sum(case when bits & upto = 0 then n else 0 end)::bigint as kept,
+    sum(case when bits & (upto - own) = 0 and bits & own <> 0 then n else 0 end)::bigint as removed,
+    sum(case when bits & (upto - own) <> 0 and bits & own <> 0 then n else 0 end)::bigint as redundant,
+    sum(case when bits = own then n else 0 end)::bigint as unique_fails,
+    sum(case when bits & (upto - own) = 0 and bits & own <> 0 then good else 0 end)::bigint as good_lost,
+    sum(case when bits & (upto - own) = 0 and bits & own <> 0 then toxic else 0 end)::bigint as toxic_lost
+  from counts, steps group by all)
+select *, (sum(removed) over (partition by part, filter))::bigint as shapley from counted""",
 }

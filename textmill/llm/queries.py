@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import (
     best_fit,
+    crf_secrets,
     filter_audit,
     html_extract,
     katz,
@@ -92,6 +93,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = crf_secrets.find_secrets(docs, crf_secrets.train(docs))
+
+    def of(kind: str):
+        return F.filter("spans", lambda x: x["kind"] == kind)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in crf_secrets.KINDS],
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"] != "crf")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -109,6 +128,7 @@ QUERIES = {
         op8_html_extraction,
         op9_ngram_join,
         op10_best_fit_packing,
+        op11_secret_scan,
         op13_filter_audit,
     )
 }

@@ -13,6 +13,7 @@ from textmill.llm import (
     katz,
     ngram_join,
     pieces,
+    prefix_trie,
     projection_passes,
     quality_classifier,
     quality_rules,
@@ -111,6 +112,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -129,6 +134,7 @@ QUERIES = {
         op9_ngram_join,
         op10_best_fit_packing,
         op11_secret_scan,
+        op12_prefix_trie,
         op13_filter_audit,
     )
 }
@@ -250,6 +256,48 @@ lowest as (select x as vec_id, min(r) as component_id from reached group by x),
 counts as (select x as vec_id, count(*) as n from both_ways group by x)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
 from lowest left join counts using (vec_id)""",
+    "op12_prefix_trie": """
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+numbered as (
+  select *, md5(md5(role) || md5(text)) as t, row_number() over (
+    partition by conv_id order by turn nulls first, md5(md5(role) || md5(text))) - 1 as i from turns),
+convs as (
+  select conv_id, count(*) as m, conv_id - conv_id % 100 as base,
+    xor(list_reduce(
+      list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)),
+      lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8],
+        lambda r, k: xor(r >> 1, case when r & 1 = 1 then 3988292384 else 0 end))), 4294967295) % 6 as h
+  from numbered group by conv_id),
+taking as (
+  select c.*, least(c.h, coalesce(b.m, 0)) as taken from convs c left join convs b on b.conv_id = c.base),
+rebuilt as (
+  select c.conv_id, taken + i - h + 1 as d, t, length(text) as n from numbered join taking c using (conv_id) where i >= h
+  union all
+  select c.conv_id, i + 1, t, length(text) from taking c join numbered b on b.conv_id = c.base where i < taken),
+paths as (
+  select conv_id, d, n, md5(string_agg(t, '' order by d) over (partition by conv_id order by d)) as k from rebuilt
+  union all select conv_id, 0, 0, '' from convs),
+owned as (
+  select *, min(conv_id) over (partition by d, k) as owner, count(*) over (partition by d, k) as members,
+    max(d) over (partition by conv_id) as total from paths),
+nodes as (
+  select d, k, owner as conv_id, any_value(members) as n_convs, any_value(n) as n,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where d = total), '') as ends
+  from owned group by d, k, owner),
+edges as (
+  select v.d, v.conv_id, p.owner as parent_conv_id
+  from nodes v join owned p on p.conv_id = v.conv_id and p.d = v.d - 1),
+fans as (select d - 1 as d, parent_conv_id as conv_id, count(*) as n_children from edges group by all),
+valued as (
+  select v.*, coalesce(n_children, 0) as n_children from nodes v left join fans f on f.d = v.d and f.conv_id = v.conv_id),
+below as (
+  select a.d, a.owner as conv_id, sum(case when v.n_children = 0 then 1 else 0 end) as n_leaves, sum((v.n_convs - 1) * v.n) as saved
+  from valued v join owned a on a.conv_id = v.conv_id and a.d <= v.d group by all)
+select v.conv_id, v.d as depth, parent_conv_id, n_convs, n_children, n_leaves::bigint as n_leaves,
+  saved::bigint as saved_tokens, sha256(ends) as ends_sha256
+from valued v join below b on b.d = v.d and b.conv_id = v.conv_id
+  left join edges e on e.d = v.d and e.conv_id = v.conv_id""",
     "op13_filter_audit": """
 with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
 words as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from texts),

@@ -4,9 +4,9 @@ Three patterns (assignments to a password-like name, access keys, long hexadecim
 spans.  They also label the field's training data: windows around base spans, around other long mixed
 tokens, and at places chosen by a hash.  The field tags tokens as begin, inside or outside of a secret
 from their shape, the neighbouring words and shapes, and features of the whole file; it is decoded by
-Viterbi over whole texts.  In three quarters of the training windows some features are hidden (the
-neighbouring words, the fine shapes, or all but a coarse shape), so that each kind has to be able to
-tell a secret alone: a field that only knows the patterns' own wording would add nothing to them.
+Viterbi over whole texts.  In half of the training windows the neighbouring words are taken from elsewhere,
+and in half all but a coarse shape is hidden, so that words and shape each have to be able to tell a
+secret alone: a field that only knows the patterns' own wording would add nothing to them.
 
 A token is a run of ASCII letters and digits and of non-ASCII characters, or any other single character
 that is no white space.  Tokens whose tag is certainly "outside" are found first, by a bound on what
@@ -54,9 +54,7 @@ PARTS = 256
 O, B, I = 0, 1, 2  # noqa: E741
 TABLE_BITS = 18
 SLOTS = 15
-# Slots that a training window hides, by the last two bits of its key: none, neighbouring words, fine
-# shapes, or all but the coarse shape.
-HIDDEN = ((), (1, 2, 3, 4, 5, 9, 14), (0, 6, 7, 8, 9, 10, 11), (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 14))
+WORDS, PAIRS, FORMS = (1, 2, 3, 4, 5), (9, 14), (0, 6, 7, 8, 9, 10, 11)  # slots of a kind
 RIDGE = 0.1
 
 _SPACE = np.zeros(256, bool)
@@ -261,12 +259,21 @@ def decode(emit: np.ndarray, step: np.ndarray, row: np.ndarray) -> np.ndarray:
     return viterbi(emit, step, *_runs(open_, np.concatenate([[0], edges, [n]])))
 
 
-def hidden(places: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The features of tokens without those that their windows' keys hide."""
+def blurred(places: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The features of tokens, some of them changed by the last two bits of their windows' keys.
+
+    With the first bit the neighbouring words are those of another token, with the second all forms but
+    the coarse one are hidden (-1).
+    """
     places = places.copy()
-    for k, slots in enumerate(HIDDEN):
-        for slot in slots:
-            places[slot, key % len(HIDDEN) == k] = -1
+    moved, bare = np.flatnonzero(key & 1), np.flatnonzero(key & 2)
+    other = np.random.default_rng(len(key)).permutation(moved)
+    for slot in WORDS:
+        places[slot, moved] = places[slot, other]
+    for slot in PAIRS:
+        places[slot, moved] = -1
+    for slot in FORMS:
+        places[slot, bare] = -1
     return places
 
 
@@ -444,7 +451,7 @@ def train(docs: DataFrame, windows: int = WINDOWS) -> Field:
     tags = training_tags(starts, ends, row, at, [r["spans"] for r in rows])
     keys = np.array([r["key"] for r in rows])[row]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
-    return fit(hidden(places, keys), tags, edges[:-1], edges[1:]) if len(row) else Field()
+    return fit(blurred(places, keys), tags, edges[:-1], edges[1:]) if len(row) else Field()
 
 
 def secrets_in(model: Field, data: np.ndarray, at: np.ndarray) -> list[list[tuple[str, int, int]]]:

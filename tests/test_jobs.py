@@ -83,6 +83,19 @@ def test_pack_split_merge_mix(spark, corpus, tmp_path):
     assert per == {(e, s): n for e in (0, 1) for s, n in (("en", 150), ("de", 50))}
 
 
+def test_pack_of_cut_documents(spark, corpus, tmp_path):
+    with open(corpus / "long.jsonl", "w", encoding="utf-8") as f:
+        f.write(json.dumps({"text": "much longer than a piece " * 400}) + "\n")
+    args = ["--path", str(corpus), "--input-format", "json", "--concat-tokens", "64", "--eos-text", "\n", "--tokenizer", "bytes"]
+    for no_wrap in ([], ["--no-wrap"]):
+        found = []
+        for name, extra in (("whole", []), ("cut", ["--piece-chars", "256"])):
+            out = str(tmp_path / f"{name}{len(no_wrap)}")
+            pack.main([*args, "--out", out, *extra, *no_wrap])
+            found.append(sorted(map(str, spark.read.parquet(f"{out}/train").select("seq", "tokens").collect())))
+        assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_pack_without_concatenation(spark, corpus, tmp_path):
     out = str(tmp_path / "texts")
     pack.main(["--path", str(corpus), "--input-format", "json", "--out", out, "--split", "val"])

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from textmill.functions.workers import Fill
 from textmill.operators import pack as packing
 from textmill.operators import position
+from textmill.operators.cut import cut_texts
 from textmill.operators.pack import pack, pack_report, text_samples
+from textmill.operators.tokenize import byte_level_tokenizer, byte_tokenizer, tokenize, word_hash_tokenizer
+from textmill.plans.tokens import byte_level_vocab
 from textmill.staging import stage
 
 
@@ -148,3 +151,64 @@ def test_unwrapped_blocks_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN", 3)
     monkeypatch.setattr(position, "BLOCK_ROWS", 1)
     check(spark, make_docs(5, 90, 9, 2), 8, False)
+
+
+LONG_TEXTS = [
+    (0, 0, "ab " * 500),
+    (1, 1, ""),
+    (0, 2, None),
+    (0, 3, "x" * 700 + " end"),
+    (1, 4, "  lead wide  " * 90 + "\n\n"),
+    (0, 5, "\u2003 \t" * 200),
+    (1, 6, "é漢\U0001f600 " * 200),
+    (0, 7, "word"),
+    (0, 8, "it's 12,345  and " * 60),
+]
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_pieces_are_the_text(spark, words):
+    docs = spark.createDataFrame(LONG_TEXTS, "shard long, pos long, text string")
+    got = {}
+    for r in cut_texts(docs, 128, words=words).orderBy("pos", "piece").collect():
+        assert r.piece == len(got.setdefault(r.pos, []))
+        got[r.pos].append(r)
+    assert {p: "".join(r.text for r in rows) for p, rows in got.items()} == {p: t for _, p, t in LONG_TEXTS if t is not None}
+    for rows in got.values():
+        assert [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
+        for a, b in zip(rows, rows[1:]):
+            if words:
+                assert not a.text[-1].isspace() and b.text[0] in " \t\r\n"
+            else:
+                assert len(a.text) == 128
+    with pytest.raises(ValueError):
+        cut_texts(docs, 10)
+
+
+@pytest.mark.parametrize("wrap", [True, False])
+@pytest.mark.parametrize("kind", ["bytes", "words", "byte-level"])
+def test_pieces_pack_like_whole_documents(spark, monkeypatch, wrap, kind):
+    monkeypatch.setattr(position, "BLOCK_ROWS", 4)
+    made = {
+        "bytes": lambda: byte_tokenizer(),
+        "words": lambda: word_hash_tokenizer(),
+        "byte-level": lambda: byte_level_tokenizer(spark, *byte_level_vocab()),
+    }[kind]()
+    docs = spark.createDataFrame(LONG_TEXTS, "shard long, pos long, text string").repartition(3)
+    whole = pack(stage(tokenize(docs, made, before=[7], after=[8], eod=9), "whole"), 33, wrap=wrap, keep_tail=True)
+    cut = tokenize(cut_texts(docs, 128, words=kind != "bytes"), made, before=[7], after=[8], eod=9)
+    pieces = pack(stage(cut, "cut"), 33, wrap=wrap, keep_tail=True, piece_col="piece")
+    key = ["shard", "seq", "n_tokens", "tokens"]
+    assert sorted(map(tuple, pieces.select(*key).collect())) == sorted(map(tuple, whole.select(*key).collect()))
+    longest = cut.agg(F.max("n_tokens")).first()[0]
+    assert longest <= 1003, "a row of tokens is bounded by a piece and the word or white space at its end"
+
+
+def test_no_row_holds_a_long_document(spark):
+    """Ten million characters: whole, the row of ids would have ten million numbers."""
+    docs = spark.range(1).select(F.lit(0).cast("long").alias("shard"), F.col("id").alias("pos"), F.expr("repeat('wörd ab ', 1250000)").alias("text"))
+    tokens = stage(tokenize(cut_texts(docs, 4096, words=False), byte_tokenizer(), eod=256), "long")
+    assert tokens.agg(F.max("n_tokens")).first()[0] <= 2 * 4096 + 1
+    samples = pack(tokens, 2048, piece_col="piece")
+    assert samples.count() == (1250000 * 9 + 1) // 2048
+    assert samples.where("n_tokens <> 2048").isEmpty()

@@ -1,4 +1,5 @@
-import io
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,58 @@ def test_merge_pairs():
     assert workers.merge_pairs([], ranks) == []
 
 
+def merged_by_passes(symbols, ranks):
+    """The rule, word for word: find the best pair, merge it everywhere from the left, start again."""
+    while True:
+        pairs = [p for p in zip(symbols, symbols[1:]) if p in ranks]
+        if not pairs:
+            return symbols
+        best, out = min(pairs, key=ranks.get), []
+        while symbols:
+            if tuple(symbols[:2]) == best:
+                out, symbols = [*out, symbols[0] + symbols[1]], symbols[2:]
+            else:
+                out, symbols = [*out, symbols[0]], symbols[1:]
+        symbols = out
+
+
+def test_long_words_merge_like_short_ones():
+    """Also with merges in an order that no training gives (a pair ranked above those it is made of)."""
+    rng = random.Random(4)
+    for _ in range(300):
+        letters = "abc"[: rng.randint(1, 3)]
+        made, ranks = list(letters), {}
+        for _ in range(rng.randint(0, 12)):
+            pair = rng.choice(made), rng.choice(made)
+            ranks.setdefault(pair, 0)
+            made.append("".join(pair))
+        ranks = {p: i for i, p in enumerate(rng.sample(list(ranks), len(ranks)))}
+        word = rng.choices(letters, k=rng.randint(0, 90))
+        want = merged_by_passes(list(word), ranks)
+        assert workers.merge_long(list(word), ranks) == want and workers.merge_pairs(list(word), ranks) == want
+
+
+def test_a_word_of_200000_letters():
+    ranks = {("a", "b"): 0, ("ab", "c"): 1, ("abc", "abc"): 2, ("d", "a"): 3, ("a", "a"): 4, ("aa", "aa"): 5}
+    word = random.Random(1).choices("aabcd", k=200_000)
+    started = time.perf_counter()
+    merged = workers.merge_pairs(word, ranks)
+    assert time.perf_counter() - started < 5 and "".join(merged) == "".join(word)
+
+
+def test_long_words_are_not_remembered():
+    seen = []
+
+    def encode_word(word):
+        seen.append(word)
+        return [len(word)]
+
+    encode = workers.word_encoder(str.split, encode_word)
+    long = "x" * (workers.REMEMBERED_CHARS + 1)
+    assert encode([f"ab {long} ab {long}"]) == [[2, 65, 2, 65]]
+    assert seen == ["ab", long, long]
+
+
 def test_small_vocabulary(spark):
     vocab = {c: i for i, c in enumerate("abcdefgh")} | {"ab": 8, "abc": 9, "de": 10, "<unk>": 11}
     tokenizer = tk.bpe_tokenizer(spark, vocab, [("a", "b"), ("ab", "c"), ("d", "e")], unk_id=11)
@@ -80,30 +133,6 @@ def test_byte_level_encoding_agrees_with_a_library(spark, sf):
         assert ours[r.doc_id] == expected
 
 
-def test_sentencepiece(spark, sf):
-    sentencepiece = pytest.importorskip("sentencepiece")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    lines = [line for r in docs.collect() for line in r.text.split("\n") if line][:2000]
-    model = io.BytesIO()
-    sentencepiece.SentencePieceTrainer.train(
-        sentence_iterator=iter(lines), model_writer=model, vocab_size=400, hard_vocab_limit=False, minloglevel=2
-    )
-    tokenizer = tk.sentencepiece_tokenizer(spark, model.getvalue())
-    direct = sentencepiece.SentencePieceProcessor(model_proto=model.getvalue())
-    got = by_id(tk.tokenize(docs, tokenizer))
-    for r in docs.limit(30).collect():
-        assert got[r.doc_id] == direct.encode(r.text)
-
-
-def test_fast_tokenizer_file(spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    made = tokenizers.Tokenizer(tokenizers.models.WordLevel({"[UNK]": 0, "hello": 1, "world": 2}, unk_token="[UNK]"))
-    made.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    tokenizer = tk.tokenizer_json(spark, made.to_str())
-    df = spark.createDataFrame([(0, "hello there world")], "doc_id long, text string")
-    assert by_id(tk.tokenize(df, tokenizer)) == {0: [1, 0, 2]}
-
-
 def test_own_callable(spark):
     def load():
         return lambda texts: [[len(t)] for t in texts]

@@ -6,6 +6,7 @@ The caller owns the session; nothing here keeps a global one.
 
 from textmill.config import EvalGroup, StreamPlan, epoch_size, run_tokens
 from textmill.operators.audit import text_audit, token_range_audit, token_report
+from textmill.operators.cut import cut_texts
 from textmill.operators.identity import number_copies, with_row_id, with_scan_id
 from textmill.operators.indexed import indexed_datasets
 from textmill.operators.merge import append_parts, document_bounds, merge_indexed, merge_samples
@@ -37,10 +38,8 @@ from textmill.operators.tokenize import (
     bpe_tokenizer,
     byte_tokenizer,
     callable_tokenizer,
-    sentencepiece_tokenizer,
     separators,
     tokenize,
-    tokenizer_json,
 )
 from textmill.sinks.write import in_order, refuse_existing, write_corpus, write_shards, write_split
 from textmill.sources.corpus import first_n, read_corpus
@@ -64,6 +63,7 @@ __all__ = [
     "byte_tokenizer",
     "callable_tokenizer",
     "catalogue_counts",
+    "cut_texts",
     "cyclic_pass",
     "document_bounds",
     "drop_staged",
@@ -90,7 +90,6 @@ __all__ = [
     "resolve_inputs",
     "right_side",
     "run_tokens",
-    "sentencepiece_tokenizer",
     "separators",
     "shuffle",
     "shuffle_epochs",
@@ -103,7 +102,6 @@ __all__ = [
     "token_range_audit",
     "token_report",
     "tokenize",
-    "tokenizer_json",
     "with_hash_position",
     "with_line_position",
     "with_position",

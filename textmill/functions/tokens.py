@@ -41,13 +41,27 @@ def word_hash_tokens(text: Column, hex_digits: int = 7) -> Column:
     )
 
 
-def wrap_document(tokens: Column, before: Sequence[int], after: Sequence[int]) -> Column:
-    """Put fixed ids before and after each document's own tokens."""
+def wrap_document(
+    tokens: Column,
+    before: Sequence[int],
+    after: Sequence[int],
+    first: Column | None = None,
+    last: Column | None = None,
+) -> Column:
+    """Put fixed ids before and after each document's own tokens.
+
+    Rows that are pieces of documents get them where ``first`` and ``last`` hold.
+    """
+
+    def frame(ids: Sequence[int], where: Column | None) -> Column:
+        made = F.array(*[F.lit(int(t)) for t in ids])
+        return made if where is None else F.when(where, made).otherwise(no_tokens())
+
     parts = [tokens]
     if before:
-        parts.insert(0, F.array(*[F.lit(int(t)) for t in before]))
+        parts.insert(0, frame(before, first))
     if after:
-        parts.append(F.array(*[F.lit(int(t)) for t in after]))
+        parts.append(frame(after, last))
     return F.concat(*parts) if len(parts) > 1 else tokens
 
 

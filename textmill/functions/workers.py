@@ -6,6 +6,7 @@ of the package.  It imports nothing from the package.
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Callable, Iterator, Mapping
 
@@ -34,7 +35,7 @@ def encode_words(
 ) -> Iterator[pa.Array]:
     """Encode Arrow batches of word lists with an encoder of words that is loaded once per task.
 
-    Words are kept in two generations, so that frequent ones stay known."""
+    Words are kept in two generations, so that frequent ones stay known; long words are not kept."""
     encode = load()
     young: dict[str, list[int]] = {}
     old: dict[str, list[int]] = {}
@@ -51,9 +52,10 @@ def encode_words(
                     got = old.get(word)
                     if got is None:
                         got = encode(word)
-                    if len(young) >= remember:
-                        old, young = young, {}
-                    young[word] = got
+                    if len(word) <= REMEMBERED_CHARS:
+                        if len(young) >= remember:
+                            old, young = young, {}
+                        young[word] = got
                 ids += got
             out.append(ids)
         yield pa.array(out, pa.list_(pa.int32()))
@@ -68,8 +70,15 @@ def byte_symbols() -> list[str]:
     return [chr(codes[b]) for b in range(256)]
 
 
+# Words of more symbols are merged with a heap; words of more characters are not remembered.
+SHORT_WORD = 48
+REMEMBERED_CHARS = 64
+
+
 def merge_pairs(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> list[str]:
     """Byte-pair merging of one word: always the best-ranked neighbouring pair, everywhere."""
+    if len(symbols) > SHORT_WORD:
+        return merge_long(symbols, ranks)
     none = len(ranks)
     while len(symbols) > 1:
         found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
@@ -90,6 +99,41 @@ def merge_pairs(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> lis
     return symbols
 
 
+def merge_long(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> list[str]:
+    """The same in n log n steps: symbols are linked, and a heap holds the ranked pairs by rank and place.
+
+    All pairs of the best rank are merged, left to right, before the pairs that this makes are looked at.
+    """
+    n = len(symbols)
+    held: list[str | None] = list(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank, i) for i, pair in enumerate(zip(symbols, symbols[1:])) if (rank := ranks.get(pair)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        best = heap[0][0]
+        touched: set[int] = set()
+        while heap and heap[0][0] == best:
+            _, i = heapq.heappop(heap)
+            j = after[i]
+            # A pair may have been broken up since it was noted.
+            if held[i] is None or j >= n or ranks.get((held[i], held[j])) != best:
+                continue
+            held[i] += held[j]
+            held[j] = None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            touched.add(i)
+            if before[i] >= 0:
+                touched.add(before[i])
+        for i in touched:
+            if held[i] is not None and after[i] < n:
+                rank = ranks.get((held[i], held[after[i]]))
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i))
+    return [s for s in held if s is not None]
+
+
 def hex_bytes(word: str) -> list[str]:
     """Starting symbols of byte-level encoding: two hex digits per UTF-8 byte."""
     return [f"{b:02x}" for b in word.encode("utf-8")]
@@ -100,7 +144,7 @@ def word_encoder(
     encode_word: Callable[[str], list[int]],
     remember: int = 1 << 18,
 ) -> Callable[[list[str]], list[list[int]]]:
-    """Encoder of texts that encodes each distinct word once (until its memory is full)."""
+    """Encoder of texts that encodes each distinct word once (until its memory is full); long words are not kept."""
     known: dict[str, list[int]] = {}
 
     def encode(texts: list[str]) -> list[list[int]]:
@@ -111,9 +155,10 @@ def word_encoder(
                 got = known.get(word)
                 if got is None:
                     got = encode_word(word)
-                    if len(known) >= remember:
-                        known.clear()
-                    known[word] = got
+                    if len(word) <= REMEMBERED_CHARS:
+                        if len(known) >= remember:
+                            known.clear()
+                        known[word] = got
                 ids.extend(got)
             out.append(ids)
         return out

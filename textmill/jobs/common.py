@@ -10,12 +10,10 @@ from textmill.operators.tokenize import (
     Tokenizer,
     byte_level_tokenizer,
     byte_tokenizer,
-    sentencepiece_tokenizer,
-    tokenizer_json,
     word_hash_tokenizer,
 )
 from textmill.session import SETTINGS
-from textmill.sources.assets import read_bytes, read_merges, read_vocab
+from textmill.sources.assets import read_merges, read_vocab
 
 
 def session(name: str) -> SparkSession:
@@ -41,7 +39,7 @@ def add_tokenizer(p: argparse.ArgumentParser, default: str | None = "bytes") ->
     p.add_argument(
         "--tokenizer",
         default=default,
-        help="bytes, words, bpe:<vocab.json>,<merges.txt>, sentencepiece:<model> or json:<tokenizer.json>",
+        help="bytes, words or bpe:<vocab.json>,<merges.txt>",
     )
 
 
@@ -56,8 +54,4 @@ def make_tokenizer(spark: SparkSession, spec: str | None) -> Tokenizer:
     if kind == "bpe":
         vocab, merges = rest.split(",")
         return byte_level_tokenizer(spark, read_vocab(spark, vocab), read_merges(spark, merges))
-    if kind == "sentencepiece":
-        return sentencepiece_tokenizer(spark, read_bytes(spark, rest))
-    if kind == "json":
-        return tokenizer_json(spark, read_bytes(spark, rest).decode("utf-8"))
     raise ValueError(f"unknown tokeniser {spec}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from textmill.jobs.common import add_tokenizer, make_tokenizer, parser, session
+from textmill.operators.cut import PIECE_COL, cut_texts
 from textmill.operators.pack import pack, text_samples
 from textmill.operators.position import with_line_position, with_scan_position
 from textmill.operators.sharding import assign_shard
@@ -30,6 +31,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--eos-text", default="")
     p.add_argument("--bos-id", action="store_true", help="the tokeniser's own begin id before each document")
     p.add_argument("--eos-id", action="store_true", help="the tokeniser's own end id after each document")
+    p.add_argument(
+        "--piece-chars", type=int, help="cut texts into pieces of about so many characters before tokenising (long documents)"
+    )
     p.add_argument("--no-wrap", action="store_true")
     p.add_argument("--keep-tail", action="store_true")
     p.add_argument("--no-compact", action="store_true", help="save an exchange; every task writes a file per output it holds rows of")
@@ -48,8 +52,11 @@ def main(argv: Sequence[str] | None = None) -> None:
         before, after = separators(spark, tokenizer, a.bos_text, a.eos_text, a.bos_id, a.eos_id)
         place = with_scan_position if a.input_format == "parquet" else with_line_position
         docs = assign_shard(place(scan).select("pos", a.text), a.shards)
+        if a.piece_chars:
+            docs = cut_texts(docs, a.piece_chars, a.text)
         tokens = stage(tokenize(docs, tokenizer, a.text, before, after), "tokens")
-        samples = pack(tokens, a.concat_tokens, wrap=not a.no_wrap, keep_tail=a.keep_tail)
+        piece = PIECE_COL if a.piece_chars else None
+        samples = pack(tokens, a.concat_tokens, wrap=not a.no_wrap, keep_tail=a.keep_tail, piece_col=piece)
         write_shards(samples, out, codec=a.codec, compact=not a.no_compact)
     finally:
         drop_staged(spark)

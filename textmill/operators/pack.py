@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import workers
 from textmill.functions.chunks import int_div
+from textmill.operators.cut import PIECE_BITS
 from textmill.operators.position import before, with_blocks
 from textmill.staging import stage
 
@@ -22,12 +23,14 @@ def pack(
     wrap: bool = True,
     keep_tail: bool = False,
     tokens_col: str = "tokens",
+    piece_col: str | None = None,
 ) -> DataFrame:
     """Concatenate each shard's documents in order and cut samples of ``length`` tokens.
 
     Returns ``(shard, seq, n_tokens, tokens)``.  The incomplete last sample of a shard is left
     out unless ``keep_tail``.  With ``wrap=False`` a document cut by a sample's end is not
-    continued.  ``order_col`` is a long, unique within the shard.
+    continued.  ``order_col`` is a long, unique within the shard; rows that are pieces of documents
+    share it, and ``piece_col`` orders them within their document.
 
     Give a written table of tokens (see :func:`textmill.staging.stage`) with ``n_tokens``: the
     lengths are read before the tokens, and a tokeniser should not run twice.
@@ -37,7 +40,11 @@ def pack(
     docs = df
     if "n_tokens" not in df.columns:
         docs = df.withColumn("n_tokens", F.size(tokens_col).cast("long"))
-    docs = docs.where(F.col("n_tokens") > 0).select(shard_col, order_col, tokens_col, "n_tokens")
+    pieces = [] if piece_col is None else [F.col(piece_col).cast("long").alias("_piece")]
+    docs = docs.where(F.col("n_tokens") > 0).select(shard_col, order_col, *pieces, tokens_col, "n_tokens")
+    if wrap and pieces:
+        order = F.col(order_col) * (1 << PIECE_BITS) + F.col("_piece")
+        docs = docs.select(shard_col, order.alias(order_col), tokens_col, "n_tokens")
     cut = _pack_wrapped if wrap else _pack_unwrapped
     samples = cut(docs, length, shard_col, order_col, tokens_col).withColumnRenamed(shard_col, "shard")
     return samples if keep_tail else samples.where(F.col("n_tokens") == length)
@@ -118,9 +125,19 @@ def place_unwrapped(docs: DataFrame, length: int, shard: str = "shard", order: s
 
 
 def _pack_unwrapped(docs: DataFrame, length: int, shard: str, order: str, tokens: str) -> DataFrame:
-    placed = place_unwrapped(docs, length, shard, order)
-    part = F.slice(tokens, F.lit(1), F.col("_kept").cast("int"))
-    pieces = docs.join(placed, [shard, order]).select(shard, "seq", "_lo", part.alias("_part"))
+    if "_piece" in docs.columns:
+        whole = docs.groupBy(shard, order).agg(F.sum("n_tokens").cast("long").alias("n_tokens"))
+        start = before("n_tokens", [shard, order], ["_piece"])
+    else:
+        whole, start = docs, F.lit(0).cast("long")
+    placed = place_unwrapped(whole, length, shard, order)
+    kept = F.least(F.col("n_tokens"), F.col("_kept") - F.col("_start"))
+    pieces = (
+        docs.withColumn("_start", start)
+        .join(placed, [shard, order])
+        .where(kept > 0)
+        .select(shard, "seq", (F.col("_lo") + F.col("_start")).alias("_lo"), F.slice(tokens, F.lit(1), kept.cast("int")).alias("_part"))
+    )
     return pieces.groupBy(shard, "seq").agg(*_joined())
 
 

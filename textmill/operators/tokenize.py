@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from textmill.functions import workers
 from textmill.functions.tokens import WORD_BREAK, byte_tokens, word_hash_tokens, wrap_document
+from textmill.operators.cut import LAST_COL, PIECE_COL
 from textmill.session import spread_if_small
 
 TOKENS = T.ArrayType(T.IntegerType())
@@ -141,42 +142,6 @@ def decode_byte_level(vocab: Mapping[str, int], ids: Sequence[int]) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def sentencepiece_tokenizer(spark: SparkSession, model: bytes) -> Tokenizer:
-    """A SentencePiece model, given as the bytes of its file."""
-    import sentencepiece
-
-    here = sentencepiece.SentencePieceProcessor(model_proto=model)
-    sent = spark.sparkContext.broadcast(model)
-
-    def load():
-        import sentencepiece
-
-        return sentencepiece.SentencePieceProcessor(model_proto=sent.value).encode
-
-    bos, eos = here.bos_id(), here.eos_id()
-    return callable_tokenizer(
-        load, here.get_piece_size(), bos if bos >= 0 else None, eos if eos >= 0 else None
-    )
-
-
-def tokenizer_json(
-    spark: SparkSession, definition: str, bos_id: int | None = None, eos_id: int | None = None
-) -> Tokenizer:
-    """A fast tokeniser, given as the text of its ``tokenizer.json``."""
-    import tokenizers
-
-    size = tokenizers.Tokenizer.from_str(definition).get_vocab_size()
-    sent = spark.sparkContext.broadcast(definition)
-
-    def load():
-        import tokenizers
-
-        made = tokenizers.Tokenizer.from_str(sent.value)
-        return lambda texts: [e.ids for e in made.encode_batch(texts)]
-
-    return callable_tokenizer(load, size, bos_id, eos_id)
-
-
 def separators(
     spark: SparkSession,
     tokenizer: Tokenizer,
@@ -221,10 +186,13 @@ def tokenize(
 ) -> DataFrame:
     """Add ``tokens`` (int ids) and ``n_tokens``; rows without a text are left out.
 
-    ``before``/``after`` frame every document, also an empty one; ``eod`` ends it.
+    ``before``/``after`` frame every document, also an empty one; ``eod`` ends it.  Pieces of documents
+    (:func:`textmill.operators.cut.cut_texts`) are framed as the documents they are cut from.
     """
     ending = list(after) + ([eod] if eod is not None else [])
-    ids = wrap_document(tokenizer.column(F.col(text_col)), before, ending)
+    cut = {PIECE_COL, LAST_COL} <= set(df.columns)
+    ends = (F.col(PIECE_COL) == 0, F.col(LAST_COL)) if cut else ()
+    ids = wrap_document(tokenizer.column(F.col(text_col)), before, ending, *ends)
     kept = [c for c in df.columns if keep_text or c != text_col]
     return (
         spread_if_small(df.where(F.col(text_col).isNotNull()))

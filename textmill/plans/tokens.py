@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions.tokens import fingerprint, words
 from textmill.functions.workers import byte_symbols, hex_bytes
 from textmill.operators.audit import text_audit, token_range_audit, token_report
+from textmill.operators.cut import PIECE_COL, cut_texts
 from textmill.operators.pack import pack, pack_report, text_samples
 from textmill.operators.position import with_position, with_scan_position
 from textmill.operators.sharding import assign_shard
@@ -29,6 +30,7 @@ SHARDS = 4
 WORD_LENGTH = 512
 BYTE_LENGTH = 2048
 EOD = 256
+PIECE_CHARS = 4096
 BOS, EOS = 1 << 28, (1 << 28) + 1
 BOS_TEXT, EOS_TEXT = "<page>", "\n"
 
@@ -171,6 +173,47 @@ def pack_bytes_eod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed(pack(byte_tokens(spark, sf_dir), BYTE_LENGTH))
 
 
+def pack_cut_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of ``pack_bytes_eod`` from documents cut into pieces of 4,096 characters."""
+    docs = assign_shard(with_scan_position(table(spark, sf_dir, "documents")), SHARDS)
+    pieces = cut_texts(docs.select("shard", "pos", "text"), PIECE_CHARS, words=False)
+    tokens = stage(tokenize(pieces, byte_tokenizer(), eod=EOD), "piece-tokens")
+    return printed(pack(tokens, BYTE_LENGTH, piece_col=PIECE_COL))
+
+
+def _cut_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = assign_shard(with_scan_position(table(spark, sf_dir, "documents")), SHARDS)
+    pieces = cut_texts(docs.select("shard", "pos", "text"), PIECE_CHARS)
+    return stage(tokenize(pieces, word_hash_tokenizer(), before=[BOS], after=[EOS]), "piece-tokens")
+
+
+def pack_cut_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of ``pack_words_bos_eos`` from pieces that end where words do."""
+    return printed(pack(_cut_word_tokens(spark, sf_dir), WORD_LENGTH, piece_col=PIECE_COL))
+
+
+def pack_cut_no_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of ``pack_no_wrap`` from pieces: a document is cut by a sample's end, not its pieces."""
+    return printed(pack(_cut_word_tokens(spark, sf_dir), WORD_LENGTH, wrap=False, piece_col=PIECE_COL))
+
+
+def tokenize_cut_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of pieces, put together again: those of the whole documents."""
+    tokenizer = byte_level_tokenizer(spark, *byte_level_vocab())
+    pieces = cut_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_CHARS)
+    tokens = tokenize(pieces, tokenizer, eod=tokenizer.eos_id)
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(PIECE_COL, "tokens"))), lambda p: p["tokens"]))
+    return tokens.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), fingerprint(joined).alias("fingerprint"))
+
+
+def tokenize_bpe_unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without spaces: every document is one word, the longest of tens of thousands of bytes."""
+    tokenizer = bpe_tokenizer(spark, small_vocab(), MERGES, to_symbols=hex_bytes)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", " \t\r\n", "").alias("text"))
+    tokens = tokenize(docs, tokenizer)
+    return tokens.select("doc_id", "n_tokens", fingerprint(F.col("tokens")).alias("fingerprint"))
+
+
 def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = byte_tokens(spark, sf_dir)
     return pack_report(tokens, pack(tokens, BYTE_LENGTH))
@@ -232,6 +275,11 @@ QUERIES = {
     "pack_keep_tail": pack_keep_tail,
     "pack_no_wrap": pack_no_wrap,
     "pack_bytes_eod": pack_bytes_eod,
+    "pack_cut_bytes": pack_cut_bytes,
+    "pack_cut_words": pack_cut_words,
+    "pack_cut_no_wrap": pack_cut_no_wrap,
+    "tokenize_cut_byte_level": tokenize_cut_byte_level,
+    "tokenize_bpe_unspaced": tokenize_bpe_unspaced,
     "pack_stats": pack_stats,
     "pack_conversations": pack_conversations,
     "pack_pages_one_stream": pack_pages_one_stream,
@@ -399,3 +447,19 @@ ORACLES = {
             count(*) filter (where text = '') as n_empty
         from documents""",
 }
+
+# Cutting documents into pieces changes no sample and no id.
+ORACLES |= {
+    "pack_cut_bytes": ORACLES["pack_bytes_eod"],
+    "pack_cut_words": ORACLES["pack_words_bos_eos"],
+    "pack_cut_no_wrap": ORACLES["pack_no_wrap"],
+    "tokenize_cut_byte_level": ORACLES["tokenize_byte_level"],
+    "tokenize_bpe_unspaced": f"""
+        with w as (select doc_id, regexp_replace(text, '[ \t\r\n]', '', 'g') as w from documents),
+        spelled as (
+            select doc_id, case when w = '' then [] else string_split(trim({_merged_symbols()}, '<>'), '><') end as symbols
+            from w)
+        select doc_id, cast(len(symbols) as bigint) as n_tokens,
+            md5(array_to_string(list_transform(symbols, lambda s: {_symbol_id('s')}), ',')) as fingerprint
+        from spelled""",
+}

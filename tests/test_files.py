@@ -3,14 +3,18 @@
 import gzip
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.operators import position
 from textmill.operators.indexed import read_files_in_order
 from textmill.operators.position import with_line_position
 from textmill.sources import corpus, files, packed, streams
 from textmill.sources.assets import read_merges, read_vocab
+from textmill.sources.lines import lines_of_range
+from textmill.staging import staged_since, staged_so_far
 
 
 def write_lines(path, texts):
@@ -110,6 +114,88 @@ def test_line_positions_follow_files_and_splits(spark, seven):
     assert positions == list(range(21))
 
 
+@pytest.fixture
+def odd_lines(spark, tmp_path):
+    """JSON lines with blank, broken and very long lines, other line ends, no last line end, and a packed file."""
+    rng = random.Random(1)
+    for i, (name, end) in enumerate([("a.jsonl", b"\n"), ("b c%20.jsonl", b"\r\n"), ("d.jsonl.gz", b"\n"), ("e.jsonl", b"\n")]):
+        lines = []
+        for j in range(100):
+            text = f"{name} {j} " + "é漢x" * rng.choice([0, 3, 30, 400])
+            lines.append(json.dumps({"text": text, "n": j}, ensure_ascii=False).encode())
+            if j % 9 == 0:
+                lines.append(rng.choice([b"", b"  ", b"\t"]))
+        lines += [b"{broken"] if i == 3 else []
+        with (gzip.open if name.endswith("gz") else open)(tmp_path / name, "wb") as f:
+            f.write(end.join(lines) + (b"" if i % 2 else end))
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    return corpus.read_corpus(spark, str(tmp_path), "json", "text string, n long")
+
+
+def test_first_n_numbers_few_keys(spark, monkeypatch):
+    """Also where keys are null or one of them makes up a third of all rows."""
+    monkeypatch.setattr(corpus, "SAMPLE_KEYS", 2000)
+    wide = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("k"), F.col("id").alias("v"))
+    for n in (1001, 5000, 60_000, 99_999):
+        mark = staged_so_far()
+        got = corpus.first_n(wide, n, ["k"])
+        kept = [spark.read.parquet(p).count() for p in staged_since(mark)]
+        assert len(kept) == 1 and kept[0] < 2 * n
+        want = sorted(i * 7919 % 100_003 for i in range(100_000))[:n]
+        assert sorted(r.k for r in got.collect()) == want
+    hot = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id"))
+    mixed = spark.range(30_000).select(hot.alias("a"), F.col("id").alias("b"))
+    rows = sorted(map(tuple, mixed.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for n in (1500, 9000, 29_000):
+        got = corpus.first_n(mixed, n, ["a", "b"]).collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[0] is not None, r[0] or 0, r[1])) == rows[:n]
+    nulls = spark.range(9000).select(F.when(F.col("id") > 4000, F.col("id")).alias("a"))
+    assert corpus.first_n(nulls, 3000, ["a"]).where("a is not null").isEmpty()
+
+
+@pytest.mark.parametrize("size", [9973, 1 << 20])
+def test_line_positions_do_not_depend_on_ranges(odd_lines, size):
+    written = position._with_written_line_position(odd_lines, "pos")
+    got = position.with_line_position(odd_lines, range_bytes=size)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[-1]) == sorted(map(tuple, written.collect()), key=lambda r: r[-1])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_ranges_hold_every_line_once(tmp_path, size):
+    raw = b"ab\r\n\r\n c\rd\n\n  \n" + "é漢".encode() * 9 + b"\nlast"
+    (tmp_path / "x").write_bytes(raw)
+    found = [x for a in range(0, len(raw), size) for x in lines_of_range(str(tmp_path / "x"), a, a + size)]
+    assert found == [b"ab", b" c", b"d", "é漢".encode() * 9, b"last"]
+
+
+def test_line_positions_write_no_text(spark, odd_lines):
+    mark = staged_so_far()
+    got = position.with_line_position(odd_lines.select("text"))
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    try:
+        assert sorted(r.pos for r in got.collect()) == list(range(401))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert [spark.read.parquet(p).columns for p in staged_since(mark)] == [["file", "start", "number"]]
+    text = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("textmill_lines") == 1 and "Exchange hash" not in text
+
+
+def test_scans_that_only_spark_can_number(spark, odd_lines, seven):
+    json_files = position._json_files
+    assert json_files(odd_lines) and json_files(odd_lines.select("n"))
+    assert json_files(odd_lines.select(F.col("n").alias("m"))) is None
+    assert json_files(odd_lines.where("n > 3")) is None
+    assert json_files(spark.read.schema("text string").option("multiLine", True).json(seven)) is None
+    assert json_files(spark.read.schema("text string").option("mode", "DROPMALFORMED").json(seven)) is None
+
+
+def test_lines_that_hold_several_objects_are_refused(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"text": "a"}\n[{"text": "b"}, {"text": "c"}]\n')
+    with pytest.raises(Exception, match="one object a line"):
+        position.with_line_position(corpus.read_corpus(spark, str(tmp_path), "json", "text string")).collect()
+
+
 def test_files_in_list_order(spark, seven):
     paths = [seven[3], seven[1], seven[3]]
     got = read_files_in_order(spark, paths, "json", "text string").orderBy("file_idx", "pos").collect()

@@ -1,8 +1,9 @@
 """Row positions and running totals without a one-task window.
 
-Three ways to number rows, by what is known of the order:
+Four ways to number rows, by what is known of the order:
 
 * the scan order of Parquet files: counts per file plus the row index, no shuffle;
+* the line order of JSON files: counts per fixed range of bytes, no shuffle;
 * the order of a stable hash key: equal hash buckets, one shuffle, no sampling pass;
 * any other total order: range partitions written once, then numbered.
 
@@ -12,6 +13,8 @@ index.  Windows only ever run inside one bounded partition or over that small ta
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from textmill.functions.chunks import int_div
 from textmill.functions.keys import bucket_of
 from textmill.session import shuffle_width
+from textmill.sources.lines import RANGE_BYTES, RangedLines, can_open
 from textmill.staging import BROADCAST_ROWS, stage, stage_summary
 
 # Upper limits of the summary tables that are handled as a whole.
@@ -74,8 +78,64 @@ def with_scan_position(df: DataFrame, name: str = "pos") -> DataFrame:
     return scanned.join(offsets, "_file").select(*df.columns, (F.col("_offset") + F.col("_row")).alias(name))
 
 
-def with_line_position(df: DataFrame, name: str = "pos") -> DataFrame:
-    """The same for formats without a row index, such as JSON lines.
+def _json_files(df: DataFrame) -> list[tuple[str, int]] | None:
+    """Paths and lengths of the files, in name order, if ``df`` is a plain scan of JSON lines.
+
+    A scan with options of its own, partition columns, renamed columns, or of files that Python cannot open
+    is none.
+    """
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias"):
+        if node.nodeName() == "Project" and node.projectList().mkString(" ").find(" AS ") >= 0:
+            return None
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or not node.relation().fileFormat().toString().upper().startswith("JSON"):
+        return None
+    relation = node.relation()
+    options = str(relation.options().keys().mkString("\n")).lower().split("\n")
+    if not relation.partitionSchema().isEmpty() or not {*options} <= {"", "path", "paths", "recursivefilelookup"}:
+        return None
+    listed = str(relation.location().allFiles().mkString("\n"))
+    files = sorted((m[1], int(m[2])) for m in re.finditer(r"path=(.*?); isDirectory=false; length=(\d+)", listed))
+    return files if files and all(can_open(uri) for uri in {_suffix(u): u for u, _ in files}.values()) else None
+
+
+def _suffix(uri: str) -> str:
+    return uri[uri.rfind(".") :] if "." in uri.rsplit("/", 1)[-1] else ""
+
+
+def with_line_position(df: DataFrame, name: str = "pos", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The same for JSON lines, which have no row index.
+
+    The files are cut into ranges of bytes that depend on nothing but their lengths.  One pass counts the
+    lines of each range, the other reads and numbers them; neither writes or moves a line.  The ranges grow
+    with the files, so that their counts stay a table that may be broadcast.  A line must hold one object.
+    """
+    files = _json_files(df)
+    if files is None:
+        return _with_written_line_position(df, name)
+    spark = df.sparkSession
+    spark.dataSource.register(RangedLines)
+    size = max(range_bytes, -(-sum(n for _, n in files) // BROADCAST_ROWS))
+
+    def scan(counting: bool) -> DataFrame:
+        options = {"files": json.dumps(files), "range": size, "counting": str(counting).lower()}
+        return spark.read.format(RangedLines.name()).options(**options).load()
+
+    counts = stage(scan(True).select("file", "start", "number"), "line-counts")
+    offsets = F.broadcast(counts.select("file", "start", before("number", [], ["file", "start"]).alias("_offset")))
+    object_ = F.when(F.ltrim("line").startswith("["), F.raise_error(F.lit("JSON lines need one object a line")).cast("string"))
+    parsed = F.from_json(object_.otherwise(F.col("line")), df.schema)
+    return (
+        scan(False)
+        .join(offsets, ["file", "start"])
+        .select(parsed.alias("_row"), (F.col("_offset") + F.col("number")).alias(name))
+        .select(*[F.col("_row").getField(c).alias(c) for c in df.columns], name)
+    )
+
+
+def _with_written_line_position(df: DataFrame, name: str) -> DataFrame:
+    """Line positions of scans that only Spark can read.
 
     Rows of one split are read in file order and get consecutive ids, so a split's smallest id
     and the counts of the splits before it give the position.  The rows are written once, since

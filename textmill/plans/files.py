@@ -11,7 +11,7 @@ from textmill.functions.tokens import fingerprint
 from textmill.operators.indexed import indexed_datasets
 from textmill.operators.merge import merge_indexed
 from textmill.operators.pack import pack
-from textmill.operators.position import with_scan_position
+from textmill.operators.position import with_line_position, with_scan_position
 from textmill.operators.shuffle import shuffle
 from textmill.operators.split import split
 from textmill.operators.tokenize import byte_tokenizer
@@ -46,6 +46,14 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(spark, out, "json", "doc_id long, text string")
 
 
+def json_line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of JSON lines, read in ranges of half a megabyte; the files hold the documents in random order."""
+    out = _out(spark, "lines")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    write_corpus(shuffle(docs, FILES, SEED, "doc_id"), out, "json", "none")
+    return with_line_position(read_corpus(spark, out, "json", "doc_id long, lang string, text string"), range_bytes=1 << 19)
+
+
 def gzip_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed, plain = _out(spark, "gzip"), _out(spark, "plain")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -146,6 +154,7 @@ QUERIES = {
     "subset_of_root": subset_of_root,
     "codecs_written": codecs_written,
     "json_roundtrip": json_roundtrip,
+    "json_line_positions": json_line_positions,
     "gzip_json_ingest": gzip_json_ingest,
     "shuffled_files": shuffled_files,
     "chunks_written": chunks_written,
@@ -171,6 +180,9 @@ ORACLES = {
     "codecs_written": """
         select doc_id, text, codec from documents, (values ('zstd'), ('snappy'), ('gz'), ('')) c(codec)""",
     "json_roundtrip": "select doc_id, text from documents",
+    "json_line_positions": f"""
+        select doc_id, lang, text, row_number() over (order by {md5_key(SEED, 'doc_id')}, doc_id) - 1 as pos
+        from documents""",
     "gzip_json_ingest": "select doc_id, lang, text from documents",
     "shuffled_files": f"""
         select ({draw_sql(md5_key(SEED, 'doc_id'))} * {FILES}) // 4294967296 as file, doc_id, text from documents""",

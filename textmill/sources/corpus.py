@@ -12,6 +12,7 @@ from textmill.operators.position import with_position
 from textmill.sources.files import is_dir, list_dir
 
 TOP_N_KEYS = 1000
+SAMPLE_KEYS = 20_000
 
 
 def read_corpus(
@@ -90,12 +91,17 @@ def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     last = _nth_key(df.select(*order), n, order) if n > 0 else None
     if last is None:
         return df if n > 0 else df.where(F.lit(False))
+    return _up_to(df, last, order)
+
+
+def _up_to(df: DataFrame, last: Row, order: Sequence[str]) -> DataFrame:
+    """The rows whose order columns are not beyond ``last``; nulls come first."""
     if len(order) == 1:
         column = F.col(order[0])
         if last[0] is None:
             return df.where(column.isNull())
         up_to = column <= F.lit(last[0])
-        # Nulls come first; the scan can tell from its statistics whether there are any.
+        # The scan can tell from its statistics whether there are any nulls.
         return df.where(up_to if df.where(column.isNull()).isEmpty() else column.isNull() | up_to)
     types = {f.name: f.dataType for f in df.schema.fields}
     bound = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, last)])
@@ -106,10 +112,41 @@ def _nth_key(keys: DataFrame, n: int, order: Sequence[str]) -> Row | None:
     """Order columns of the ``n``-th row; nothing if there are fewer rows.
 
     A small ``n`` is a top-n.  For a larger one every task would send ``n`` keys to a single
-    task, so the keys are numbered by range partitions instead.
+    task, so the keys up to a bound a little beyond the ``n``-th are numbered by range partitions.
     """
-    if n > TOP_N_KEYS:
-        return with_position(keys, order, name="_pos").where(F.col("_pos") == n - 1).select(*order).first()
+    if n <= TOP_N_KEYS:
+        return _last_of_first(keys, n, order)
+    near = _near_first(keys, n, order)
+    return with_position(near, order, name="_pos").where(F.col("_pos") == n - 1).select(*order).first()
+
+
+def _last_of_first(keys: DataFrame, n: int, order: Sequence[str]) -> Row | None:
     first = keys.orderBy(*order).limit(n)
     found = first.agg(F.count("*").alias("rows"), F.max(F.struct(*order)).alias("last")).first()
     return found["last"] if found["rows"] == n else None
+
+
+def _near_first(keys: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """Keys that hold the first ``n``, fewer than twice as many unless a key beyond them repeats.
+
+    About ``SAMPLE_KEYS`` keys are drawn from all; the one that lies a little beyond the place where the
+    ``n``-th must be bounds them.  What is below is counted, so a bad draw costs a pass and no row, and
+    is drawn from anew while it is too much: each pass keeps a small part of the one before, and reads
+    no more than the bound lets it.
+    """
+    near, rows, draws = keys, keys.count(), 0
+    while rows >= 2 * n:
+        share = min(1.0, SAMPLE_KEYS / rows)
+        place = n * share
+        place = int(place + 4 * place**0.5) + 4
+        bound = _last_of_first(near.sample(share, seed=draws), place << draws, order)
+        if bound is None:
+            break
+        below = _up_to(near, bound, order)
+        found = below.count()
+        draws += 1
+        if found >= n:
+            if found == rows:
+                break
+            near, rows, draws = below, found, 0
+    return near

@@ -13,7 +13,7 @@ from textmill.operators.split import split
 from textmill.operators.tokenize import byte_tokenizer, tokenize
 from textmill.plans import all_queries, tokens
 from textmill.sources.corpus import first_n
-from textmill.staging import stage
+from textmill.staging import stage, staged_since, staged_so_far
 
 
 def plan(df):
@@ -110,3 +110,16 @@ def test_tokenised_files_do_not_move_their_texts(spark, sf):
     items = indexed_datasets(spark, [f"{sf}/documents.parquet"], byte_tokenizer(), "parquet", schema="text string")
     exchanges = [line for line in plan(items).split("\n") if re.search(r"Exchange (hash|range)", line)]
     assert not any("text" in line for line in exchanges)
+
+
+def test_shuffle_by_content_moves_each_row_once(spark, docs):
+    """Rows without copies only meet the exchange of the shuffle; the counted MD5s carry no column."""
+    assert final_plan(shuffle(docs, 4, seed=1)).count("Exchange ") == 1, "no copies, nothing else to move"
+    mark = staged_so_far()
+    text = final_plan(shuffle(docs.unionByName(docs.where("doc_id < 3")), 4, seed=1))
+    lines = text.split("\n")
+    alone = [i for i, line in enumerate(lines) if "LeftAnti" in line]
+    assert alone and all("BroadcastHashJoin" in lines[i] for i in alone)
+    assert not any("Exchange" in x and "Broadcast" not in x for i in alone for x in below(lines, i))
+    assert text.count("shufflepartitionidpassthrough") == 1
+    assert [spark.read.parquet(p).columns for p in staged_since(mark)] == [["_content"]]

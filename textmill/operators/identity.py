@@ -7,21 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.operators.copies import emit_copies
+from textmill.staging import BROADCAST_ROWS, stage
 
 
 def with_row_id(df: DataFrame, key: str | None = None, name: str = "row_id") -> DataFrame:
     """Add a row id.
 
     With ``key``: that column, which must be unique.  Without: the content's MD5 and an
-    occurrence number among equal rows, which needs nothing but the rows themselves.
+    occurrence number among equal rows, which needs nothing but the rows themselves.  The MD5s are
+    counted first, on their own; a row whose MD5 is the only one of its kind stays where it is, and only
+    copies are brought together to be numbered (all rows, if more contents repeat than may be broadcast).
     """
     if key is not None:
         return df.withColumn(name, F.col(key))
-    numbered = number_copies(df)
-    content = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
-    return numbered.select(
-        *df.columns, F.concat_ws("-", content, F.col("copy").cast("string")).alias(name)
-    )
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return number_copies(rows, "_copy").select(*kept, F.concat_ws("-", content, F.col("_copy").cast("string")).alias(name))
+
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    repeated = stage(df.groupBy(content.alias("_content")).agg(F.count("*").alias("_n")).where("_n > 1").select("_content"), "repeated")
+    if repeated.count() > BROADCAST_ROWS:
+        return numbered(df)
+    repeated = F.broadcast(repeated)
+    marked = df.select("*", content.alias("_content"))
+    alone = marked.join(repeated, "_content", "left_anti").select(*kept, F.concat(F.col("_content"), F.lit("-0")).alias(name))
+    copies = marked.join(repeated, "_content", "left_semi").select(*kept)
+    return alone.unionByName(numbered(copies))
 
 
 def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import merge
+from textmill.operators.merge import merge_indexed
 from textmill.operators.split import audit_split, left_side, only, right_probability, right_side, split, without
+from textmill.sources import packed
 
 
 def test_probability():
@@ -86,3 +88,36 @@ def test_offsets_of_many_parts(spark):
         assert r.item_offset == running
         running += r.n_items
     assert running == 500
+
+
+def test_a_root_of_many_parts_is_one_scan(spark, tmp_path):
+    root = str(tmp_path / "root")
+    rows = spark.range(3000).select(
+        F.format_string("part %04d", F.col("id") % 1000).alias("output"),
+        F.floor(F.col("id") / 1000).alias("item_idx"),
+        F.floor(F.col("id") / 1000).alias("doc_idx"),
+        F.lit(1).alias("size"),
+        F.array(F.col("id").cast("int")).alias("tokens"),
+    )
+    rows.repartition(4, "output").write.partitionBy("output").parquet(root)
+    items, counts = packed.read_parts(spark, root)
+    assert items._jdf.queryExecution().analyzed().toString().count("parquet") == 1
+    merged = merge_indexed(items, "output", counts=counts)
+    got = {r["merged_idx"]: (r["output"], r["item_idx"]) for r in merged.collect()}
+    assert got == {3 * p + i: (f"part {p:04d}", i) for p in range(1000) for i in range(3)}
+    assert "Exchange hash" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_other_types_or_columns_are_refused(spark, tmp_path):
+    for k, (first, second) in enumerate([("id", "cast(id as int) as id"), ("id", "id as other"), ("id", "id, 1 as more")]):
+        root = str(tmp_path / str(k))
+        for part, columns in (("a", first), ("b", second)):
+            spark.range(3).selectExpr(*columns.split(", ")).write.parquet(f"{root}/{part}")
+        with pytest.raises(ValueError, match="differ in type"):
+            packed.read_parts(spark, root)
+    same = str(tmp_path / "same")
+    for part in ("b", "a"):
+        spark.range(2).withColumn("item_idx", F.col("id")).write.parquet(f"{same}/{part}")
+    items, counts = packed.read_parts(spark, same)
+    merged = merge_indexed(items, "output", counts=counts).collect()
+    assert sorted((r["output"], r["id"], r["merged_idx"]) for r in merged) == [("a", 0, 0), ("a", 1, 1), ("b", 0, 2), ("b", 1, 3)]

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.jobs.common import parser, session
-from textmill.operators.merge import append_parts, boundaries, merge_indexed, merge_samples
+from textmill.operators.merge import boundaries, merge_indexed, merge_samples
 from textmill.operators.position import with_scan_position
 from textmill.sinks.write import in_order, write_corpus
-from textmill.sources.packed import complete_parts
+from textmill.sources.packed import read_parts
 from textmill.staging import drop_staged
 
 # Without --n-files: one output file for so many bytes of the input's size estimate.
@@ -52,15 +52,9 @@ def merge_index(spark, a) -> None:
 
     Every part must have been finished, and all must have the same columns and types.
     """
-    parts = complete_parts(spark, a.root)
-    items = append_parts(
-        [
-            spark.read.parquet(f"{a.root}/{p}").withColumn("output", F.lit(p.partition("=")[2] or p))
-            for p in parts
-        ]
-    )
-    merged = merge_indexed(items, "output")
-    total = items.count()
+    items, counts = read_parts(spark, a.root)
+    merged = merge_indexed(items, "output", counts=counts)
+    total = counts.agg(F.sum("n_items")).first()[0] or 0
     ordered = in_order(merged, "merged_idx", total, wanted_files(items, a.n_files))
     write_corpus(ordered, f"{a.out}/items", codec=a.codec, mode="errorifexists")
     ends = boundaries(merged, "output").repartitionByRange("end_idx").sortWithinPartitions("end_idx")

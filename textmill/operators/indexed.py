@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from textmill.operators.position import with_line_position, with_running_total, with_scan_position
 from textmill.operators.tokenize import Tokenizer, tokenize
 from textmill.sources.corpus import read_corpus
-from textmill.sources.files import file_catalog
+from textmill.sources.files import decoded_path, file_catalog
 from textmill.staging import stage_summary
 
 
@@ -24,15 +24,13 @@ def read_files_in_order(
     """
     once = list(dict.fromkeys(paths))
     df = read_corpus(spark, once, fmt, schema)
-    located = df.select("*", without_scheme(decoded(F.col("_metadata.file_path"))).alias("_path"))
-    place = with_scan_position if fmt == "parquet" else with_line_position
+    if fmt == "parquet":
+        placed = with_scan_position(df.select("*", decoded_path(F.col("_metadata.file_path")).alias("_path")))
+    else:
+        placed = with_line_position(df, path_col="_path")
+    located = placed.withColumn("_path", without_scheme(F.col("_path")))
     catalog = file_catalog(spark, paths).withColumn("_path", without_scheme(F.col("path"))).drop("path")
-    return place(located).join(catalog, "_path").drop("_path")
-
-
-def decoded(path: Column) -> Column:
-    """A path as the file source reports it, with its special characters put back."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return located.join(catalog, "_path").drop("_path")
 
 
 def without_scheme(path: Column) -> Column:

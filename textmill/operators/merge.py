@@ -66,14 +66,21 @@ def merge_samples(df: DataFrame, part_col: str = "shard", seq_col: str = "seq",
 
 
 def merge_indexed(
-    parts: Sequence[DataFrame] | DataFrame, part_col: str = "dataset", item_col: str = "item_idx"
+    parts: Sequence[DataFrame] | DataFrame,
+    part_col: str = "dataset",
+    item_col: str = "item_idx",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Merge indexed datasets in name order: every item index is moved by the items before.
 
-    ``merged_idx`` is the item's index in the merged dataset.
+    ``merged_idx`` is the item's index in the merged dataset.  ``counts`` gives ``(part, n_items)`` if
+    they are known, from footers for instance; else the items are counted.
     """
     items = parts if isinstance(parts, DataFrame) else append_parts(parts)
-    offsets = part_offsets(items, part_col).select(part_col, "item_offset")
+    if counts is None:
+        offsets = part_offsets(items, part_col).select(part_col, "item_offset")
+    else:
+        offsets = stage_summary(counts.select(part_col, before("n_items", [], [part_col]).alias("item_offset")), "parts")
     return items.join(offsets, part_col).select(
         *items.columns, (F.col("item_offset") + F.col(item_col)).alias("merged_idx")
     )

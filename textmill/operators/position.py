@@ -14,15 +14,16 @@ index.  Windows only ever run inside one bounded partition or over that small ta
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.chunks import int_div
 from textmill.functions.keys import bucket_of
-from textmill.session import shuffle_width
+from textmill.session import shuffle_width, small_table
+from textmill.sources.files import decoded_path, scanned_files
 from textmill.sources.lines import RANGE_BYTES, RangedLines, can_open
 from textmill.staging import BROADCAST_ROWS, stage, stage_summary
 
@@ -95,8 +96,7 @@ def _json_files(df: DataFrame) -> list[tuple[str, int]] | None:
     options = str(relation.options().keys().mkString("\n")).lower().split("\n")
     if not relation.partitionSchema().isEmpty() or not {*options} <= {"", "path", "paths", "recursivefilelookup"}:
         return None
-    listed = str(relation.location().allFiles().mkString("\n"))
-    files = sorted((m[1], int(m[2])) for m in re.finditer(r"path=(.*?); isDirectory=false; length=(\d+)", listed))
+    files = sorted(scanned_files(df))
     return files if files and all(can_open(uri) for uri in {_suffix(u): u for u, _ in files}.values()) else None
 
 
@@ -104,8 +104,10 @@ def _suffix(uri: str) -> str:
     return uri[uri.rfind(".") :] if "." in uri.rsplit("/", 1)[-1] else ""
 
 
-def with_line_position(df: DataFrame, name: str = "pos", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The same for JSON lines, which have no row index.
+def with_line_position(
+    df: DataFrame, name: str = "pos", range_bytes: int = RANGE_BYTES, path_col: str | None = None
+) -> DataFrame:
+    """The same for JSON lines, which have no row index; ``path_col`` adds each row's file.
 
     The files are cut into ranges of bytes that depend on nothing but their lengths.  One pass counts the
     lines of each range, the other reads and numbers them; neither writes or moves a line.  The ranges grow
@@ -113,7 +115,8 @@ def with_line_position(df: DataFrame, name: str = "pos", range_bytes: int = RANG
     """
     files = _json_files(df)
     if files is None:
-        return _with_written_line_position(df, name)
+        located = df.select("*", decoded_path(F.col("_metadata.file_path")).alias(path_col)) if path_col else df
+        return _with_written_line_position(located, name)
     spark = df.sparkSession
     spark.dataSource.register(RangedLines)
     size = max(range_bytes, -(-sum(n for _, n in files) // BROADCAST_ROWS))
@@ -126,11 +129,13 @@ def with_line_position(df: DataFrame, name: str = "pos", range_bytes: int = RANG
     offsets = F.broadcast(counts.select("file", "start", before("number", [], ["file", "start"]).alias("_offset")))
     object_ = F.when(F.ltrim("line").startswith("["), F.raise_error(F.lit("JSON lines need one object a line")).cast("string"))
     parsed = F.from_json(object_.otherwise(F.col("line")), df.schema)
+    lines, own = scan(False).join(offsets, ["file", "start"]), [path_col] if path_col else []
+    if path_col:
+        named = [(i, path) for i, (path, _) in enumerate(files)]
+        lines = lines.join(small_table(spark, named, ["file", path_col], [pa.int64(), pa.string()]), "file")
     return (
-        scan(False)
-        .join(offsets, ["file", "start"])
-        .select(parsed.alias("_row"), (F.col("_offset") + F.col("number")).alias(name))
-        .select(*[F.col("_row").getField(c).alias(c) for c in df.columns], name)
+        lines.select(parsed.alias("_row"), *own, (F.col("_offset") + F.col("number")).alias(name))
+        .select(*[F.col("_row").getField(c).alias(c) for c in df.columns], *own, name)
     )
 
 

@@ -21,7 +21,7 @@ from textmill.plans.tokens import _SHOWN, _WORD_DOCS, EOD, WORD_LENGTH, _bytes_o
 from textmill.session import spread_if_small
 from textmill.sinks.write import in_order, write_corpus, write_per_file, write_split
 from textmill.sources.corpus import decompress_json, read_corpus
-from textmill.sources.packed import read_packed
+from textmill.sources.packed import read_packed, read_parts
 from textmill.sources.streams import read_streams
 from textmill.staging import staging_root
 
@@ -108,6 +108,15 @@ def merge_tokenized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("output", "merged_idx", "item_idx", "size", fingerprint(F.col("tokens")).alias("fingerprint"))
 
 
+def merge_root_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merge from the root alone: one scan, counts and types by footers."""
+    out = _out(spark, "root")
+    write_per_file(_datasets(spark, sf_dir), out, "corpus", 2, key="text")
+    items, counts = read_parts(spark, out)
+    merged = merge_indexed(items, "output", counts=counts)
+    return merged.select("output", "merged_idx", "item_idx", "size", fingerprint(F.col("tokens")).alias("fingerprint"))
+
+
 def nested_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written to folders in folders, and read with one recursive scan."""
     out = _out(spark, "nested")
@@ -162,6 +171,7 @@ QUERIES = {
     "stream_root_scan": stream_root_scan,
     "tokenize_files": tokenize_files,
     "merge_tokenized_files": merge_tokenized_files,
+    "merge_root_parts": merge_root_parts,
 }
 
 _ITEMS = f"""
@@ -211,3 +221,4 @@ ORACLES = {
             md5(array_to_string(list_concat({_bytes_of('text')}, [{EOD}]), ',')) as fingerprint
         from items""",
 }
+ORACLES["merge_root_parts"] = ORACLES["merge_tokenized_files"]

@@ -5,10 +5,11 @@ A listing is metadata and lives on the driver; the data behind it is read by Spa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.chunks import numbered_name
@@ -49,6 +50,20 @@ def size_of(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(at).getLength()
 
 
+def decoded_path(path: Column) -> Column:
+    """A path as the file source reports it, with its special characters put back."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def scanned_files(df: DataFrame) -> list[tuple[str, int]]:
+    """Path and length of every file that a plain scan reads, in the scan's order, by one call of the bridge."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "Filter", "Sample"):
+        node = node.children().head()
+    listed = str(node.relation().location().allFiles().mkString("\n"))
+    return [(m[1], int(m[2])) for m in re.finditer(r"path=(.*?); isDirectory=false; length=(\d+)", listed)]
+
+
 def resolve_inputs(
     spark: SparkSession,
     files: str | None = None,

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.session import small_table
-from textmill.sources.files import list_dir
+from textmill.sources.files import decoded_path, list_dir, scanned_files
+from textmill.sources.footers import part_of, read_footers
+from textmill.staging import stage
 
 # The two halves of an indexed dataset.
 HALVES = (".bin", ".idx")
@@ -71,3 +73,21 @@ def complete_parts(spark: SparkSession, root: str) -> list[str]:
         if not any(n == "_SUCCESS" for n, _ in list_dir(spark, f"{root}/{part}")):
             raise ValueError(f"{root}/{part}: not completely written")
     return parts
+
+
+def read_parts(spark: SparkSession, root: str, part_col: str = "output") -> tuple[DataFrame, DataFrame]:
+    """All sub-datasets of a root as one scan with their names, and ``(part, n_items)`` from their footers.
+
+    Every part must have been written to the end, and all files must agree in columns and types, whatever
+    the scan would make of them.  The plan has one scan, however many parts there are.
+    """
+    complete_parts(spark, root)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(root)
+    paths = [uri for uri, _ in scanned_files(rows)]
+    footers = stage(read_footers(spark, paths).withColumn(part_col, part_of(F.col("path"))), "footers")
+    kinds = footers.groupBy("columns").agg(F.min("path").alias("path")).orderBy("path").limit(2).collect()
+    if len(kinds) > 1:
+        raise ValueError("sub-datasets differ in type: " + "; ".join(f"{r['path']} has {r['columns']}" for r in kinds))
+    counts = footers.groupBy(part_col).agg(F.sum("n_rows").cast("long").alias("n_items"))
+    named = rows.select("*", part_of(decoded_path(F.col("_metadata.file_path"))).alias(part_col))
+    return named, counts

@@ -105,3 +105,26 @@ def test_epochs_are_kept(spark, tmp_path):
     assert write.read_epoch(spark, out, 1).count() == 3
     with pytest.raises(Exception, match="already exists"):
         write.write_epochs(order, out)
+
+
+def test_a_rank_reads_its_files_only(spark, tmp_path):
+    epochs = F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch")
+    order = spark.range(1003).select((F.col("id") * 7).alias("sample"), F.col("id").alias("pos"), epochs)
+    out = str(tmp_path / "e")
+    write.write_epochs(order.repartitionByRange(4, "epoch", "pos"), out, range_rows=100)
+    assert write.read_epoch(spark, out, 1).count() == 1003
+    for first, last in ((0, None), (317, None), (100, 400), (990, 2000), (1003, None)):
+        end = min(1003, last or 1003)
+        seen = []
+        for rank in range(8):
+            got = write.read_epoch_slice(spark, out, 1, first, last, rank, 8)
+            pos = sorted(r.pos for r in got.collect())
+            ranges = {p // 100 for p in pos}
+            files = [f for f in got.inputFiles() if pos]
+            assert all("epoch=1" in f for f in files)
+            assert {int(f.split("first_pos=")[1].split("/")[0]) // 100 for f in files} == ranges
+            assert all(r.sample == 7 * r.pos and r.epoch == 1 for r in got.collect())
+            seen += pos
+        assert seen == list(range(first, end))
+    with pytest.raises(ValueError):
+        write.read_epoch_slice(spark, out, 1, rank=8, ranks=8)

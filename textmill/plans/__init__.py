@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textmill.plans import files, ingesting, merging, mixing, ordering, sharding, splitting, tokens
+from textmill.plans import files, ingesting, inputs, merging, mixing, ordering, sharding, splitting, tokens
 
-_MODULES = (ordering, sharding, tokens, splitting, merging, mixing, files, ingesting)
+_MODULES = (ordering, sharding, tokens, splitting, merging, mixing, files, inputs, ingesting)
 
 
 def all_queries() -> dict:

@@ -26,12 +26,13 @@ from textmill.operators.shuffle import epoch_samples, shuffle_epochs
 from textmill.operators.split import right_side
 from textmill.plans.splitting import _MARKED, marked_documents
 from textmill.plans.tables import NUMBERED, md5_key, table
-from textmill.sinks.write import read_epoch, write_epochs
+from textmill.sinks.write import read_epoch, read_epoch_slice, write_epochs
 from textmill.sources.streams import catalogue_counts
 from textmill.staging import staging_root
 
 SEED = 11
 BATCH = 32
+RANGE_ROWS = 64
 SHARES = {"en": 0.5, "de": 0.3, "fr": 0.15, "es": 0.05}
 REPEATS = {"en": 1, "de": 2, "fr": 3, "es": 0}
 BLEND = {"benchmark": 1.0, "documents": 1.0}
@@ -83,6 +84,14 @@ def epoch_index_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_epoch(spark, out, 1).drop("epoch")
 
 
+def epoch_rank_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rank 3 of 8 has to read of the second epoch after a run that broke off at a quarter of it."""
+    out = f"{staging_root(spark)}/epochs-{uuid.uuid4().hex}"
+    write_epochs(epoch_index(spark, sf_dir), out, range_rows=RANGE_ROWS)
+    size = table(spark, sf_dir, "documents").count() * 3 // 2
+    return read_epoch_slice(spark, out, 1, first=size // 4, rank=3, ranks=8).drop("epoch")
+
+
 def epoch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of an epoch, fetched by a kept order."""
     out = f"{staging_root(spark)}/epochs-{uuid.uuid4().hex}"
@@ -138,6 +147,7 @@ QUERIES = {
     "mixture_shuffled_batches": mixture_shuffled_batches,
     "epoch_index": epoch_index,
     "epoch_index_kept": epoch_index_kept,
+    "epoch_rank_slice": epoch_rank_slice,
     "epoch_documents": epoch_documents,
     "cyclic_pass": cyclic_documents,
     "stream_repeats": stream_repeats,
@@ -212,6 +222,11 @@ ORACLES = {
         where pos < (select size from epoch) // {BATCH} * {BATCH}""",
     "epoch_index": f"with {_LANG_MIX} {_epoch(0)} union all {_epoch(1)}",
     "epoch_index_kept": f"with {_LANG_MIX}, kept as ({_epoch(1)}) select pos, lang, doc_id, copy from kept",
+    "epoch_rank_slice": f"""
+        with {_LANG_MIX}, kept as ({_epoch(1)}),
+        sized as (select size // 4 as first, (size - size // 4) // 8 as share, (size - size // 4) % 8 as rest from epoch)
+        select pos, lang, doc_id, copy from kept, sized
+        where pos >= first + 3 * share + least(3, rest) and pos < first + 4 * share + least(4, rest)""",
     "epoch_documents": f"""
         with {_LANG_MIX}, kept as ({_epoch(0)})
         select pos, kept.lang, kept.doc_id, copy, text from kept join documents using (doc_id)""",

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.functions.chunks import even_chunk, numbered_name
+from textmill.functions.chunks import even_chunk, int_div, numbered_name
 from textmill.sources.files import exists
 
 # The formats a corpus is written in, with each one's default codec.
 DEFAULT_CODEC = {"parquet": "zstd", "json": "gzip"}
 
 
+# Where an epoch laid out in ranges keeps a range's first position, and the table of their bounds.
+RANGE_COL, BOUNDS = "first_pos", "_bounds"
+
+
 def codec_name(codec: str | None, fmt: str = "parquet") -> str:
     """Codec option of a writer: ``''`` and ``none`` mean uncompressed, ``None`` the default."""
     if codec is None:
@@ -107,11 +111,51 @@ def document_suffix(key: str = "text") -> str:
     return f"_{key}_document"
 
 
-def write_epochs(order: DataFrame, out: str) -> None:
-    """Keep computed epoch orders, one directory per epoch."""
-    order.write.mode("errorifexists").partitionBy("epoch").parquet(out)
+def write_epochs(order: DataFrame, out: str, range_rows: int | None = None) -> None:
+    """Keep computed epoch orders, one directory per epoch.
+
+    With ``range_rows`` an epoch is laid out in directories of so many consecutive positions, whose bounds
+    are kept beside them, so that a run that resumes, or one rank of it, reads its part only
+    (:func:`read_epoch_slice`).
+    """
+    if range_rows is None:
+        order.write.mode("errorifexists").partitionBy("epoch").parquet(out)
+        return
+    spark = order.sparkSession
+    laid = order.withColumn(RANGE_COL, int_div(F.col("pos"), range_rows) * range_rows)
+    laid.write.mode("errorifexists").partitionBy("epoch", RANGE_COL).parquet(out)
+    bounds = spark.read.parquet(out).groupBy("epoch", RANGE_COL).agg(F.max("pos").alias("last_pos"), F.count("*").alias("n_rows"))
+    bounds.coalesce(1).write.mode("errorifexists").parquet(f"{out}/{BOUNDS}")
 
 
 def read_epoch(spark: SparkSession, out: str, epoch: int) -> DataFrame:
     """A kept epoch order; only its directory is read."""
-    return spark.read.parquet(out).where(F.col("epoch") == epoch)
+    kept = spark.read.parquet(out).where(F.col("epoch") == epoch)
+    return kept.drop(RANGE_COL)
+
+
+def rank_range(first: int, last: int, rank: int, ranks: int) -> tuple[int, int]:
+    """The positions of one of ``ranks`` near-equal consecutive parts of ``[first, last)``."""
+    if not 0 <= rank < ranks:
+        raise ValueError(f"rank {rank} is none of {ranks}")
+    share, rest = divmod(max(0, last - first), ranks)
+    start = first + rank * share + min(rank, rest)
+    return start, start + share + (rank < rest)
+
+
+def read_epoch_slice(
+    spark: SparkSession, out: str, epoch: int, first: int = 0, last: int | None = None, rank: int = 0, ranks: int = 1
+) -> DataFrame:
+    """What one rank still has to read of an epoch from position ``first`` on (up to before ``last``).
+
+    The kept bounds say which directories hold these positions; no other is listed or opened.
+    """
+    mine = spark.read.parquet(f"{out}/{BOUNDS}").where(F.col("epoch") == epoch)
+    end = mine.agg(F.max("last_pos") + 1).first()[0] or 0
+    start, stop = rank_range(first, end if last is None else min(last, end), rank, ranks)
+    held = mine.where((F.col(RANGE_COL) < stop) & (F.col("last_pos") >= start)).select(RANGE_COL).orderBy(RANGE_COL)
+    folders = [f"{out}/epoch={epoch}/{RANGE_COL}={r[0]}" for r in held.collect()]
+    if not folders:
+        return read_epoch(spark, out, epoch).where(F.lit(False))
+    kept = spark.read.option("basePath", out).parquet(*folders).drop(RANGE_COL)
+    return kept.where((F.col("pos") >= start) & (F.col("pos") < stop))

@@ -123,3 +123,18 @@ def test_shuffle_by_content_moves_each_row_once(spark, docs):
     assert not any("Exchange" in x and "Broadcast" not in x for i in alone for x in below(lines, i))
     assert text.count("shufflepartitionidpassthrough") == 1
     assert [spark.read.parquet(p).columns for p in staged_since(mark)] == [["_content"]]
+
+
+def test_outputs_by_file_move_texts_not_tokens(spark, sf, monkeypatch):
+    """Texts are brought together before they are tokenised, in one exchange."""
+    from textmill.operators import indexed
+
+    for small in (True, False):
+        monkeypatch.setattr(indexed, "is_small", lambda df, small=small: small)
+        items = indexed.indexed_datasets(
+            spark, [f"{sf}/documents.parquet"], byte_tokenizer(), "parquet", schema="text string", by_file=True
+        )
+        lines = plan(items).split("\n")
+        moved = [i for i, line in enumerate(lines) if re.search(r"Exchange (hash|range|RoundRobin)", line)]
+        assert not any("tokens" in lines[i] for i in moved)
+        assert any("REBALANCE" in lines[i] for i in moved) is not small

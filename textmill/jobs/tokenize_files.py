@@ -30,8 +30,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         for key in a.keys.split(","):
             schema = f"`{key}` string" if a.input_format == "json" else None
             eod = tokenizer.eos_id if a.append_eod else None
-            items = indexed_datasets(spark, paths, tokenizer, a.input_format, key, schema, eod)
-            write_per_file(items, f"{a.out}/{key}", base, len(paths), key=key, compact=not a.no_compact)
+            items = indexed_datasets(spark, paths, tokenizer, a.input_format, key, schema, eod, by_file=not a.no_compact)
+            write_per_file(items, f"{a.out}/{key}", base, len(paths), key=key, compact=False)
     finally:
         drop_staged(spark)
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from textmill.operators.position import with_line_position, with_running_total, with_scan_position
 from textmill.operators.tokenize import Tokenizer, tokenize
+from textmill.session import is_small
 from textmill.sources.corpus import read_corpus
 from textmill.sources.files import decoded_path, file_catalog
 from textmill.staging import stage_summary
@@ -46,21 +47,28 @@ def indexed_datasets(
     key: str = "text",
     schema: T.StructType | str | None = None,
     eod: int | None = None,
+    by_file: bool = False,
 ) -> DataFrame:
     """One dataset per input file: ``(file_idx, item_idx, doc_idx, size, tokens)``.
 
     Every document is one item, numbered in file order; documents without a text make none.
+    ``by_file`` brings the texts of a file together before they are tokenised, for a sink that writes a
+    file's items together: texts are moved, which are a fraction of their ids.  A small input is dealt
+    out to all cores instead, each of which has something of every file.
     """
     docs = read_files_in_order(spark, paths, fmt, schema).select("file_idx", "pos", F.col(key).alias("text"))
-    if docs.where(F.col("text").isNull()).isEmpty():
+    found = docs.groupBy("file_idx").agg(F.min("pos").alias("_start"), F.count_if(F.col("text").isNull()).alias("_missing"))
+    starts = stage_summary(found, "file-starts")
+    if starts.where(F.col("_missing") > 0).isEmpty():
         # Every row is an item: its number is its place in the file, and no text is moved.
-        starts = stage_summary(docs.groupBy("file_idx").agg(F.min("pos").alias("_start")), "file-starts")
         numbered = docs.join(starts, "file_idx").select(
             "file_idx", "pos", "text", (F.col("pos") - F.col("_start")).alias("item_idx")
         )
     else:  # a missing text takes no number; numbered as texts, which are smaller than their tokens
         counted = docs.withColumn("_item", F.col("text").isNotNull().cast("long"))
         numbered = with_running_total(counted, "_item", "pos", ["file_idx"], "item_idx")
+    if by_file and not is_small(numbered):
+        numbered = numbered.hint("rebalance", F.col("file_idx"))
     return tokenize(numbered, tokenizer, eod=eod).select(
         "file_idx",
         "item_idx",

@@ -90,9 +90,9 @@ def stream_root_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_streams(spark, out, "val", ["de", "en", "gsw"])
 
 
-def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _datasets(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
     paths = [f"{sf_dir}/benchmark.parquet", f"{sf_dir}/documents.parquet"]
-    return indexed_datasets(spark, paths, byte_tokenizer(), "parquet", schema="text string", eod=EOD)
+    return indexed_datasets(spark, paths, byte_tokenizer(), "parquet", schema="text string", eod=EOD, by_file=by_file)
 
 
 def tokenize_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def tokenize_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_tokenized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "datasets")
-    write_per_file(_datasets(spark, sf_dir), out, "corpus", 2, key="text")
+    write_per_file(_datasets(spark, sf_dir, by_file=True), out, "corpus", 2, key="text", compact=False)
     merged = merge_indexed(read_corpus(spark, out), "output")
     return merged.select("output", "merged_idx", "item_idx", "size", fingerprint(F.col("tokens")).alias("fingerprint"))
 
@@ -111,7 +111,7 @@ def merge_tokenized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_root_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same merge from the root alone: one scan, counts and types by footers."""
     out = _out(spark, "root")
-    write_per_file(_datasets(spark, sf_dir), out, "corpus", 2, key="text")
+    write_per_file(_datasets(spark, sf_dir, by_file=True), out, "corpus", 2, key="text", compact=False)
     items, counts = read_parts(spark, out)
     merged = merge_indexed(items, "output", counts=counts)
     return merged.select("output", "merged_idx", "item_idx", "size", fingerprint(F.col("tokens")).alias("fingerprint"))

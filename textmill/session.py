@@ -42,18 +42,21 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the plan's size estimate leaves a core less than ``SMALL_BYTES_PER_CORE``."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL_BYTES_PER_CORE
+
+
 def spread_if_small(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before costly work per row.
 
-    A few megabytes often lie in one Parquet row group, hence in one task.  Whether the input
-    is small is read from the plan's size estimate; a large one has tasks enough and stays
-    where it is.
+    A few megabytes often lie in one Parquet row group, hence in one task.  A large input has
+    tasks enough and stays where it is.
     """
-    if df.isStreaming:
+    if df.isStreaming or not is_small(df):
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def small_table(

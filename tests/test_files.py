@@ -4,6 +4,7 @@ import gzip
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,3 +265,24 @@ def test_tokenizer_files(spark, tmp_path):
     (tmp_path / "merges.txt").write_text("#version: 0.2\na b\nab c\n", encoding="utf-8")
     assert read_vocab(spark, str(tmp_path / "vocab.json")) == {"a": 0, "ü": 1}
     assert read_merges(spark, str(tmp_path / "merges.txt")) == [("a", "b"), ("ab", "c")]
+
+
+def test_many_files_are_listed_at_once(spark, tmp_path):
+    """Also with commas, spaces, braces and backslashes in names; folders beside files are left out."""
+    odd = ["a,b.jsonl", "c d.jsonl", "e%20f.jsonl", "g+h.jsonl"]
+    names = sorted([*odd, *(f"n{i:05d}.jsonl" for i in range(3000))])
+    for name in names:
+        (tmp_path / name).write_text('{"text": "x"}\n' if name in odd else "")
+    (tmp_path / "k=1").mkdir()
+    (tmp_path / "k=1" / "inner.jsonl").write_text("{}")
+    want = [f"{tmp_path}/{n}" for n in names]
+    started = time.perf_counter()
+    assert files.expand_glob(spark, f"{tmp_path}/*.jsonl") == want
+    assert files.expand_glob(spark, f"file://{tmp_path}/n0000*.jsonl") == [f"file:{tmp_path}/n0000{i}.jsonl" for i in range(10)]
+    assert corpus.direct_files(spark, str(tmp_path)) == want
+    assert time.perf_counter() - started < 20
+    assert files.expand_glob(spark, f"{tmp_path}/none*") == []
+    inner = str(tmp_path / "only")
+    os.makedirs(f"{inner}/deep")
+    (tmp_path / "only" / "deep" / "x.jsonl").write_text("{}")
+    assert corpus.direct_files(spark, inner) == []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.operators.position import with_position
-from textmill.sources.files import is_dir, list_dir
+from textmill.sources.files import is_dir, qualified, scanned_files
 
 TOP_N_KEYS = 1000
 SAMPLE_KEYS = 20_000
@@ -46,8 +46,11 @@ def direct_files(spark: SparkSession, path: str) -> list[str]:
     """A directory's own files (no sub-directories); a file stands for itself."""
     if not is_dir(spark, path):
         return [path]
-    names = [n for n, directory in list_dir(spark, path) if not directory and n[:1] not in "._"]
-    return [f"{path.rstrip('/')}/{n}" for n in names]
+    # Spark lists in parallel and leaves hidden files out; only names are asked for, no content.
+    found = scanned_files(spark.read.format("binaryFile").load(path))
+    own = qualified(spark, path).rstrip("/")
+    parts = [p.rsplit("/", 1) for p, _ in found]
+    return sorted(f"{path.rstrip('/')}/{name}" for folder, name in parts if folder == own)
 
 
 def read_list(

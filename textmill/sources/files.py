@@ -1,6 +1,7 @@
 """File listings through Hadoop's file systems, so local and remote paths work alike.
 
-A listing is metadata and lives on the driver; the data behind it is read by Spark.
+A listing is metadata and lives on the driver; the data behind it is read by Spark.  However many
+files there are, their names cross the bridge to Python in one call.
 """
 
 from __future__ import annotations
@@ -21,12 +22,23 @@ def _path(spark: SparkSession, path: str):
     return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _all_paths(spark: SparkSession, statuses) -> list[str]:
+    """The paths of an array of file statuses, by a setting that takes them all as one text."""
+    if not statuses:
+        return []
+    jvm = spark.sparkContext._jvm
+    held = jvm.org.apache.hadoop.mapred.JobConf(False)
+    paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)
+    jvm.org.apache.hadoop.mapred.FileInputFormat.setInputPaths(held, paths)
+    joined = held.getRaw("mapreduce.input.fileinputformat.inputdir")
+    return [re.sub(r"\\(.)", r"\1", p) for p in re.findall(r"(?:[^,\\]|\\.)+", joined)]
+
+
 def expand_glob(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match, in name order; local paths without a scheme, as they were given."""
     at, fs = _path(spark, pattern)
-    found = fs.globStatus(at)
-    names = [s.getPath() for s in (found or [])]
-    return sorted(p.toString() if "://" in pattern else p.toUri().getPath() for p in names)
+    found = _all_paths(spark, fs.globStatus(at))
+    return sorted(found if "://" in pattern else [re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?(?=/)", "", p) for p in found])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -40,6 +52,12 @@ def list_dir(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(at))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as scans report it (but for its special characters)."""
+    at, fs = _path(spark, path)
+    return str(fs.makeQualified(at).toString())
+
+
 def is_dir(spark: SparkSession, path: str) -> bool:
     at, fs = _path(spark, path)
     return fs.exists(at) and fs.getFileStatus(at).isDirectory()

@@ -10,7 +10,9 @@ sys.path.insert(0, {root!r})
 from textmill.plans import all_queries
 from textmill.session import local_session
 spark = local_session(2)
-for name in ("tokenize_bpe", "pack_no_wrap", "tokenize_code_points", "preprocess_lines"):
+for name in (
+    "tokenize_bpe", "pack_no_wrap", "tokenize_code_points", "preprocess_lines", "json_line_positions", "merge_root_parts"
+):
     assert all_queries()[name](spark, {sf!r}).count() > 0
 print("done")
 """
@@ -25,6 +27,6 @@ def test_workers_need_no_package(tmp_path, sf):
         env=env,
         capture_output=True,
         text=True,
-        timeout=300,
+        timeout=600,
     )
     assert made.returncode == 0 and "done" in made.stdout, made.stderr[-2000:]

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.sources import lines
+from textmill.sources.lines import open_file
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,7 +22,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, columns = [], []
         for path in batch.column("path").to_pylist():
-            with lines.open_file(path) as f:
+            with open_file(path) as f:
                 footer = pq.ParquetFile(f)
                 rows.append(footer.metadata.num_rows)
                 columns.append(", ".join(sorted(f"{x.name}: {x.type}" for x in footer.schema_arrow)))

@@ -63,7 +63,9 @@ def mixture_plan_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)
+    """Planned on streams and ids, drawn with all columns."""
+    plans = mixture_plan(_streams(spark, sf_dir), SHARES, table(spark, sf_dir, "documents").count() * 3 // 2, "lang")
+    return mix(table(spark, sf_dir, "documents"), plans, SEED, "doc_id", "lang")
 
 
 def mixture_shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +105,12 @@ def epoch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cyclic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     available = docs.count()
-    positions = with_scan_position(docs).select("doc_id", "pos")
-    return cyclic_pass(positions, available * 5 // 2, available).select("doc_id", "copy", "cycle_pos")
+    passes = cyclic_pass(with_scan_position(docs), available * 5 // 2, available)
+    return passes.select(*docs.columns, "copy", "cycle_pos")
 
 
 def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_streams(_streams(spark, sf_dir), REPEATS, "lang")
+    return repeat_streams(table(spark, sf_dir, "documents"), REPEATS, "lang")
 
 
 def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +217,7 @@ ORACLES = {
     "mixture_plan": f"""
         with {_LANG_PLAN}
         select stream as lang, n_available, n_needed, full_copies, remainder from plan""",
-    "mixture_rows": f"with {_LANG_MIX} select stream as lang, id as doc_id, copy from mixed",
+    "mixture_rows": f"with {_LANG_MIX} select documents.*, copy from mixed join documents on doc_id = id",
     "mixture_shuffled_batches": f"""
         with {_LANG_MIX}, ordered as ({_epoch(0)})
         select lang, doc_id, copy, pos, pos // {BATCH} as batch from ordered
@@ -232,12 +234,12 @@ ORACLES = {
         select pos, kept.lang, kept.doc_id, copy, text from kept join documents using (doc_id)""",
     "cyclic_pass": f"""
         with {NUMBERED}, sized as (select count(*) as n from documents)
-        select doc_id, copy, copy * n + pos as cycle_pos
+        select numbered.* exclude (pos), copy, copy * n + pos as cycle_pos
         from numbered, sized, (select unnest(range(3)) as copy)
         where copy * n + pos < n * 5 // 2""",
     "stream_repeats": f"""
         with repeats(lang, n) as (values {_values(list(REPEATS.items()))})
-        select lang, doc_id, unnest(range(n)) as copy from documents join repeats using (lang)""",
+        select documents.*, unnest(range(n)) as copy from documents join repeats using (lang)""",
     "eval_groups": f"""
         with {_MARKED}, members(label, lang, n) as (values {_MEMBERS}),
         valid as (select lang, octet_length(encode(text)) as n_tokens from marked where is_right)

@@ -16,13 +16,13 @@ FILE_SHARDS = 6
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_scan_position(table(spark, sf_dir, "documents")).select("doc_id", "pos")
+    return with_scan_position(table(spark, sf_dir, "documents"))
 
 
 def _by_file(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents")
     files = stage_summary(assign_shard(file_table(docs, "source"), FILE_SHARDS, how, pos="file_idx"), "files")
-    return docs.join(files, "source").select("doc_id", "source", "file_idx", "shard")
+    return docs.join(files, "source").select(*docs.columns, "file_idx", "shard")
 
 
 def shard_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,22 +60,22 @@ _FILES = """
         from (select distinct source from documents))"""
 
 ORACLES = {
-    "shard_round_robin": f"with {NUMBERED} select doc_id, pos, pos % {ROW_SHARDS} as shard from numbered",
+    "shard_round_robin": f"with {NUMBERED} select *, pos % {ROW_SHARDS} as shard from numbered",
     "shard_array_split": f"""
         with {NUMBERED},
         sized as (select count(*) // {ROW_SHARDS} as q, count(*) % {ROW_SHARDS} as r from documents)
-        select doc_id, pos,
+        select numbered.*,
             case when pos < r * (q + 1) then pos // (q + 1)
                 else r + (pos - r * (q + 1)) // greatest(q, 1) end as shard
         from numbered, sized""",
     "shard_blocks_ceil": f"""
         with {_FILES}
-        select doc_id, source, file_idx,
+        select documents.*, file_idx,
             cast(file_idx // cast(ceil(n / {FILE_SHARDS}.0) as bigint) as bigint) as shard
         from documents join files using (source)""",
     "shard_round_robin_files": f"""
         with {_FILES}
-        select doc_id, source, file_idx, file_idx % {FILE_SHARDS} as shard
+        select documents.*, file_idx, file_idx % {FILE_SHARDS} as shard
         from documents join files using (source)""",
     "output_prefix_names": f"""
         with {_FILES}

@@ -24,7 +24,7 @@ def split_train_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_default_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    return right_side(split(table(spark, sf_dir, "lineitem").select(*key), key))
+    return right_side(split(table(spark, sf_dir, "lineitem"), key))
 
 
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ _LINE_KEY = md5_key(SEED, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
 ORACLES = {
     "split_train_valid": f"with {_MARKED} select doc_id, text, is_right from marked",
     "split_default_lines": f"""
-        select l_orderkey, l_partkey, l_suppkey, l_linenumber from lineitem
+        select * from lineitem
         where cast({draw_sql(_LINE_KEY)} as double) / cast(4294967296 as double)
             < least(cast(1000 as double) / (select count(*) from lineitem), cast(0.001 as double))""",
     "split_counts": f"""

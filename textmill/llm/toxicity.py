@@ -38,6 +38,8 @@ TRAINING_WINDOWS = 200000
 LEVEL = 19
 PASSAGE_LEVEL = 3
 PASSAGE, STEP = 16, 12  # words of a passage, and from one to the next
+TOXIC_GRAM, MARK_GRAM = 5, 4  # bytes that a word must share with a dictionary to be compressed with it
+LEAD = 1  # least difference of a word that gives reason to look at its passages
 SPAN = 24  # differences are counted from -SPAN to SPAN
 CACHED_WORDS = 1 << 17
 WORD_BYTES = 256  # longer words are cut into windows of this length
@@ -68,6 +70,15 @@ def _clipped(difference: int) -> int:
     return max(-SPAN, min(SPAN, difference)) + SPAN
 
 
+def _grams(text: bytes, n: int) -> frozenset[bytes]:
+    return frozenset(text[i : i + n] for i in range(len(text) - n + 1))
+
+
+def _shares(word: bytes, grams: frozenset[bytes], n: int) -> bool:
+    """Whether a word, with the spaces around it, has one of the strings; a shorter one counts as having it."""
+    return len(word) < n or not grams.isdisjoint([word[i : i + n] for i in range(len(word) - n + 1)])
+
+
 class Distances(dict):
     """Differences of the compressed lengths of a word's window, as one number.
 
@@ -81,41 +92,67 @@ class Distances(dict):
         self.both = _compressor(marked or ordinary + toxic).compress
         self.carrier = carrier
         self.older: dict[bytes, int] = {}
+        self.toxic_grams = _grams(toxic, TOXIC_GRAM)
+        both = marked or ordinary + toxic
+        self.mark_grams = _grams(both[len(ordinary) :] if both.startswith(ordinary) else both, MARK_GRAM)
 
     def __missing__(self, word: bytes) -> int:
         value = self.older.get(word)
         if value is None:
-            window = self.carrier + b" " + word + b" " + self.carrier
-            plain = len(self.plain(window))
-            value = _clipped(plain - len(self.marked(window))) * WIDTH + _clipped(plain - len(self.both(window)))
+            value = self._measured(b" " + word + b" ")
         if len(self) >= CACHED_WORDS:
             self.older = dict(self)
             self.clear()
         self[word] = value
         return value
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.bincount(found, minlength=WIDTH * WIDTH).reshape(WIDTH, WIDTH)
+    def _measured(self, word: bytes) -> int:
+        """A dictionary that shares no string of some bytes with the word cannot know it better: no difference."""
+        toxic, marks = _shares(word, self.toxic_grams, TOXIC_GRAM), _shares(word, self.mark_grams, MARK_GRAM)
+        if not toxic and not marks:
+            return SPAN * WIDTH + SPAN
+        window = self.carrier + word + self.carrier
+        plain = len(self.plain(window))
+        first = _clipped(plain - len(self.marked(window))) if toxic else SPAN
+        return first * WIDTH + (_clipped(plain - len(self.both(window))) if marks else SPAN)
+
+    def found(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
     def histogram(self, text: bytes) -> np.ndarray:
         """Counts of the differences over a whole text."""
-        return sum(map(self.counts, _pieces(text)), np.zeros((WIDTH, WIDTH), dtype=np.int64))
+        return sum((_table(self.found(words)) for words in _pieces(text)), np.zeros((WIDTH, WIDTH), dtype=np.int64))
+
+
+def _table(found: np.ndarray) -> np.ndarray:
+    return np.bincount(found, minlength=WIDTH * WIDTH).reshape(WIDTH, WIDTH)
+
+
+def _leads(found: np.ndarray) -> np.ndarray:
+    """The words that either dictionary knows better than the ordinary one does."""
+    return np.maximum(found // WIDTH, found % WIDTH) - SPAN >= LEAD
 
 
 class Passages:
-    """Differences of the compressed lengths of passages, which overlap by ``PASSAGE - STEP`` words."""
+    """Differences of the compressed lengths of passages, which overlap by ``PASSAGE - STEP`` words.
+
+    A passage without a leading word is not compressed: it counts as no difference.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.plain = _compressor(ordinary, PASSAGE_LEVEL).compress
         self.marked = _compressor(ordinary + toxic, PASSAGE_LEVEL).compress
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        found = []
-        for at in range(0, max(1, len(words) - PASSAGE + STEP) if words else 0, STEP):
+    def counts(self, words: list[bytes], leads: np.ndarray) -> np.ndarray:
+        starts = np.arange(0, max(1, len(words) - PASSAGE + STEP) if words else 0, STEP)
+        before = np.concatenate([[0], np.cumsum(leads)])
+        kept = starts[before[np.minimum(starts + PASSAGE, len(words))] > before[starts]]
+        counts = np.zeros(WIDTH, dtype=np.int64)
+        counts[SPAN] = len(starts) - len(kept)
+        for at in kept.tolist():
             window = b" " + b" ".join(words[at : at + PASSAGE]) + b" "
-            found.append(_clipped(len(self.plain(window)) - len(self.marked(window))))
-        return np.bincount(np.array(found, dtype=np.int64), minlength=WIDTH)
+            counts[_clipped(len(self.plain(window)) - len(self.marked(window)))] += 1
+        return counts
 
 
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -156,8 +193,9 @@ class Features:
         for row, text in zip(rows, texts):
             words, passages = np.zeros((WIDTH, WIDTH), dtype=np.int64), np.zeros(WIDTH, dtype=np.int64)
             for piece in _pieces(text.as_py().encode() if text.is_valid else b""):
-                words = words + self.distances.counts(piece)
-                passages = passages + self.passages.counts(piece)
+                found = self.distances.found(piece)
+                words = words + _table(found)
+                passages = passages + self.passages.counts(piece, _leads(found))
             row[:] = np.concatenate([summary(words.sum(1)), summary(words.sum(0)), summary(passages)])
         return rows
 

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import position
-from textmill.operators.indexed import read_files_in_order
+from textmill.operators.indexed import indexed_datasets, read_files_in_order
 from textmill.operators.position import with_line_position
+from textmill.operators.tokenize import byte_tokenizer
 from textmill.sources import corpus, files, packed, streams
 from textmill.sources.assets import read_merges, read_vocab
 from textmill.sources.lines import lines_of_range
@@ -205,6 +206,28 @@ def test_files_in_list_order(spark, seven):
     ]
 
 
+def test_a_directory_is_one_place_in_the_list(spark, tmp_path):
+    """Its files are numbered through in name order, also where another listed file lies between them."""
+    for name, ids in (("d/a", range(3)), ("d/c", range(3, 8)), ("d/b/x", range(20, 24))):
+        spark.range(ids[0], ids[-1] + 1).select(F.col("id").cast("string").alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"), mode="overwrite")
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        next((tmp_path / "t").glob("part-*")).rename(tmp_path / f"{name}.parquet")
+    root = str(tmp_path / "d")
+    inner = {"d": [*"01234567"], "d/b": ["20", "21", "22", "23"], "d/c.parquet": [*"34567"]}
+    for listed in (["d"], ["d/b", "d"], ["d", "d/c.parquet", "d"]):
+        paths = [str(tmp_path / p) for p in listed]
+        items = indexed_datasets(spark, paths, byte_tokenizer(), "parquet", schema="text string").orderBy("file_idx", "item_idx")
+        got = [(r.file_idx, r.item_idx, bytes(r.tokens).decode()) for r in items.collect()]
+        assert got == [(k, i, text) for k, p in enumerate(listed) for i, text in enumerate(inner[p])]
+    (tmp_path / "lines").mkdir()
+    for k in range(2):
+        write_lines(tmp_path / "lines" / f"{k}.jsonl", [f"{k}-{j}" for j in range(3)])
+    got = read_files_in_order(spark, [f"{root}/../lines/", f"file:{tmp_path}/lines/1.jsonl"], "json", "text string")
+    assert sorted((r.file_idx, r.text) for r in got.collect()) == sorted(
+        [(0, f"{k}-{j}") for k in range(2) for j in range(3)] + [(1, f"1-{j}") for j in range(3)]
+    )
+
+
 def test_file_catalog_names(spark):
     got = files.file_catalog(spark, ["a", "b"] * 6, "out").orderBy("file_idx").collect()
     assert [r.output for r in got][9:11] == ["out_09", "out_10"]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.operators.position import with_line_position, with_running_total, with_scan_position
 from textmill.operators.tokenize import Tokenizer, tokenize
-from textmill.session import is_small
+from textmill.session import is_small, small_table
 from textmill.sources.corpus import read_corpus
-from textmill.sources.files import decoded_path, file_catalog
+from textmill.sources.files import decoded_path, scanned_files
 from textmill.staging import stage_summary
 
 
@@ -21,19 +23,39 @@ def read_files_in_order(
 ) -> DataFrame:
     """All rows of a list of files, with ``file_idx`` (place in the list) and ``pos`` (row order).
 
-    A file that is listed twice is read twice, under both its places.
+    A file that is listed twice is read twice, under both its places.  A directory is one place: its
+    files belong together, in name order.
     """
-    once = list(dict.fromkeys(paths))
-    df = read_corpus(spark, once, fmt, schema)
+    df = read_corpus(spark, list(dict.fromkeys(paths)), fmt, schema)
+    scanned = [path for path, _ in scanned_files(df)]
+    if len(set(scanned)) < len(scanned):  # a file and its directory, or one file under two spellings
+        df = read_corpus(spark, sorted(set(scanned)), fmt, schema)
     if fmt == "parquet":
         placed = with_scan_position(df.select("*", decoded_path(F.col("_metadata.file_path")).alias("_path")))
     else:
         placed = with_line_position(df, path_col="_path")
     located = placed.withColumn("_path", without_scheme(F.col("_path")))
-    catalog = file_catalog(spark, paths).withColumn("_path", without_scheme(F.col("path"))).drop("path")
+    held = files_of(spark, paths, {_bare(path) for path in scanned})
+    rows = [(i, name) for i, path in enumerate(paths) for name in held[path]]
+    catalog = small_table(spark, rows, ["file_idx", "_path"], [pa.int64(), pa.string()])
     return located.join(catalog, "_path").drop("_path")
 
 
+def files_of(spark: SparkSession, paths: Sequence[str], scanned: set[str]) -> dict[str, list[str]]:
+    """The files, without a local scheme, that each path stands for; only what is no scanned file is listed again."""
+    held = {}
+    for path in dict.fromkeys(paths):
+        if _bare(path) in scanned:
+            held[path] = [_bare(path)]
+        else:
+            held[path] = [_bare(f) for f, _ in scanned_files(spark.read.format("binaryFile").load(path))]
+    return held
+
+
+def _bare(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def without_scheme(path: Column) -> Column:
     """Local paths are listed without a scheme but reported with one."""
     return F.regexp_replace(path, "^file:/+", "/")
@@ -49,7 +71,7 @@ def indexed_datasets(
     eod: int | None = None,
     by_file: bool = False,
 ) -> DataFrame:
-    """One dataset per input file: ``(file_idx, item_idx, doc_idx, size, tokens)``.
+    """One dataset per input file or directory: ``(file_idx, item_idx, doc_idx, size, tokens)``.
 
     Every document is one item, numbered in file order; documents without a text make none.
     ``by_file`` brings the texts of a file together before they are tokenised, for a sink that writes a
@@ -57,7 +79,11 @@ def indexed_datasets(
     out to all cores instead, each of which has something of every file.
     """
     docs = read_files_in_order(spark, paths, fmt, schema).select("file_idx", "pos", F.col(key).alias("text"))
-    found = docs.groupBy("file_idx").agg(F.min("pos").alias("_start"), F.count_if(F.col("text").isNull()).alias("_missing"))
+    found = docs.groupBy("file_idx").agg(
+        F.min("pos").alias("_start"),
+        # Rows without a text, and places that rows of other datasets take between this one's files.
+        (F.count_if(F.col("text").isNull()) + F.max("pos") - F.min("pos") + 1 - F.count("*")).alias("_missing"),
+    )
     starts = stage_summary(found, "file-starts")
     if starts.where(F.col("_missing") > 0).isEmpty():
         # Every row is an item: its number is its place in the file, and no text is moved.

@@ -35,6 +35,17 @@ def test_query(spark, db, sf, name):
     assert rows == expected
 
 
+@pytest.mark.parametrize("name", ["merge_root_parts"])
+def test_tables_of_several_files(spark, sf, name, tmp_path):
+    """A table that is a directory gives the rows of the same table in one file."""
+    for other in ("benchmark", "documents"):
+        rows = spark.read.parquet(f"{sf}/{other}.parquet")
+        rows.repartitionByRange(3, rows.columns[0]).sortWithinPartitions(rows.columns[0]).write.parquet(f"{tmp_path}/{other}.parquet")
+    whole, parts = (all_queries()[name](spark, folder) for folder in (sf, str(tmp_path)))
+    rows = sorted(map(tuple, whole.collect()))
+    assert len(rows) > 200 and sorted(map(tuple, parts.collect())) == rows
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -35,7 +35,7 @@ def test_query(spark, db, sf, name):
     assert rows == expected
 
 
-@pytest.mark.parametrize("name", ["merge_root_parts"])
+@pytest.mark.parametrize("name", ["merge_root_parts", "merge_tokenized_files"])
 def test_tables_of_several_files(spark, sf, name, tmp_path):
     """A table that is a directory gives the rows of the same table in one file."""
     for other in ("benchmark", "documents"):

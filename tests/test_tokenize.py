@@ -1,6 +1,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,30 @@ def test_byte_level_encoding_keeps_every_text(spark):
     assert vocab["Ġthe"] in got[0]
     with pytest.raises(ValueError, match="lacks"):
         byte_level_tokenizer(spark, {"a": 0}, [])
+
+
+def test_a_batch_is_encoded_in_slices(monkeypatch):
+    """However many rows a batch has, only some of its texts are Python objects at a time."""
+    texts = [None if i % 7 == 0 else "é" * (i % 50) for i in range(2000)] + ["x" * 5000, ""]
+    seen = []
+
+    def encode(some):
+        seen.append(sum(len(t.encode()) for t in some))
+        return [[ord(c) for c in t] for t in some]
+
+    monkeypatch.setattr(workers, "slices", lambda batch, cut=workers.slices: cut(batch, 1000))
+    for batch in (pa.array(texts, pa.large_string()), pa.array(texts).slice(3, 1500), pa.array([], pa.string())):
+        made = list(workers.encode_batches(iter([batch]), lambda: encode))
+        wanted = [None if t is None else [ord(c) for c in t] for t in batch.to_pylist()]
+        assert [ids for part in made for ids in part.to_pylist()] == wanted
+    assert len(seen) > 50 and sorted(seen)[-2] <= 1000 and max(seen) == 5000
+
+
+def test_lists_of_words_are_encoded_in_slices(monkeypatch):
+    words = [None if i % 9 == 0 else [f"w{i % 13}", "ü"] * (i % 20) for i in range(1000)]
+    monkeypatch.setattr(workers, "slices", lambda batch, cut=workers.slices: cut(batch, 500))
+    for batch in (pa.array(words), pa.array(words).slice(11, 700)):
+        made = list(workers.encode_words(iter([batch]), lambda: lambda word: [*word.encode()]))
+        wanted = [None if row is None else [b for w in row for b in w.encode()] for row in batch.to_pylist()]
+        assert [ids for part in made for ids in part.to_pylist()] == wanted
+        assert len(made) > 20 and max(map(len, made)) < 100

@@ -18,16 +18,53 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Bytes of text that are Python objects at a time, however large the batches are.
+SLICE_BYTES = 1 << 18
+
+
+def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of consecutive rows with about ``most`` bytes in all, at least one row each; none is copied.
+
+    Rows are counted by their own bytes, a list of words as its words and their offsets.
+    """
+    listed = pa.types.is_list(batch.type) or pa.types.is_large_list(batch.type)
+    rows = len(batch)
+    if not rows:
+        yield batch
+        return
+    ends = _offsets(batch)
+    if listed:
+        ends = _offsets(batch.values)[ends] + 8 * ends
+    first = 0
+    while first < rows:
+        stop = int(np.searchsorted(ends, ends[first] + most, side="right")) - 1
+        stop = min(rows, max(first + 1, stop))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    """Where the values of each row begin, and those of the last end."""
+    wide = pa.types.is_large_list(array.type) or pa.types.is_large_string(array.type)
+    kind = np.dtype(np.int64 if wide else np.int32)
+    held = array.buffers()[1]
+    if held is None or not held.size:
+        return np.zeros(len(array) + 1, np.int64)
+    return np.frombuffer(held, kind, len(array) + 1, array.offset * kind.itemsize).astype(np.int64)
+
+
 def encode_batches(
     batches: Iterator[pa.Array], load: Callable[[], Callable[[list[str]], list[list[int]]]]
 ) -> Iterator[pa.Array]:
-    """Encode Arrow batches of texts with an encoder that is loaded once per task."""
+    """Encode Arrow batches of texts with an encoder that is loaded once per task.
+
+    A batch is encoded and given back slice by slice: only one slice is Python objects at a time."""
     encode = load()
     for batch in batches:
-        texts = batch.to_pylist()
-        present = [t for t in texts if t is not None]
-        encoded = iter(encode(present))
-        yield pa.array([None if t is None else next(encoded) for t in texts], pa.list_(pa.int32()))
+        for rows in slices(batch):
+            texts = rows.to_pylist()
+            encoded = iter(encode([t for t in texts if t is not None]))
+            yield pa.array([None if t is None else next(encoded) for t in texts], pa.list_(pa.int32()))
 
 
 def encode_words(
@@ -35,13 +72,13 @@ def encode_words(
 ) -> Iterator[pa.Array]:
     """Encode Arrow batches of word lists with an encoder of words that is loaded once per task.
 
-    Words are kept in two generations, so that frequent ones stay known; long words are not kept."""
+    A batch is encoded and given back slice by slice.  Words are kept in two generations, so that frequent ones stay known; long words are not kept."""
     encode = load()
     young: dict[str, list[int]] = {}
     old: dict[str, list[int]] = {}
-    for batch in batches:
+    for rows in (part for batch in batches for part in slices(batch)):
         out = []
-        for words in batch.to_pylist():
+        for words in rows.to_pylist():
             if words is None:
                 out.append(None)
                 continue

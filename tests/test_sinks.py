@@ -128,3 +128,15 @@ def test_a_rank_reads_its_files_only(spark, tmp_path):
         assert seen == list(range(first, end))
     with pytest.raises(ValueError):
         write.read_epoch_slice(spark, out, 1, rank=8, ranks=8)
+
+
+def test_a_long_epoch_has_few_directories(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(write, "MAX_RANGES", 8)
+    order = spark.range(1003).select(F.lit(2).alias("epoch"), F.col("id").alias("pos"))
+    out = str(tmp_path / "e")
+    write.write_epochs(order, out, range_rows=10)
+    ranges = sorted(int(n.split("=")[1]) for n in os.listdir(f"{out}/epoch=2") if n.startswith("first_pos="))
+    assert ranges == list(range(0, 1003, 130))
+    got = [write.read_epoch_slice(spark, out, 2, 250, None, rank, 8) for rank in range(8)]
+    assert [p for df in got for p in sorted(r.pos for r in df.collect())] == list(range(250, 1003))
+    assert max(len({f.split("first_pos=")[1].split("/")[0] for f in df.inputFiles()}) for df in got) <= 2

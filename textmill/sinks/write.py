@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.chunks import even_chunk, int_div, numbered_name
 from textmill.sources.files import exists
+from textmill.staging import stage
 
 # The formats a corpus is written in, with each one's default codec.
 DEFAULT_CODEC = {"parquet": "zstd", "json": "gzip"}
@@ -17,6 +18,9 @@ DEFAULT_CODEC = {"parquet": "zstd", "json": "gzip"}
 # Where an epoch laid out in ranges keeps a range's first position, and the table of their bounds.
 RANGE_COL, BOUNDS = "first_pos", "_bounds"
 
+# Directories that an epoch is laid out in at most.
+MAX_RANGES = 256
+
 
 def codec_name(codec: str | None, fmt: str = "parquet") -> str:
     """Codec option of a writer: ``''`` and ``none`` mean uncompressed, ``None`` the default."""
@@ -116,15 +120,19 @@ def write_epochs(order: DataFrame, out: str, range_rows: int | None = None) -> N
 
     With ``range_rows`` an epoch is laid out in directories of so many consecutive positions, whose bounds
     are kept beside them, so that a run that resumes, or one rank of it, reads its part only
-    (:func:`read_epoch_slice`).
+    (:func:`read_epoch_slice`).  The directories of a long epoch hold a multiple of ``range_rows``, so that
+    there are no more than ``MAX_RANGES``.  The order is computed once and written, then laid out.
     """
     if range_rows is None:
         order.write.mode("errorifexists").partitionBy("epoch").parquet(out)
         return
-    spark = order.sparkSession
-    laid = order.withColumn(RANGE_COL, int_div(F.col("pos"), range_rows) * range_rows)
-    laid.write.mode("errorifexists").partitionBy("epoch", RANGE_COL).parquet(out)
-    bounds = spark.read.parquet(out).groupBy("epoch", RANGE_COL).agg(F.max("pos").alias("last_pos"), F.count("*").alias("n_rows"))
+    kept = stage(order, "epoch-order")
+    last = kept.agg(F.max("pos")).first()[0] or 0
+    width = range_rows * max(1, -(-(last + 1) // (range_rows * MAX_RANGES)))
+    laid = kept.withColumn(RANGE_COL, int_div(F.col("pos"), width) * width)
+    rows = _compacted(laid, RANGE_COL, True)
+    rows.write.mode("errorifexists").partitionBy("epoch", RANGE_COL).parquet(out)
+    bounds = laid.groupBy("epoch", RANGE_COL).agg(F.max("pos").alias("last_pos"), F.count("*").alias("n_rows"))
     bounds.coalesce(1).write.mode("errorifexists").parquet(f"{out}/{BOUNDS}")
 
 

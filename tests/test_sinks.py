@@ -140,3 +140,24 @@ def test_a_long_epoch_has_few_directories(spark, tmp_path, monkeypatch):
     got = [write.read_epoch_slice(spark, out, 2, 250, None, rank, 8) for rank in range(8)]
     assert [p for df in got for p in sorted(r.pos for r in df.collect())] == list(range(250, 1003))
     assert max(len({f.split("first_pos=")[1].split("/")[0] for f in df.inputFiles()}) for df in got) <= 2
+
+
+def test_a_frequent_output_is_written_by_several_tasks(spark, tmp_path):
+    """Nearly all rows have one language; no task reads them all."""
+    from textmill.plans import inputs
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.md5((F.col("id") * 64 + k).cast("string"))))
+    lang = F.when(F.col("id") % 100 == 0, "de").otherwise("en").alias("lang")
+    spark.range(0, 4000, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"), lang).write.parquet(f"{tmp_path}/documents.parquet")
+    roots = []
+    real = inputs._out
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    inputs._out = lambda *a: roots.append(real(*a)) or roots[-1]
+    try:
+        rows = sorted(map(tuple, inputs.outputs_refused(spark, str(tmp_path)).collect()))
+    finally:
+        inputs._out = real
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert rows == [("de", True, 40), ("en", True, 3960), ("none", False, 0)]
+    assert spark.read.parquet(roots[0]).count() == 4000
+    assert len([n for n in os.listdir(f"{roots[0]}/lang=en") if n.endswith(".parquet")]) >= 4

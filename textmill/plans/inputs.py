@@ -14,7 +14,7 @@ from textmill.operators.tokenize import byte_level_tokenizer, byte_tokenizer, se
 from textmill.plans.tables import draw_sql, md5_key, table
 from textmill.plans.tokens import ORACLES as TOKEN_ORACLES
 from textmill.plans.tokens import _bytes_of, byte_level_vocab
-from textmill.sinks.write import refuse_existing, write_corpus
+from textmill.sinks.write import refuse_existing, write_corpus, write_shards
 from textmill.sources.assets import read_merges, read_vocab
 from textmill.sources.corpus import direct_files, read_corpus
 from textmill.sources.files import expand_glob, resolve_inputs
@@ -91,7 +91,7 @@ def outputs_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _out(spark, "outputs")
     counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_documents"))
     docs = table(spark, sf_dir, "documents").join(F.broadcast(counts), "lang")
-    docs.where(F.col("n_documents") >= FEW).repartition("lang").write.partitionBy("lang").parquet(f"{out}")
+    write_shards(docs.where(F.col("n_documents") >= FEW), out, "lang")
     languages = sorted(r["lang"] for r in counts.collect())
     refused = [(x, _refused(refuse_existing, spark, out, [f"lang={x}"])) for x in [*languages, "none"]]
     found = spark.createDataFrame(refused, "lang string, refused boolean")

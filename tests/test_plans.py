@@ -139,3 +139,15 @@ def test_outputs_by_file_move_texts_not_tokens(spark, sf, monkeypatch):
         moved = [i for i, line in enumerate(lines) if re.search(r"Exchange (hash|range|RoundRobin)", line)]
         assert not any("tokens" in lines[i] for i in moved)
         assert any("REBALANCE" in lines[i] for i in moved) is not small
+
+
+def test_keys_of_an_order_are_not_moved(spark, sf):
+    """The exchanges of a shuffle carry the rows' own columns, those of copies one column of signs more."""
+    from textmill.plans.ordering import shuffle_lineitem_copies
+
+    df = shuffle_lineitem_copies(spark, sf)
+    node = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    moved = [i for i, line in enumerate(node) if "shufflepartitionidpassthrough" in line]
+    assert len(moved) == 1
+    assert "_key" not in "\n".join(below(node, moved[0])), "a key is worked out behind the exchange"
+    assert "_negative_zero_" not in "\n".join(node) and "_negative_zeros" in "\n".join(node)

@@ -42,15 +42,18 @@ def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
     Equal rows cannot be told apart, so they are counted (summed before the shuffle, however
     many there are) and emitted again.
     """
-    # Grouping makes -0.0 to 0.0; the two are told apart by their text and put back.
+    # Grouping makes -0.0 to 0.0; the two are told apart by their text, in one column of digits, and put back.
     real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    signed = {c: f"_negative_zero_{i}" for i, c in enumerate(real)}
-    marked = df.select("*", *[(F.col(f"`{c}`").cast("string") == "-0.0").alias(m) for c, m in signed.items()])
+    digit = {c: i + 1 for i, c in enumerate(real)}
+    marks = [F.when(F.col(f"`{c}`").cast("string") == "-0.0", "1").otherwise("0") for c in real]
+    marked = df.select("*", F.concat(*marks).alias("_negative_zeros")) if real else df
     counted = marked.groupBy(*[F.col(f"`{c}`") for c in marked.columns]).agg(F.count("*").alias("_n"))
     restored = counted.select(
         *[
-            F.when(F.col(signed[c]), F.lit(-0.0).cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c)
-            if c in signed
+            F.when(F.substring("_negative_zeros", digit[c], 1) == "1", F.lit(-0.0).cast(df.schema[c].dataType))
+            .otherwise(F.col(f"`{c}`"))
+            .alias(c)
+            if c in digit
             else F.col(f"`{c}`")
             for c in df.columns
         ],

@@ -162,7 +162,7 @@ def _with_written_line_position(df: DataFrame, name: str) -> DataFrame:
 
 def with_hash_position(
     df: DataFrame,
-    key: str,
+    key: str | Column,
     ties: Sequence[str],
     n: int | None = None,
     group: Sequence[str] = (),
@@ -171,6 +171,9 @@ def with_hash_position(
 ) -> DataFrame:
     """Dense position in ``(key, ties)`` order within each ``group``; ``key`` is a stable key.
 
+    A key that is given as an expression is not moved: it is worked out for the bucket, and again from
+    the row behind the exchange.
+
     The frame is left in ``n`` partitions that hold consecutive key ranges, sorted.
     ``max_groups`` is the known bound on the number of groups (from a catalogue); the
     offsets table has at most ``n * max_groups`` rows and is broadcast only if that is small.
@@ -183,7 +186,12 @@ def with_hash_position(
     offsets = counts.select(*slots, before("_n", group, ["_bucket"]).alias("_offset"))
     if n * max_groups <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    placed = bucketed.repartitionById(n, "_bucket")
+    if isinstance(key, str):
+        placed = bucketed.repartitionById(n, "_bucket")
+    else:
+        placed = df.repartitionById(n, bucket_of(key, n)).withColumn("_key", key)
+        key = "_key"
+        placed = placed.withColumn("_bucket", bucket_of(key, n))
     if group:
         local = F.row_number().over(Window.partitionBy(*slots).orderBy(key, *ties)) - 1
     else:

@@ -37,12 +37,13 @@ def shuffle(
         ids, rows = ["_id"], with_row_id(df, name="_id")
     else:
         ids, rows = ([key] if isinstance(key, str) else list(key)), df
-    keyed = rows.withColumn("_key", stable_key(seed, *ids))
+    drawn = stable_key(seed, *ids)
     if emit_pos:
-        placed = with_hash_position(keyed, "_key", ids, n_files, name="shuffle_pos")
+        placed = with_hash_position(rows, drawn, ids, n_files, name="shuffle_pos")
         return placed.select(*df.columns, "shuffle_pos")
     return (
-        keyed.repartitionById(n_files, bucket_of("_key", n_files))
+        rows.repartitionById(n_files, bucket_of(drawn, n_files))
+        .withColumn("_key", drawn)
         .sortWithinPartitions("_key", *ids)
         .select(*df.columns)
     )

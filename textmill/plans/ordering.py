@@ -29,8 +29,9 @@ def shuffle_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffle_lineitem_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the line items, so that every row is there again."""
-    once = table(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
-    lines = number_copies(once.unionByName(once))
+    once = table(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
+    lines = number_copies(once.unionByName(once)).select(*once.columns, cents, "copy")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "copy"]
     return shuffle(lines, shuffle_width(lines), SEED, key, emit_pos=True)
 

@@ -217,3 +217,8 @@ def test_lists_of_words_are_encoded_in_slices(monkeypatch):
         wanted = [None if row is None else [b for w in row for b in w.encode()] for row in batch.to_pylist()]
         assert [ids for part in made for ids in part.to_pylist()] == wanted
         assert len(made) > 20 and max(map(len, made)) < 100
+
+
+def test_equal_bytes_of_a_word_are_one_string():
+    symbols = workers.hex_bytes("äz" * 1000)
+    assert symbols[:3] == ["c3", "a4", "7a"] and len({id(s) for s in symbols}) == 3

@@ -171,9 +171,12 @@ def merge_long(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> list
     return [s for s in held if s is not None]
 
 
+_HEX = [f"{b:02x}" for b in range(256)]
+
+
 def hex_bytes(word: str) -> list[str]:
-    """Starting symbols of byte-level encoding: two hex digits per UTF-8 byte."""
-    return [f"{b:02x}" for b in word.encode("utf-8")]
+    """Starting symbols of byte-level encoding: two hex digits per UTF-8 byte, one string for equal bytes."""
+    return [_HEX[b] for b in word.encode("utf-8")]
 
 
 def word_encoder(

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -219,6 +220,36 @@ def test_lists_of_words_are_encoded_in_slices(monkeypatch):
         assert len(made) > 20 and max(map(len, made)) < 100
 
 
+def test_few_words_of_a_slice_are_objects():
+    """Memory follows the distinct words, not the occurrences, also where one row is longer than a slice."""
+    rows = [["abc", "bcde"] * 600_000, None, [], ["bc", "é"] * 10, [f"{i}" for i in range(200)] * 1000]
+    batch = pa.array(rows)
+    asked = []
+
+    def load():
+        return lambda word: asked.append(word) or [*word.encode()]
+
+    tracemalloc.start()
+    made = list(workers.encode_words(iter([batch]), load))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [ids for part in made for ids in part.to_pylist()] == [
+        None if row is None else [b for w in row for b in w.encode()] for row in rows
+    ]
+    assert len(asked) == 204 and peak < 80 << 20
+
+
+def test_remembered_words_are_few_and_small():
+    words = [[f"{i:x} {i}" for i in range(k, k + 1000)] for k in range(0, 400_000, 1000)]
+    batch = pa.array(words)
+    tracemalloc.start()
+    for part in workers.encode_words(iter([batch]), lambda: lambda word: [ord(c) * 1000 for c in word]):
+        assert part.type == pa.list_(pa.int32())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+
+
 def test_equal_bytes_of_a_word_are_one_string():
     symbols = workers.hex_bytes("äz" * 1000)
     assert symbols[:3] == ["c3", "a4", "7a"] and len({id(s) for s in symbols}) == 3

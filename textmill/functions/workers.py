@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import sys
+from array import array
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -21,20 +22,24 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Bytes of text that are Python objects at a time, however large the batches are.
 SLICE_BYTES = 1 << 18
 
+# The same for lists of words, of which only the distinct ones are made: the more at a time, the fewer.
+WORDS_BYTES = 1 << 20
 
-def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+
+def slices(batch: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
     """Runs of consecutive rows with about ``most`` bytes in all, at least one row each; none is copied.
 
     Rows are counted by their own bytes, a list of words as its words and their offsets.
     """
     listed = pa.types.is_list(batch.type) or pa.types.is_large_list(batch.type)
+    most = most or (WORDS_BYTES if listed else SLICE_BYTES)
     rows = len(batch)
     if not rows:
         yield batch
         return
     ends = _offsets(batch)
     if listed:
-        ends = _offsets(batch.values)[ends] + 8 * ends
+        ends = _offsets(batch.values, ends) + 8 * ends
     first = 0
     while first < rows:
         stop = int(np.searchsorted(ends, ends[first] + most, side="right")) - 1
@@ -43,14 +48,14 @@ def slices(batch: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
         first = stop
 
 
-def _offsets(array: pa.Array) -> np.ndarray:
-    """Where the values of each row begin, and those of the last end."""
+def _offsets(array: pa.Array, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Where the values of each row begin, and those of the last end; or those of some ``rows`` only."""
     wide = pa.types.is_large_list(array.type) or pa.types.is_large_string(array.type)
     kind = np.dtype(np.int64 if wide else np.int32)
     held = array.buffers()[1]
     if held is None or not held.size:
-        return np.zeros(len(array) + 1, np.int64)
-    return np.frombuffer(held, kind, len(array) + 1, array.offset * kind.itemsize).astype(np.int64)
+        return np.zeros(len(array) + 1, np.int64)[rows]
+    return np.frombuffer(held, kind, len(array) + 1, array.offset * kind.itemsize)[rows].astype(np.int64)
 
 
 def encode_batches(
@@ -68,34 +73,52 @@ def encode_batches(
 
 
 def encode_words(
-    batches: Iterator[pa.Array], load: Callable[[], Callable[[str], list[int]]], remember: int = 1 << 18
+    batches: Iterator[pa.Array], load: Callable[[], Callable[[str], list[int]]], remember: int = 1 << 17
 ) -> Iterator[pa.Array]:
     """Encode Arrow batches of word lists with an encoder of words that is loaded once per task.
 
-    A batch is encoded and given back slice by slice.  Words are kept in two generations, so that frequent ones stay known; long words are not kept."""
+    A batch is encoded and given back slice by slice, and of a slice only its distinct words become Python objects.
+    Words are kept in two generations, so that frequent ones stay known; long words are not kept."""
     encode = load()
-    young: dict[str, list[int]] = {}
-    old: dict[str, list[int]] = {}
-    for rows in (part for batch in batches for part in slices(batch)):
-        out = []
-        for words in rows.to_pylist():
-            if words is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for word in words:
-                got = young.get(word)
-                if got is None:
-                    got = old.get(word)
-                    if got is None:
-                        got = encode(word)
-                    if len(word) <= REMEMBERED_CHARS:
-                        if len(young) >= remember:
-                            old, young = young, {}
-                        young[word] = got
-                ids += got
-            out.append(ids)
-        yield pa.array(out, pa.list_(pa.int32()))
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+
+    def ids_of(word: str) -> bytes:
+        nonlocal young, old
+        got = young.get(word)
+        if got is None:
+            got = old.get(word)
+            if got is None:
+                got = array("i", encode(word)).tobytes()
+            if len(word) <= REMEMBERED_CHARS:
+                if len(young) >= remember:
+                    old, young = young, {}
+                young[word] = got
+        return got
+
+    for batch in batches:
+        for rows in slices(batch):
+            # A row with more words than a slice is encoded in runs of as many; their ids follow each other.
+            words, run = rows.flatten(), WORDS_BYTES // 8
+            parts = [_word_ids(words.slice(k, run), ids_of) for k in range(0, max(1, len(words)), run)]
+            ids, n_ids = (np.concatenate(found) for found in zip(*parts))
+            word_ends = np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0))])
+            ends = np.concatenate([[0], np.cumsum(n_ids)])[word_ends].astype(np.int32)
+            yield pa.ListArray.from_arrays(ends, ids, mask=rows.is_null())
+
+
+def _word_ids(words: pa.Array, ids_of: Callable[[str], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some words one after the other, and how many each word has; equal words are looked up once."""
+    coded = words.dictionary_encode()
+    distinct = [ids_of(word) for word in coded.dictionary.to_numpy(zero_copy_only=False)]
+    which = coded.indices.to_numpy()
+    held = np.frombuffer(b"".join(distinct), np.intc)
+    sizes = np.fromiter(map(len, distinct), np.int32, len(distinct)) // held.itemsize
+    firsts = np.cumsum(sizes) - sizes
+    n_ids = sizes[which]
+    # The place of each id in `held`: counted on from the first of its word.
+    places = np.arange(n_ids.sum()) + np.repeat(firsts[which] - np.cumsum(n_ids) + n_ids, n_ids)
+    return held[places], n_ids
 
 
 def byte_symbols() -> list[str]:
@@ -117,22 +140,20 @@ def merge_pairs(symbols: list[str], ranks: Mapping[tuple[str, str], int]) -> lis
     if len(symbols) > SHORT_WORD:
         return merge_long(symbols, ranks)
     none = len(ranks)
-    while len(symbols) > 1:
-        found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
-        best = min(found)
-        if best == none:
-            break
-        joined: list[str] = []
-        skip = False
-        for symbol, rank, following in zip(symbols, [*found, none], [*symbols[1:], ""]):
-            if skip:
-                skip = False
-            elif rank == best:
-                joined.append(symbol + following)
-                skip = True
-            else:
-                joined.append(symbol)
-        symbols = joined
+    symbols = list(symbols)
+    found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
+    while found and (best := min(found)) < none:
+        # Left to right; a pair that a merge makes has another rank, and is looked at in a later round.
+        for _ in range(found.count(best)):
+            if best not in found:
+                break
+            i = found.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = ranks.get((symbols[i - 1], symbols[i]), none)
+            if i < len(found):
+                found[i] = ranks.get((symbols[i], symbols[i + 1]), none)
     return symbols
 
 

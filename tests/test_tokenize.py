@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textmill.functions import workers
 from textmill.operators import tokenize as tk
 from textmill.operators.audit import padded_vocab, text_audit, token_range_audit
+from textmill.operators.cut import cut_texts
 from textmill.plans.tokens import MERGES, small_vocab
 
 TEXTS = ["", "a", "Straße – naïve 🙂\n\ttab", " lead  and trail ", "zero\x00byte", None]
@@ -239,6 +240,21 @@ def test_few_words_of_a_slice_are_objects():
     assert len(asked) == 204 and peak < 80 << 20
 
 
+def test_pieces_of_a_larger_table_stay_where_they_are(spark, sf, monkeypatch):
+    """Ids of pieces are many times their texts: dealt out to a task a core, they would not fit in memory."""
+    pieces = cut_texts(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 4096)
+
+    def exchanges():
+        made = tk.tokenize(pieces, tk.byte_tokenizer(), eod=256)
+        return made._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
+
+    assert exchanges() == 1
+    size = int(str(pieces._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tk, "PIECES_BYTES_PER_CORE", size // cores // 2)
+    assert size < cores * tk.SMALL_BYTES_PER_CORE and exchanges() == 0
+
+
 def test_remembered_words_are_few_and_small():
     words = [[f"{i:x} {i}" for i in range(k, k + 1000)] for k in range(0, 400_000, 1000)]
     batch = pa.array(words)

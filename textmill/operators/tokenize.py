@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from textmill.functions import workers
 from textmill.functions.tokens import WORD_BREAK, byte_tokens, word_hash_tokens, wrap_document
 from textmill.operators.cut import LAST_COL, PIECE_COL
-from textmill.session import spread_if_small
+from textmill.session import PIECES_BYTES_PER_CORE, SMALL_BYTES_PER_CORE, spread_if_small
 
 TOKENS = T.ArrayType(T.IntegerType())
 
@@ -194,8 +194,9 @@ def tokenize(
     ends = (F.col(PIECE_COL) == 0, F.col(LAST_COL)) if cut else ()
     ids = wrap_document(tokenizer.column(F.col(text_col)), before, ending, *ends)
     kept = [c for c in df.columns if keep_text or c != text_col]
+    per_core = PIECES_BYTES_PER_CORE if cut else SMALL_BYTES_PER_CORE
     return (
-        spread_if_small(df.where(F.col(text_col).isNotNull()))
+        spread_if_small(df.where(F.col(text_col).isNotNull()), per_core)
         .select(*kept, ids.alias("tokens"))
         .withColumn("n_tokens", F.size("tokens").cast("long"))
     )

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SMALL_BYTES_PER_CORE = 32 << 20
 
+# The same for pieces of documents, whose ids are gathered again: ten times their compressed texts, in memory.
+PIECES_BYTES_PER_CORE = 4 << 20
+
 # Settings that the jobs need.  The vectorised Parquet reader holds whole batches of rows: with
 # token arrays of long documents its default of 4096 rows can fill a heap.
 SETTINGS = {
@@ -42,19 +45,19 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the plan's size estimate leaves a core less than ``SMALL_BYTES_PER_CORE``."""
+def is_small(df: DataFrame, per_core: int = SMALL_BYTES_PER_CORE) -> bool:
+    """Whether the plan's size estimate leaves a core less than ``per_core`` bytes."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL_BYTES_PER_CORE
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * per_core
 
 
-def spread_if_small(df: DataFrame) -> DataFrame:
+def spread_if_small(df: DataFrame, per_core: int = SMALL_BYTES_PER_CORE) -> DataFrame:
     """Spread a small input over all cores before costly work per row.
 
     A few megabytes often lie in one Parquet row group, hence in one task.  A large input has
     tasks enough and stays where it is.
     """
-    if df.isStreaming or not is_small(df):
+    if df.isStreaming or not is_small(df, per_core):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
